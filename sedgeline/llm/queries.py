@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .fingerprints import fingerprint_with_edit
 from .near_dedup import near_duplicates
+from .sharding import assign_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +25,19 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(docs, _table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_edit(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24, keep=["doc_id"])
+
+
 QUERIES = {
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op9_sharding": op9_sharding,
 }
 
 _WINDOWS = """
