@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .fingerprints import fingerprint_with_edit
 from .near_dedup import near_duplicates
 from .sharding import assign_shards
+from .toxicity import fit, held_out, score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,12 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edit(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24, keep=["doc_id"])
 
@@ -37,6 +44,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op9_sharding": op9_sharding,
 }
 
