@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .fingerprints import fingerprint_with_edit
 from .near_dedup import near_duplicates
+from .quality import select
 from .sharding import assign_shards
 from .toxicity import fit, held_out, score
 
@@ -40,12 +41,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24, keep=["doc_id"])
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return select(docs, _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_toxicity": op5_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _WINDOWS = """
