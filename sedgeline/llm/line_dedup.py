@@ -1,0 +1,201 @@
+"""Line dedup: content-defined chunks of lines, of which only the first copy stays.
+
+Lines are the pieces of a text between newlines; a long line is taken as several, broken
+after a full stop, question mark or exclamation mark followed by a space and after every
+``WRAP`` words of what is longer than twice that (as hard-wrapped text would be), so a
+passage on one physical line is many lines too. A rolling hash over ``ROLL`` successive line
+hashes ends a chunk where it is 0 modulo ``EVERY``, once the chunk has two lines and ``MIN_WORDS``
+words. A chunk also ends before and after a physical line of ``LONG_WORDS`` words or more, and a
+short rest at such a line's end joins the chunk before it. So boundaries depend on nearby lines only, and
+what stands before a passage does not shift the chunks inside it.
+
+A chunk of at least two lines and ``MIN_WORDS`` words that occurs more than once in the
+corpus is removed everywhere but in its first place (smallest id, then position), after its
+bytes were compared with those of that first place.
+
+The corpus moves through one shuffle of chunk hashes; only repeated chunks and the texts
+that hold one are looked at again.
+
+Defined cases: null stays null and has no lines; empty texts have one empty line, never
+removed. Rows that repeat an id and text: of an id's several texts each is handled alone and
+the first occurrence within the id is the first by text, so later copies are removed. A null id
+comes last. Columns of the result replace columns of those names.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shipping import ship
+from .scratch import BROADCAST_ROWS, Scratch, small
+
+ROLL, EVERY = 2, 3
+LONG_WORDS, MIN_WORDS, WRAP = 20, 13, 12
+_SENTENCE = re.compile(rb"(?<=[.!?]) +")
+_WORDS = re.compile(rb"(?:[^ ]+ +){%d}" % WRAP)
+
+
+def _pieces(raw: bytes, start: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the lines that a physical line counts as."""
+    out = []
+    at = start
+    for stop in [*(m.end() for m in _SENTENCE.finditer(raw, start, end)), end]:
+        if stop == at and out:
+            continue
+        n = raw.count(b" ", at, stop) + 1
+        if n > 2 * WRAP:
+            for m in _WORDS.finditer(raw, at, stop):
+                if stop - m.end() < WRAP:
+                    break
+                out.append((at, m.end(), WRAP))
+                at, n = m.end(), n - WRAP
+        out.append((at, stop, n))
+        at = stop
+    return out
+
+
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
+def chunks(raw: bytes) -> list[tuple[int, int, int, int]]:
+    """(start, end, lines, words) of the content-defined chunks of a text."""
+    out: list[tuple[int, int, int, int]] = []
+    begin, n, words, recent = 0, 0, 0, 0
+    at = 0
+    while at <= len(raw):
+        stop = raw.find(b"\n", at)
+        stop = len(raw) if stop < 0 else stop + 1
+        long = raw.count(b" ", at, stop) + 1 >= LONG_WORDS
+        if long and n:
+            out.append((begin, at, n, words))
+            begin, n, words, recent = at, 0, 0, 0
+        first = len(out)
+        for start, end, m in _pieces(raw, at, stop):
+            n += 1
+            words += m
+            h = zlib.crc32(raw[start:end].strip())
+            rolled, recent = (recent * 0x9E3779B1 + h) * 0x85EBCA6B >> 16, h
+            if n >= 2 and words >= MIN_WORDS and rolled % EVERY == 0:
+                out.append((begin, end, n, words))
+                begin, n, words, recent = end, 0, 0, 0
+        if long and n:
+            if (n < 2 or words < MIN_WORDS) and len(out) > first:
+                start, _, k, w = out.pop()
+                out.append((start, stop, k + n, w + words))
+            else:
+                out.append((begin, stop, n, words))
+            begin, n, words, recent = stop, 0, 0, 0
+        if stop == len(raw):
+            break
+        at = stop
+    if n:
+        out.append((begin, len(raw), n, words))
+    return out
+
+
+def _eligible(raw: bytes) -> list[tuple[int, bytes]]:
+    return [(start, raw[start:end].strip()) for start, end, n, words in chunks(raw) if n >= 2 and words >= MIN_WORDS]
+
+
+def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with its repeated chunks cut from ``text``, and ``n_removed`` and ``removed`` (spans of bytes, ends exclusive)."""
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "lines")
+    last = 2**63 - 1
+    key = F.coalesce(F.col(id).cast("long"), F.lit(last))
+    names = [c for c in docs.columns if c not in ("n_removed", "removed")]
+    base = docs.select(*names)
+
+    def occurrences(batches):
+        for b in batches:
+            ids, keys = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t:
+                    got = [_hash(c) for _, c in _eligible(t.encode())]
+                    ids += [i] * len(got)
+                    keys += got
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["k", "id"])
+
+    rows = base.select(key.alias("id"), F.col(text).alias("text"))
+    found = rows.mapInArrow(occurrences, "k long, id long").groupBy("k", "id").agg(F.count("*").alias("n"))
+    found = scratch.put(found)
+    repeated = scratch.put(found.groupBy("k").agg(F.sum("n").alias("n"), F.min("id").alias("first")).where("n > 1"))
+
+    def first_bytes(batches):
+        for b in batches:
+            keys, data = [], []
+            for wanted, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                wanted = set(wanted)
+                for _, c in _eligible((t or "").encode()):
+                    if (h := _hash(c)) in wanted:
+                        wanted.discard(h)
+                        keys.append(h)
+                        data.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["k", "bytes"])
+
+    homes = repeated.groupBy(F.col("first").alias("id")).agg(F.collect_list("k").alias("ks"))
+    homes = scratch.put(homes)
+    # of several texts of one id the least that holds the chunk is its first place
+    originals = rows.join(small(homes, 50_000), "id").select("ks", "text").mapInArrow(first_bytes, "k long, bytes binary")
+    originals = scratch.put(originals.groupBy("k").agg(F.min("bytes").alias("bytes")))
+    places = found.join(repeated.select("k", "first"), "k").join(originals, "k")
+    # an id's chunks and the bytes to compare them with: as much as the id's own text
+    plan = places.groupBy("id").agg(F.collect_list(F.struct("k", (F.col("id") == F.col("first")).alias("home"), "bytes")).alias("_sl_plan"))
+    plan = scratch.put(plan.withColumnRenamed("id", "_sl_id"))
+    ids = plan.select("_sl_id")
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # only the texts that hold a repeated chunk are shuffled to their plans
+        held = base.join(F.broadcast(ids), key == F.col("_sl_id"), "left_semi").join(plan, key == F.col("_sl_id")).drop("_sl_id")
+        rest = base.join(F.broadcast(ids), key == F.col("_sl_id"), "left_anti").withColumn("_sl_plan", F.lit(None).cast(plan.schema["_sl_plan"].dataType))
+        joined = held.unionByName(rest)
+    else:
+        joined = base.join(plan, key == F.col("_sl_id"), "left")
+    fields = base.schema.fields
+    schema = T.StructType([*fields, T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))])
+
+    def cut(batches):
+        for b in batches:
+            texts, n_removed, spans = [], [], []
+            for t, plan_ in zip(b.column(text).to_pylist(), b.column("_sl_plan").to_pylist(), strict=True):
+                raw = (t or "").encode()
+                gone = []
+                if plan_:
+                    told = {p["k"]: p for p in plan_}
+                    kept: set[int] = set()
+                    for start, end, n, words in chunks(raw):
+                        if n < 2 or words < MIN_WORDS:
+                            continue
+                        c = raw[start:end].strip()
+                        p = told.get(_hash(c))
+                        if p is None or p["bytes"] != c:
+                            continue
+                        if p["home"] and p["k"] not in kept:
+                            kept.add(p["k"])
+                        else:
+                            gone.append([start, end])
+                n_removed.append(len(gone))
+                spans.append(gone)
+                texts.append(_cut(raw, gone) if gone else t)
+            cols = {c: b.column(c) for c in names}
+            cols[text] = pa.array(texts, b.schema.field(text).type)
+            cols |= {"n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return joined.select(*names, "_sl_plan").mapInArrow(cut, schema)
+
+
+def _cut(raw: bytes, gone: list[list[int]]) -> str:
+    keep, at = [], 0
+    for start, end in gone:
+        keep.append(raw[at:start])
+        at = end
+    return b"".join([*keep, raw[at:]]).decode()
