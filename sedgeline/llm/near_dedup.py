@@ -3,19 +3,23 @@
 1. Every text becomes the set of hashes of its word shingles; its sketch is the ``k``
    smallest. Texts with equal sets form one class, stood for by its smallest id, so
    copies cost one row each from here on.
-2. Sketch values held by one class only cannot link anything and are dropped. Two sets
-   of similarity ``t`` share about ``t * k`` sketch values, so at least ``c`` (six standard
-   deviations fewer) of them: with each sketch ordered from its rarest value to its most
-   frequent, a linked pair meets in the inverted list of one of the first ``k - c + 1``.
+2. Two sets of similarity ``t`` share about ``t * k`` sketch values, so at least ``c`` (six
+   standard deviations fewer) of them. A class of which fewer sketch values occur anywhere
+   else is linked with nothing; it drops out, as nearly all texts do.
+3. What is left is looked at with the ``K_WIDE`` smallest values (for most texts the whole
+   set, where ``c`` needs no allowance). Ordered from the rarest value to the most frequent, a
+   linked pair meets in the inverted list of one of each set's first ``k - c + 1`` values.
    Passages that many otherwise different texts share fall behind that prefix.
-3. In each inverted list one pivot (the member whose sketch values are most widespread)
-   is paired with every other member. Pairs pass the union-sketch estimate and are then
-   confirmed or refused by exact Jaccard on the full sets.
-4. Confirmed links are closed to components. A list whose members are still in several
-   components takes further pivots, 1, 4, 16, ... of them a round, each paired with every
-   member of another component, until in each list all members that were never pivot are
-   in one component. So each pair of a list is either compared or already in one group,
-   while a group of n close copies costs about n comparisons, not n * n.
+4. In each inverted list one pivot (the member whose values are most widespread) is
+   paired with every other member. The values that a set shares with no other bound its
+   overlap with any partner, so pairs whose sizes rule them out are not made. Pairs pass the
+   union-sketch estimate and are then confirmed or refused by exact Jaccard on the full sets.
+5. Confirmed links are closed to components. A list whose members are still in several
+   components takes further pivots, 8, 64, 512, ... of them a round, each paired with every
+   member of another component that its size allows, until in each list all members that
+   were never pivot, and may have a partner in it, are in one component. So each pair of a
+   list is compared, ruled out or already in one group, while a group of n close copies
+   costs about n comparisons, not n * n.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with
 nothing; a text with fewer words than a shingle has one shingle, its whole sequence. A
@@ -29,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -64,7 +68,7 @@ def near_duplicates(
     *,
     shingle: int = 5,
     similarity: tuple[int, int] = (80, 100),
-    k: int = 64,
+    k: int = 32,
     id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -82,121 +86,133 @@ def near_duplicates(
 
     linkable = sketches.where("n > 0 and id is not null")
     classes = scratch.put(linkable.groupBy("hi", "lo").agg(F.min("id").alias("rep")))
-    node = linkable.join(classes, (linkable.hi == classes.hi) & (linkable.lo == classes.lo) & (linkable.id == classes.rep)).select("rep", "n", "vals").dropDuplicates(["rep", "n", "vals"])
-    node = scratch.put(node)
-
-    lists = scratch.put(_inverted_lists(node, t))
+    first = linkable.join(classes, (linkable.hi == classes.hi) & (linkable.lo == classes.lo) & (linkable.id == classes.rep))
+    ids = scratch.put(_shared_enough(first.select(F.col("rep").alias("id"), "vals"), t))
+    sets = narrow.join(small(ids), "id", "left_semi").mapInArrow(lambda it: _sets(it, shingle, None), _SCHEMA)
+    sets = scratch.put(sets.where("n > 0").dropDuplicates(["id", "hi", "lo"]).select(F.col("id").alias("rep"), "n", "vals"))
+
+    lists = scratch.put(_inverted_lists(sets, t))
+    done = scratch.put(_first_pivots(lists))
+    labels = scratch.put(spark.createDataFrame([], "node long, label long"))
     edges: list[DataFrame] = []
-    labels = None
-    done = None
-    grow = 1
     seen: list[DataFrame] = []
+    pairs = _paired(lists.withColumn("label", F.col("rep")), done.withColumn("label", F.lit(None).cast("long")), t)
+    grow = 8
     while True:
-        if labels is None:
-            pairs = _pivot_pairs(lists)
-        else:
-            open_ = _open_members(lists, labels, done)
-            open_ = scratch.put(open_)
-            if not open_.head(1):
-                break
-            picked = scratch.put(_next_pivots(open_, grow))
-            grow = min(grow * 4, 4096)
-            pairs = _cross_pairs(open_, picked)
-            done = picked.select("v", "rep") if done is None else done.unionByName(picked.select("v", "rep"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if seen:
-            before = seen[0]
-            for s in seen[1:]:
-                before = before.unionByName(s)
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = scratch.put(_estimated(pairs, node, t, k))
+        pairs = scratch.put(pairs)
         seen.append(pairs)
-        found = scratch.put(_confirmed(pairs, narrow, classes, shingle, up, down))
-        edges.append(found)
-        if labels is None:
-            done = scratch.put(_first_pivots(lists))
-        every = edges[0]
-        for e in edges[1:]:
-            every = every.unionByName(e)
-        if labels is None or found.head(1):
-            labels = components(every, scratch)
+        found = scratch.put(_confirmed(_estimated(pairs, sets, t), sets, up, down))
+        if found.head(1):
+            edges.append(found)
+            labels = components(_union(edges), scratch)
+        open_ = scratch.put(_open_members(lists, labels, done))
+        if not open_.head(1):
+            break
+        picked = scratch.put(_next_pivots(open_, grow))
+        grow = min(grow * 8, 4096)
+        pairs = _paired(open_, picked, t).join(_union(seen), ["a", "b"], "left_anti")
+        done = done.unionByName(picked.select("v", "rep", "n", "most"))
 
     rep = sketches.join(classes, ["hi", "lo"], "left").select("id", F.when(F.col("n") > 0, F.col("rep")).alias("rep"), F.col("n").alias("n_shingles"))
     out = rep.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    # several rows of one id that fell into several groups: the groups were united by its label
     group = F.coalesce("label", "rep", "id")
     return out.select("id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
 
 
-def _inverted_lists(node: DataFrame, t: float) -> DataFrame:
-    """(v, rep, pop): members of the lists of the rarest-first prefix that have two members at least."""
-    posting = node.select("rep", "n", F.explode("vals").alias("v"))
+#: Values by which the texts that may have a partner are compared, and the size up to which those of both partners are whole sets.
+K_WIDE = 512
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _least_shared(s: Column, t: float, whole: Column) -> Column:
+    """How many of its s values a set shares at least with one of similarity t; ``whole``: the values of both are whole sets."""
+    fewer = F.floor(s * t - 6 * F.sqrt(s * t * (1 - t)))
+    return F.greatest(F.lit(1), F.when(whole, F.ceil(s * t - 1e-9)).otherwise(fewer))
+
+
+def _shared_enough(sketch: DataFrame, t: float) -> DataFrame:
+    """Ids whose sketch has enough values that occur in another sketch."""
+    posting = sketch.select("id", F.explode("vals").alias("v"))
+    common = posting.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    shared = posting.join(common, "v", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
+    size = sketch.select("id", F.size("vals").alias("s"))
+    return shared.join(size, "id").where(F.col("m") >= _least_shared(F.col("s"), t, F.lit(False))).select("id").distinct()
+
+
+def _inverted_lists(sets: DataFrame, t: float) -> DataFrame:
+    """(v, rep, pop, n, most): members of the lists of the rarest-first prefix; most: the largest size a partner may have."""
+    posting = sets.select("rep", "n", F.explode(F.slice("vals", 1, K_WIDE)).alias("v"))
     df = posting.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posting.join(df, "v")
     # values held once sort first; only their number matters
-    ordered = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("pop"), F.first("n").alias("n"))
-    size = node.select("rep", F.size("vals").alias("s")).groupBy("rep").agg(F.max("s").alias("s"))
-    kept = ordered.join(size, "rep")
-    # c of s values are shared by a linked pair: s * t less six standard deviations
-    c = F.greatest(F.lit(1), F.floor(F.col("s") * t - 6 * F.sqrt(F.col("s") * t * (1 - t))))
-    prefix = F.col("s") - c + 1
-    alone = F.col("s") - F.size("vs")
-    kept = kept.select("rep", "pop", F.explode(F.slice("vs", 1, F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("x"))
-    return kept.select(F.col("x.v").alias("v"), "rep", "pop")
+    shared = posting.join(df, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("pop"))
+    s = F.least("n", F.lit(K_WIDE))
+    whole = F.col("n") <= int(K_WIDE * t)
+    m = F.size("vs")
+    prefix = s - _least_shared(s, t, whole) + 1 - (s - m)
+    rate = m / s
+    held = F.when(whole, m).otherwise(F.least(F.lit(1.0), rate + 6 * F.sqrt(rate * (1 - rate) / s) + 6 / s) * F.col("n"))
+    # |A & B| <= held, and t * (|A| + |B| - |A & B|) <= |A & B|
+    most = F.floor(held * (1 + 1 / t) - F.col("n") + 1e-6)
+    kept = shared.where(prefix > 0).select("rep", "n", "pop", most.alias("most"), F.explode(F.slice("vs", 1, F.greatest(F.lit(0), prefix).cast("int"))).alias("x"))
+    return kept.select(F.col("x.v").alias("v"), "rep", "pop", "n", "most")
 
 
 def _first_pivots(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("neg"))).alias("m")).select("v", (-F.col("m.neg")).alias("rep"))
+    top = lists.groupBy("v").agg(F.max(F.struct("pop", (-F.col("rep")).alias("neg"), "n", "most")).alias("m"))
+    return top.select("v", (-F.col("m.neg")).alias("rep"), "m.n", "m.most")
 
 
-def _pivot_pairs(lists: DataFrame) -> DataFrame:
-    pivot = _first_pivots(lists).withColumnRenamed("rep", "b")
-    return lists.join(pivot, "v").where("rep <> b").select(F.col("rep").alias("a"), "b")
+def _paired(members: DataFrame, pivots: DataFrame, t: float) -> DataFrame:
+    """Each pivot with the members of its lists, of other components and of sizes that allow the similarity."""
+    p = pivots.select(F.col("v").alias("pv"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    fits = (F.col("n") <= F.col("mb")) & (F.col("nb") <= F.col("most")) & (F.least("n", "nb") >= F.greatest("n", "nb") * t - 1e-6)
+    apart = (F.col("rep") != F.col("b")) & (F.col("lb").isNull() | (F.col("label") != F.col("lb")))
+    both = members.join(p, (F.col("v") == F.col("pv")) & fits & apart)
+    return both.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def _open_members(lists: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Members that were never pivot, of the lists where such members are in several components."""
+    """Members that were never pivot and may have a partner, of the lists where such members are in several components."""
     own = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    left = own.join(done, ["v", "rep"], "left_anti")
-    split = left.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v")
-    return left.join(split, "v")
+    left = own.join(done.select("v", "rep"), ["v", "rep"], "left_anti")
+    least = left.groupBy("v").agg(F.min("n").alias("n0"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v", "n0")
+    alive = left.join(least, "v").where("most >= n0").drop("n0")
+    split = alive.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v")
+    return alive.join(split, "v")
 
 
 def _next_pivots(members: DataFrame, grow: int) -> DataFrame:
-    """Per list the ``grow`` most widespread members, outside its largest component where possible."""
+    """Per list the ``grow`` smallest members outside its largest component."""
     sizes = members.groupBy("v", "label").agg(F.count("*").alias("m"))
-    top = sizes.groupBy("v").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    ranked = members.join(top, "v").where("label <> main").select("v", F.struct((-F.col("pop")).alias("p"), "rep", "label").alias("x"))
+    top = sizes.groupBy("v").agg(F.max(F.struct("m", "label")).alias("x")).select("v", F.col("x.label").alias("main"))
+    ranked = members.join(top, "v").where("label <> main").select("v", F.struct("n", "rep", "label", "most").alias("x"))
     # a bounded array per task and list before the shuffle, so no list is gathered whole
-    salted = ranked.withColumn("s", F.pmod(F.xxhash64("x.rep"), F.lit(64)))
-    part = salted.groupBy("v", "s").agg(F.slice(F.sort_array(F.collect_list("x")), 1, grow).alias("xs"))
+    part = ranked.groupBy("v", F.pmod(F.xxhash64("x.rep"), F.lit(64)).alias("s")).agg(F.slice(F.sort_array(F.collect_list("x")), 1, grow).alias("xs"))
     whole = part.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("xs"))), 1, grow).alias("xs"))
-    return whole.select("v", F.explode("xs").alias("x")).select("v", F.col("x.rep").alias("rep"), F.col("x.label").alias("label"))
-
-
-def _cross_pairs(members: DataFrame, picked: DataFrame) -> DataFrame:
-    p = picked.select("v", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    return members.join(p, "v").where("label <> lb").select(F.col("rep").alias("a"), "b")
+    return whole.select("v", F.explode("xs").alias("x")).select("v", "x.rep", "x.label", "x.n", "x.most")
 
 
-def _estimated(pairs: DataFrame, node: DataFrame, t: float, k: int) -> DataFrame:
+def _estimated(pairs: DataFrame, sets: DataFrame, t: float, k: int = 128) -> DataFrame:
     """Pairs whose similarity, estimated on the k smallest values of the union, may reach t."""
-    a = node.select(F.col("rep").alias("a"), F.col("vals").alias("va"), F.col("n").alias("na"))
-    b = node.select(F.col("rep").alias("b"), F.col("vals").alias("vb"), F.col("n").alias("nb"))
+    a = sets.select(F.col("rep").alias("a"), F.slice("vals", 1, k).alias("va"))
+    b = sets.select(F.col("rep").alias("b"), F.slice("vals", 1, k).alias("vb"))
     low = t - 6 * math.sqrt(t * (1 - t) / k)
     both = pairs.join(a, "a").join(b, "b")
     union = F.slice(F.array_sort(F.array_union("va", "vb")), 1, k)
     share = F.size(F.array_intersect(F.array_intersect("va", "vb"), union)) / F.size(union)
-    sized = F.least("na", "nb") >= F.greatest("na", "nb") * (t - 1e-9)
-    return both.where(sized).where(share >= low).select("a", "b").distinct()
+    # where a union has fewer values the estimate is exact
+    return both.where(share >= low).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, narrow: DataFrame, classes: DataFrame, shingle: int, up: int, down: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, up: int, down: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    full = narrow.join(small(ids), "id", "left_semi").mapInArrow(lambda it: _sets(it, shingle, None), _SCHEMA)
-    full = full.select("id", "vals").where("size(vals) > 0").dropDuplicates(["id", "vals"])
-    a, b = full.select(F.col("id").alias("a"), F.col("vals").alias("va")), full.select(F.col("id").alias("b"), F.col("vals").alias("vb"))
+    a, b = sets.select(F.col("rep").alias("a"), F.col("vals").alias("va")), sets.select(F.col("rep").alias("b"), F.col("vals").alias("vb"))
     both = pairs.join(a, "a").join(b, "b")
     inter = F.size(F.array_intersect("va", "vb"))
     return both.where(down * inter >= up * (F.size("va") + F.size("vb") - inter)).select("a", "b").distinct()
