@@ -12,6 +12,8 @@ from .near_dedup import near_duplicates
 from .quality import select
 from .sharding import assign_shards
 from .toxicity import fit, held_out, score
+from .scratch import small
+from .url_filter import RULES, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,15 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(docs, _table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's URL is labelled by the quality of the document whose number its path ends in."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    own = _table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg((1 - F.max("quality")).alias("block"))
+    number = F.regexp_extract("url", "://[^/?#]*/[a-z]+/([0-9]+)", 1).try_cast("long")
+    labelled = pages.select("url", number.alias("doc_id")).join(small(own), "doc_id").select("url", "block")
+    return filter_urls(pages, labelled, RULES).drop("url")
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edit(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,6 +65,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
