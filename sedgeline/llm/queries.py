@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .fingerprints import fingerprint_with_edit
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .pii import KINDS, find_personal_data, listed
 from .quality import select
 from .sharding import assign_shards
 from .toxicity import fit, held_out, score
@@ -55,6 +56,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_removed", spans.alias("removed"), F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*(listed(k, F.col("spans")[k]) for k in KINDS))
+    counts = [F.size(F.col("spans")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
+    every = F.array_join(F.concat(base, listed("term", F.col("terms"))), ",")
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), every.alias("spans"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24, keep=["doc_id"])
 
@@ -71,6 +80,7 @@ QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_personal_data": op7_personal_data,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
