@@ -36,17 +36,12 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from .tokens import WORD, Words, blocks, span_hashes, words
 
-BLOCK = 32
+BLOCK, OPEN_FIRST = 32, 6
 PREFIXES = (4, 6)
 SIGNIFICANT = 30.0
 VOCABULARY = 16_384
 
 
-def _features(w: Words, lo: int, hi: int, part: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the words and word beginnings of one text."""
-    return np.concatenate([w.hash[lo:hi], *(p[1][np.searchsorted(p[0], lo) : np.searchsorted(p[0], hi)] for p in part)])
-
-
 def _beginnings(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per prefix length: which words are longer, and the tagged hash of their beginning."""
     out = []
@@ -56,14 +51,23 @@ def _beginnings(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _texts(column: pa.Array):
-    """Per text its feature hashes; letters of any script are lower-cased."""
+def _features(column: pa.Array) -> list[np.ndarray]:
+    """Per text the distinct hashes of its words and word beginnings; letters of any script are lower-cased."""
+    out = []
     for block in blocks(pc.utf8_lower(column.cast(pa.large_string()))):
         w = words(block, WORD)
-        part = _beginnings(w)
-        bounds = w.slice_of(block.rows).tolist()
-        for r, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            yield block.first + r, _features(w, lo, hi, part)
+        parts = [(np.arange(len(w.hash)), w.hash), *_beginnings(w)]
+        row, h = np.concatenate([w.text[at] for at, _ in parts]), np.concatenate([x for _, x in parts])
+        bounds = np.searchsorted(np.sort(row), np.arange(block.rows + 1))
+        h = h[np.argsort(row, kind="stable")]
+        out += [np.unique(h[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The concatenation of arange(s, s + n) for every start s and size n."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Index:
@@ -79,16 +83,35 @@ class Index:
         self.curve = (0.0, 0.0)
         self.none = 0.0
 
-    def vector(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a text, of length 1; empty without vocabulary terms."""
-        f = features[self.bitmap[features >> np.uint64(46)]]
-        if not len(f) or not len(self.vocabulary):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.vocabulary, f), len(self.vocabulary) - 1)
-        terms, tf = np.unique(at[self.vocabulary[at] == f], return_counts=True)
+    def vector(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of the text in which the given terms were found, of length 1."""
+        terms, tf = np.unique(found, return_counts=True)
         weight = (1 + np.log(tf)) * self.idf[terms]
         norm = np.sqrt((weight**2).sum())
-        return (terms, weight / norm) if len(terms) and norm > 0 else (np.zeros(0, np.int64), np.zeros(0))
+        return terms, weight / norm if len(terms) else weight
+
+    def found(self, column: pa.Array) -> dict[int, np.ndarray]:
+        """Row -> the vocabulary terms found in its text, repeated as found; rows without any are left out."""
+        out: dict[int, np.ndarray] = {}
+        if not len(self.vocabulary):
+            return out
+        for block in blocks(pc.utf8_lower(column.cast(pa.large_string()))):
+            w = words(block, WORD)
+            rows, terms = [], []
+            for at, h in [(None, w.hash), *_beginnings(w)]:
+                near = np.flatnonzero(self.bitmap[h >> np.uint64(46)])
+                place = np.minimum(np.searchsorted(self.vocabulary, h[near]), len(self.vocabulary) - 1)
+                same = self.vocabulary[place] == h[near]
+                near = near[same]
+                rows.append(w.text[near if at is None else at[near]])
+                terms.append(place[same])
+            row, term = np.concatenate(rows), np.concatenate(terms)
+            order = np.argsort(row, kind="stable")
+            row, term = row[order], term[order]
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else []
+            for i, part in zip(first, np.split(term, first[1:]) if len(row) else [], strict=True):
+                out[block.first + int(row[i])] = part
+        return out
 
     def fill(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         strongest = [int(t[np.argmax(x)]) if len(t) else -1 for t, x in vectors]
@@ -107,34 +130,41 @@ class Index:
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         self.max_block = (owner[by] // BLOCK)[first]
         self.max_weight = np.maximum.reduceat(weight[by], first) if len(first) else weight
+        self.entry_at = np.concatenate((first, [len(key)])).astype(np.int64)
         self.max_at = np.searchsorted(terms[by][first], np.arange(len(self.vocabulary) + 1))
         self.n_blocks = n_blocks
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k nearest examples by cosine, as (cosine, place), ties by id; cosines of 0 are left out."""
-        bound = np.zeros(self.n_blocks)
-        for t, x in zip(terms.tolist(), weight.tolist(), strict=True):
-            lo, hi = self.max_at[t], self.max_at[t + 1]
-            bound[self.max_block[lo:hi]] += x * self.max_weight[lo:hi]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int, int]] = []
-        for start in range(0, len(order), 8):
-            group = order[start : start + 8]
-            group = group[bound[group] > 0]
-            if not len(group) or (len(best) == self.k and bound[group[0]] < -best[-1][0] - 1e-12):
-                break
-            for b in np.sort(group).tolist():
-                score = np.zeros(BLOCK)
-                for t, x in zip(terms.tolist(), weight.tolist(), strict=True):
-                    lo, hi = self.list_at[t], self.list_at[t + 1]
-                    i, j = lo + np.searchsorted(self.list_owner[lo:hi], (b * BLOCK, (b + 1) * BLOCK))
-                    score[self.list_owner[i:j] - b * BLOCK] += x * self.list_weight[i:j]
-                for o in np.flatnonzero(score > 0).tolist():
-                    place = b * BLOCK + o
-                    if place != skip:
-                        best.append((-min(1.0, float(score[o])), int(self.ids[place]), place))
-            best = sorted(best)[: self.k]
-        return [(-s, place) for s, _, place in best]
+        lo = self.max_at[terms]
+        per_term = self.max_at[terms + 1] - lo
+        entry, x = _ranges(lo, per_term), np.repeat(weight, per_term)
+        block = self.max_block[entry]
+        bound = np.bincount(block, x * self.max_weight[entry], minlength=self.n_blocks)
+        # the blocks of highest bound first; then every block whose bound reaches the k-th best of those
+        open_ = np.zeros(self.n_blocks, bool)
+        open_[np.argsort(-bound, kind="stable")[:OPEN_FIRST]] = True
+        best = self._scores(entry, x, open_[block], skip)
+        if len(best) >= self.k:
+            rest = (bound >= best[self.k - 1][0] - 1e-9) & ~open_
+        else:
+            rest = (bound > 0) & ~open_
+        if rest.any():
+            best = sorted(best + self._scores(entry, x, rest[block], skip), key=lambda b: (-b[0], self.ids[b[1]]))
+        return best[: self.k]
+
+    def _scores(self, entry: np.ndarray, x: np.ndarray, chosen: np.ndarray, skip: int) -> list[tuple[float, int]]:
+        """Cosines of the examples in the chosen (term, block) parts of the lists, the k best in order."""
+        e = entry[chosen]
+        size = self.entry_at[e + 1] - self.entry_at[e]
+        at = _ranges(self.entry_at[e], size)
+        owner = self.list_owner[at]
+        places, which = np.unique(owner, return_inverse=True)
+        score = np.minimum(1.0, np.bincount(which, np.repeat(x[chosen], size) * self.list_weight[at], minlength=len(places)))
+        keep = (score > 0) & (places != skip)
+        places, score = places[keep], score[keep]
+        order = np.lexsort((self.ids[places], -score))[: self.k]
+        return list(zip(score[order].tolist(), places[order].tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Weighted share of toxic neighbours; the weight is the odds of the cosine, distance cut off at 0.05."""
@@ -181,7 +211,7 @@ def fit(
     def presence(batches):
         """Per batch and text hash: the distinct features, so copies can be dropped afterwards."""
         for b in batches:
-            got = [np.unique(f) for _, f in _texts(b.column(2))]
+            got = _features(b.column(2))
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in got]))).astype(np.int32)
             values = np.concatenate(got) if got else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64), pa.int64()))], names=["id", "label", "f"])
@@ -202,7 +232,9 @@ def fit(
 
     def vectors(batches):
         for b in batches:
-            got = [index.vector(f) for _, f in _texts(b.column(2))]
+            none = np.zeros(0, np.int64), np.zeros(0)
+            found = index.found(b.column(2))
+            got = [index.vector(found[r]) if r in found else none for r in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0] for v in got], pa.list_(pa.int64())), pa.array([v[1] for v in got], pa.list_(pa.float64()))], names=["id", "label", "t", "w"])
 
     made = distinct.mapInArrow(vectors, "id long, label int, t array<long>, w array<double>")
@@ -235,12 +267,12 @@ def score(docs: DataFrame, index: Index, *, text: str = "text") -> DataFrame:
     def run(batches):
         ix = shared.value
         for b in batches:
-            scores, evidence = [], []
-            for _, f in _texts(b.column(text)):
-                terms, weight = ix.vector(f)
-                near = ix.nearest(terms, weight) if len(terms) else []
-                scores.append(ix.probability(ix.vote(near)) if near else ix.none)
-                evidence.append([{"id": int(ix.ids[p]), "cosine": s, "label": int(ix.labels[p])} for s, p in near])
+            scores, evidence = [ix.none] * b.num_rows, [[] for _ in range(b.num_rows)]
+            for r, terms in ix.found(b.column(text)).items():
+                near = ix.nearest(*ix.vector(terms)) if ix.n_blocks else []
+                if near:
+                    scores[r] = ix.probability(ix.vote(near))
+                    evidence[r] = [{"id": int(ix.ids[p]), "cosine": s, "label": int(ix.labels[p])} for s, p in near]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*names, "score", "evidence"])
 
     found = T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())])
