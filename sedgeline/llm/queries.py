@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .fingerprints import fingerprint_with_edit
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import KINDS, find_personal_data, listed
 from .quality import select
@@ -64,6 +65,15 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), every.alias("spans"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    labelled = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), kind.alias("domain"))
+    found = mix(docs, labelled, {"clean": 0.9, "junk": 0.05, "toxic": 0.05}, keep=["doc_id"])
+    p = [F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(("clean", "junk", "toxic"))]
+    return found.select("doc_id", "n_tokens", *p, "rate", "copies")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24, keep=["doc_id"])
 
@@ -81,6 +91,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_personal_data": op7_personal_data,
+    "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
