@@ -37,6 +37,8 @@ MAX_LEXICON_ROWS, LEXICON, SIGNIFICANT = 12_000, 40, 30.0
 ROUNDS, CLOSE = 60, 1e-4
 _TERM = r"\p{L}[\p{L}\p{N}]{2,}"
 
+RESULT = ("n_tokens", "posteriors", "rate", "copies")
+
 #: Upper ends of the bins of each surface measure.
 BINS = {
     "symbols": (0.001, 0.02, 0.05, 0.1, 0.2, 0.4),
@@ -153,8 +155,7 @@ def mix(
     known = scratch.put(known)
     lexicons = _lexicons(docs, known, domains, id, text)
 
-    result = ("n_tokens", "posteriors", "rate", "copies")
-    cols = [c for c in (docs.columns if keep is None else keep) if c not in result]
+    cols = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
     u = (F.pmod(F.xxhash64(F.col(id).cast("long"), F.col(text), F.lit(41)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     measured = docs.select(*cols, F.col(id).cast("long").alias("_sl_id"), F.col(text).alias("_sl_text"), _tokens(F.col(text)).alias("n_tokens"), u.alias("_sl_u"))
     measured = measured.withColumn("_sl_bins", _bins(F.col("_sl_text"), F.col("n_tokens"), lexicons)).drop("_sl_text")
@@ -172,7 +173,7 @@ def mix(
 
     cells = narrow.groupBy("_sl_bins").agg(F.sum("n_tokens").cast("double").alias("n"))
     # a bounded table (cells of bins), in one part: its aggregations need no shuffle
-    cells = scratch.put(cells.select(posteriors.alias("p"), "n"), 1).coalesce(1)
+    cells = scratch.put(cells.select("_sl_bins", posteriors.alias("p"), "n"), 1).coalesce(1)
     mass = cells.agg(*(F.coalesce(F.sum(F.col("p")[i] * F.col("n")), F.lit(0.0)) for i in range(len(domains)))).first()
     largest = max(range(len(domains)), key=lambda i: share[domains[i]])
     total = float(budget) if budget is not None else mass[largest] / share[domains[largest]]
@@ -185,13 +186,15 @@ def mix(
         if history and max(abs(a - b) for a, b in zip(step, history[-1], strict=True)) < CLOSE:
             break
         history.append(step)
-    out = measured.withColumn("posteriors", posteriors)
-    out = out.withColumn("rate", _rate(F.col("posteriors"), history, max_rate))
+    # rate and posteriors are those of a row's cell: looked up, not computed again for every row
+    fitted = scratch.put(cells.select("_sl_bins", F.col("p").alias("posteriors"), _rate(F.col("p"), history, max_rate).alias("rate")))
+    out = measured.join(F.broadcast(fitted), "_sl_bins")
     return out.select(*cols, "n_tokens", "posteriors", "rate", F.floor(F.col("rate") + F.col("_sl_u")).cast("int").alias("copies"))
 
 
 def take(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` says."""
-    mixed = mix(docs, labelled, targets, **options)
-    names = [c for c in docs.columns if c in mixed.columns]
-    return mixed.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_sl_copy")).drop("_sl_copy").select(*docs.columns)
+    clash = {c: f"_sl_own_{c}" for c in docs.columns if c in RESULT}
+    mixed = mix(docs.withColumnsRenamed(clash), labelled, targets, **options)
+    own = [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
+    return mixed.where("copies > 0").withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
