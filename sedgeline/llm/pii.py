@@ -114,20 +114,24 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, id: str, text: str, scra
     ``spans``: (id, value, context) of every base span.
     """
     beside = spans.select("id", "value", "context", F.xxhash64("context").alias("h"))
-    contexts = beside.dropDuplicates(["value", "h"])
+    words = F.array_distinct(F.transform(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)), F.lower))
     # terms of a value's contexts; hot values are counted per task first
-    together = contexts.select("value", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
-    together = scratch.put(together.groupBy("value", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= MIN_CONTEXTS))
-    candidates = scratch.put(together.select("term").distinct())
+    together = beside.dropDuplicates(["value", "h"]).select("value", F.explode(words).alias("term"))
+    together = together.groupBy("value", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= MIN_CONTEXTS)
+    n = float(docs.count())
+    n_c = beside.select("value", "id").distinct().groupBy("value").agg(F.count("*").alias("n_c"))
+    # the most documents that may hold a term for it to disclose the value
+    most = F.col("n_tc") * F.pow(n / F.col("n_c"), 1 - DISCLOSURE)
+    together = together.join(n_c, "value").where(F.col("n_c") < n).select("term", (most * (1 + 1e-12)).alias("most"))
+    together = together.groupBy("term").agg(F.max("most").alias("most"))
+    # the documents whose contexts hold the term are some of those that hold it: words of general use go here
+    beside_values = beside.dropDuplicates(["id", "h"]).select("id", F.explode(words).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("at_least"))
+    candidates = scratch.put(together.join(beside_values, "term").where("at_least <= most").select("term", "most"))
     if not candidates.head(1):
         return None
-    n = docs.count()
-    n_c = beside.groupBy("value").agg(F.countDistinct("id").alias("n_c"))
     words = docs.select(F.col(id).alias("id"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = words.join(small(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    joined = together.join(n_c, "value").join(n_t, "term")
-    pmi = F.log(F.lit(float(n)) * F.col("n_tc") / (F.col("n_t") * F.col("n_c")))
-    return scratch.put(joined.where(pmi >= DISCLOSURE * F.log(F.lit(float(n)) / F.col("n_c"))).where(F.col("n_c") < n).select("term").distinct())
+    n_t = words.join(small(candidates.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    return scratch.put(candidates.join(n_t, "term").where("n_t <= most").select("term"))
 
 
 def _of_kind(kind: str):
