@@ -11,8 +11,9 @@
    linked pair meets in the inverted list of one of each set's first ``k - c + 1`` values.
    Passages that many otherwise different texts share fall behind that prefix.
 4. In each inverted list one pivot (the member whose values are most widespread) is
-   paired with every other member. The values that a set shares with no other bound its
-   overlap with any partner, so pairs whose sizes rule them out are not made. Pairs pass the
+   paired with every other member. The values before the list's own in a set's order bound its
+   overlap with a partner that it first meets there, so pairs whose sizes rule them out are not
+   made. Pairs pass the
    union-sketch estimate and are then confirmed or refused by exact Jaccard on the full sets.
 5. Confirmed links are closed to components. A list whose members are still in several
    components takes further pivots, 8, 64, 512, ... of them a round, each paired with every
@@ -146,21 +147,23 @@ def _shared_enough(sketch: DataFrame, t: float) -> DataFrame:
 
 
 def _inverted_lists(sets: DataFrame, t: float) -> DataFrame:
-    """(v, rep, pop, n, most): members of the lists of the rarest-first prefix; most: the largest size a partner may have."""
+    """(v, rep, pop, n, most): members of the lists of the rarest-first prefix; most: the largest size of a partner first met in this list."""
     posting = sets.select("rep", "n", F.explode(F.slice("vals", 1, K_WIDE)).alias("v"))
     df = posting.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     # values held once sort first; only their number matters
     shared = posting.join(df, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("pop"))
     s = F.least("n", F.lit(K_WIDE))
     whole = F.col("n") <= int(K_WIDE * t)
-    m = F.size("vs")
-    prefix = s - _least_shared(s, t, whole) + 1 - (s - m)
-    rate = m / s
-    held = F.when(whole, m).otherwise(F.least(F.lit(1.0), rate + 6 * F.sqrt(rate * (1 - rate) / s) + 6 / s) * F.col("n"))
+    alone = s - F.size("vs")
+    prefix = F.greatest(F.lit(0), s - _least_shared(s, t, whole) + 1 - alone).cast("int")
+    kept = shared.select("rep", "n", "pop", s.alias("s"), whole.alias("whole"), alone.alias("alone"), F.posexplode(F.slice("vs", 1, prefix)).alias("i", "x"))
+    # if x is the first value that two sets share, neither shares what comes before it in its own order
+    left = F.col("s") - F.col("alone") - F.col("i")
+    rate = left / F.col("s")
+    held = F.when(F.col("whole"), left).otherwise(F.least(F.lit(1.0), rate + 6 * F.sqrt(rate * (1 - rate) / F.col("s")) + 6 / F.col("s")) * F.col("n"))
     # |A & B| <= held, and t * (|A| + |B| - |A & B|) <= |A & B|
     most = F.floor(held * (1 + 1 / t) - F.col("n") + 1e-6)
-    kept = shared.where(prefix > 0).select("rep", "n", "pop", most.alias("most"), F.explode(F.slice("vs", 1, F.greatest(F.lit(0), prefix).cast("int"))).alias("x"))
-    return kept.select(F.col("x.v").alias("v"), "rep", "pop", "n", "most")
+    return kept.select(F.col("x.v").alias("v"), "rep", "pop", "n", most.alias("most")).where(F.col("most") >= F.col("n") * t - 1e-6)
 
 
 def _first_pivots(lists: DataFrame) -> DataFrame:
