@@ -2,7 +2,8 @@
 
 Features are words and word beginnings (so inflected and unseen forms of a word still
 match). Of those, the ones whose presence among labelled texts is significantly tied to
-the label (chi-square) form the vocabulary; a text's vector holds ``(1 + log tf) * idf``
+the label (chi-square, and at least ``LIFT`` times as frequent with one label as with the other)
+form the vocabulary; a text's vector holds ``(1 + log tf) * idf``
 of its vocabulary terms, scaled to length 1.
 
 The labelled examples are laid out by their strongest term in blocks of ``BLOCK``; each
@@ -38,7 +39,7 @@ from .tokens import WORD, Words, blocks, span_hashes, words
 
 BLOCK, OPEN_FIRST = 32, 6
 PREFIXES = (4, 6)
-SIGNIFICANT = 30.0
+SIGNIFICANT, LIFT = 30.0, 2.0
 VOCABULARY = 16_384
 
 
@@ -225,7 +226,8 @@ def fit(
     df = df.groupBy("f").agg(F.sum((F.col("label") == 1).cast("long")).alias("a"), F.sum((F.col("label") != 1).cast("long")).alias("b")).where("a + b >= 4")
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(toxic + clean)
     chi = n * F.pow(a * (clean - b) - b * (toxic - a), 2) / F.greatest(F.lit(1.0), F.lit(float(toxic)) * clean * (a + b) * (n - a - b))
-    best = df.where(chi >= SIGNIFICANT).orderBy(chi.desc(), "f").limit(VOCABULARY).select("f", "a", "b").collect()
+    odds = (a + 0.5) / (toxic + 1.0) * (clean + 1.0) / (b + 0.5)
+    best = df.where((chi >= SIGNIFICANT) & ((odds >= LIFT) | (odds <= 1 / LIFT))).orderBy(chi.desc(), "f").limit(VOCABULARY).select("f", "a", "b").collect()
     vocabulary = np.array([r["f"] for r in best], np.int64).view(np.uint64)
     idf = np.log((1 + n) / (1 + np.array([r["a"] + r["b"] for r in best], float))) + 1
     index = Index(vocabulary, idf, k)
