@@ -13,7 +13,7 @@
    In this scaling the step 1 always converges.
 4. A document is taken floor(rate + u) times, u being uniform by a hash of id and text.
 
-Targets: weights times a budget of tokens. Without a budget it is what lets the domain of largest
+Tokens are runs of letters and digits. Targets: weights times a budget of tokens. Without a budget it is what lets the domain of largest
 weight keep all its tokens at rate 1.
 
 Native throughout: DataFrame and SQL expressions only.
@@ -39,6 +39,8 @@ _TERM = r"\p{L}[\p{L}\p{N}]{2,}"
 
 RESULT = ("n_tokens", "posteriors", "rate", "copies")
 
+#: Characters that count as symbols.
+SYMBOLS = "#%$&*|!@~^+=<>"
 #: Upper ends of the bins of each surface measure.
 BINS = {
     "symbols": (0.001, 0.02, 0.05, 0.1, 0.2, 0.4),
@@ -49,10 +51,6 @@ BINS = {
 }
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
-
-
 def _bin(x: Column, ends: tuple) -> Column:
     out = F.lit(0)
     for e in ends:
@@ -60,18 +58,31 @@ def _bin(x: Column, ends: tuple) -> Column:
     return out
 
 
-def _bins(text: Column, n_tokens: Column, lexicons: dict[str, list[str]]) -> Column:
+def _runs(text: Column) -> Column:
+    """What stands between the characters that are neither letter nor digit; the ends may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1)
+
+
+def _tokens(runs: Column) -> Column:
+    """Number of runs of letters and digits."""
+    return (F.size(runs) - (F.element_at(runs, 1) == "").cast("int") - ((F.size(runs) > 1) & (F.element_at(runs, -1) == "")).cast("int")).cast("long")
+
+
+def _bins(text: Column, runs: Column, n_tokens: Column, lexicons: dict[str, list[str]]) -> Column:
     """The bins of a text: the surface measures, then one flag per lexicon."""
     t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
+    n = F.greatest(F.octet_length(t), F.lit(1)).cast("double")
+    symbols = F.lit(0)
+    for c in SYMBOLS:
+        symbols = symbols + F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c)))
     measures = {
-        "symbols": F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s.,;:'\"()-]+", "")) / n,
-        "upper": F.length(F.regexp_replace(t, r"[^A-Z]+", "")) / n,
-        "digits": F.length(F.regexp_replace(t, r"[^0-9]+", "")) / n,
+        "symbols": symbols / n,
+        "upper": F.octet_length(F.regexp_replace(t, r"[^A-Z]+", "")) / n,
+        "digits": F.octet_length(F.regexp_replace(t, r"[^0-9]+", "")) / n,
         "word_length": n / F.greatest(n_tokens, F.lit(1)),
         "tokens": n_tokens,
     }
-    flags = [t.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(w)})(?![\p{{L}}\p{{N}}])").cast("int") if w else F.lit(0) for w in lexicons.values()]
+    flags = [F.arrays_overlap(runs, F.array(*(F.lit(w) for w in words))).cast("int") if words else F.lit(0) for words in lexicons.values()]
     return F.array(*(_bin(measures[m], BINS[m]) for m in BINS), *flags)
 
 
@@ -157,8 +168,9 @@ def mix(
 
     cols = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
     u = (F.pmod(F.xxhash64(F.col(id).cast("long"), F.col(text), F.lit(41)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    measured = docs.select(*cols, F.col(id).cast("long").alias("_sl_id"), F.col(text).alias("_sl_text"), _tokens(F.col(text)).alias("n_tokens"), u.alias("_sl_u"))
-    measured = measured.withColumn("_sl_bins", _bins(F.col("_sl_text"), F.col("n_tokens"), lexicons)).drop("_sl_text")
+    measured = docs.select(*cols, F.col(id).cast("long").alias("_sl_id"), F.col(text).alias("_sl_text"), _runs(F.col(text)).alias("_sl_runs"), u.alias("_sl_u"))
+    measured = measured.withColumn("n_tokens", _tokens(F.col("_sl_runs")))
+    measured = measured.withColumn("_sl_bins", _bins(F.col("_sl_text"), F.col("_sl_runs"), F.col("n_tokens"), lexicons)).drop("_sl_text", "_sl_runs")
     if text in cols:
         narrow = scratch.put(measured.select("_sl_id", "n_tokens", "_sl_bins"))
     else:
