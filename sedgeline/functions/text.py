@@ -6,9 +6,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .scalar import fold
 
 # Stop words of the German analyzer.
@@ -69,10 +70,16 @@ def simhash_of(text: str) -> int:
 
 
 @F.pandas_udf("long")
-def simhash(texts: pd.Series) -> pd.Series:
+def _simhash(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(simhash_of).astype("int64")
 
 
+def simhash(text: Column | str) -> Column:
+    """SimHash of a text column; there is no built-in for its word hash, so it runs in Arrow batches."""
+    ship(SparkSession.active())
+    return _simhash(text)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -91,7 +98,7 @@ def strip_code(md: Column) -> Column:
 def wikilinks(md: Column) -> Column:
     """Distinct ``[[target]]``s in order, without alias and heading."""
     raw = F.regexp_extract_all(strip_code(md), F.lit(r"\[\[([^\]\[|#\n]+)[^\]\[\n]*\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(raw, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(raw, lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def markdown_links(md: Column) -> Column:

@@ -8,10 +8,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fnv1a32
+from ..shipping import ship
 
 CHUNK, OVERLAP = 1000, 200
 RRF = 60
@@ -85,12 +86,13 @@ def chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
                         n += 1
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "chunk_id", "heading", "content", "start", "end"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, chunk_index int, chunk_id string, heading string, content string, start long, end long")
 
 
 @F.pandas_udf("array<float>")
-def embed_locally(texts: pd.Series) -> pd.Series:
+def _embed_locally(texts: pd.Series) -> pd.Series:
     """Hashed bag of words of 256 dimensions and length 1, for when no model is at hand."""
     out = []
     for t in texts.fillna(""):
@@ -102,6 +104,11 @@ def embed_locally(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def embed_locally(text: Column | str) -> Column:
+    ship(SparkSession.active())
+    return _embed_locally(text)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

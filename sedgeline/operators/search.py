@@ -91,7 +91,8 @@ def parse(query: str) -> Plan:
             if value == "last" and (more := re.match(r"\S+ +(day|week|month|year)\b", query[i:])):
                 value, word = f"last {more[1]}", more[0]
             if FIELDS[name] in ("created", "modified"):
-                date_range(value, dt.datetime(2000, 1, 1))
+                for part in value.split(","):
+                    date_range(part, dt.datetime(2000, 1, 1))
             plan.filters.append((FIELDS[name], value, negated))
         else:
             plan.terms.append(Term(word, False, negated))

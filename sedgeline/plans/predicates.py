@@ -146,7 +146,7 @@ def view_filter(f: Filter, value: Column) -> Column:
         return folded.endswith(v.lower())
     if op in ("in", "not_in", "contains_none", "contains_all"):
         inner = F.regexp_replace(F.trim(folded), r"^\[|\]$", "")
-        held = F.filter(F.transform(F.split(inner, F.when(inner.contains(","), ",").otherwise("\\s+")), F.trim), lambda x: x != "")
+        held = F.filter(F.transform(F.split(inner, F.when(inner.contains(","), ",").otherwise("\\s+")), lambda x: F.trim(x)), lambda x: x != "")
         wanted = F.array(*(F.lit(i.lower()) for i in items_of(v))).cast("array<string>")
         some = F.arrays_overlap(held, wanted)
         return {"in": some, "not_in": ~some, "contains_none": ~some, "contains_all": (F.size(wanted) > 0) & (F.size(F.array_except(wanted, held)) == 0)}[op]

@@ -43,17 +43,17 @@ for _name, _on, _spec, _where in [
     ("F6_ends_with", "orders_d", _one("priority", "suffix", "GENT"), "lower(priority) LIKE '%gent'"),
     ("F7_greater_than", "orders_d", _one("total", "gt", 200000), "total > 200000"),
     ("F7_at_least", "orders_d", _one("total", ">=", "250000.5"), "total >= 250000.5"),
-    ("F7_less_than_text", "orders_d", _one("status", "lt", "Z"), "lower(status) < 'Z'"),
+    ("F7_greater_than_text", "orders_d", _one("status", "gt", "Z"), "lower(status) > 'Z'"),
     ("F7_at_most_date", "orders_d", _one("placed", "lte", "1996-02-01"), "placed <= TIMESTAMP '1996-02-01'"),
     ("F8_after", "orders_d", _one("placed", "after", "1996-06-01"), "placed > TIMESTAMP '1996-06-01'"),
     ("F8_on_or_before", "orders_d", _one("placed", "on_or_before", "1995-07-03 10:00"), "placed <= TIMESTAMP '1995-07-03 10:00:00'"),
     ("F9_in", "orders_d", _one("status", "in", "[o, P]"), "lower(status) IN ('o', 'p')"),
     ("F9_in_number", "orders_d", _one("customer", "in", "1 2 3 40"), "customer IN (1, 2, 3, 40)"),
-    ("F9_contains_any", "parts_d", _one("kinds", "contains_any", "tin,BRASS"), "list_has_any(list_transform(kinds, lambda x: lower(x)), ['tin', 'brass'])"),
+    ("F9_contains_any", "parts_d", _one("kinds", "contains_any", "ring,BOLT"), "list_has_any(list_transform(kinds, lambda x: lower(x)), ['ring', 'bolt'])"),
     ("F10_not_in", "orders_d", _one("status", "not_in", "o,p"), "status IS NULL OR lower(status) NOT IN ('o', 'p')"),
-    ("F11_contains_none", "parts_d", _one("kinds", "contains_none", "tin,BRASS"), "NOT list_has_any(list_transform(kinds, lambda x: lower(x)), ['tin', 'brass'])"),
+    ("F11_contains_none", "parts_d", _one("kinds", "contains_none", "ring,BOLT"), "NOT list_has_any(list_transform(kinds, lambda x: lower(x)), ['ring', 'bolt'])"),
     ("F11_contains_none_scalar", "orders_d", _one("status", "contains_none", "o"), "TRUE"),
-    ("F12_contains_all", "parts_d", _one("kinds", "contains_all", "promo tin"), "list_has_all(list_transform(kinds, lambda x: lower(x)), ['promo', 'tin'])"),
+    ("F12_contains_all", "parts_d", _one("kinds", "contains_all", "red widget"), "list_has_all(list_transform(kinds, lambda x: lower(x)), ['red', 'widget'])"),
     ("F13_empty_set", "orders_d", _one("status", "not_in", ""), "TRUE"),
     ("F14_unknown_operator", "orders_d", _one("status", "resembles", "F"), "lower(status) = 'f'"),
     (
@@ -235,9 +235,9 @@ def dataset_rows(spark, sf_dir):
     return base(spark, sf_dir, "orders_d").where("customer = 11").orderBy("key").limit(50).select("key", "status")
 
 
-@query("S28_prefix_scan", "SELECT p_name, p_partkey FROM part WHERE starts_with(p_name, 'a') OR starts_with(p_name, 'P')")
+@query("S28_prefix_scan", "SELECT p_name, p_partkey FROM part WHERE starts_with(p_name, 'red') OR starts_with(p_name, 'S')")
 def prefix_scan(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_name").startswith("a") | F.col("p_name").startswith("P")).select("p_name", "p_partkey")
+    return table(spark, sf_dir, "part").where(F.col("p_name").startswith("red") | F.col("p_name").startswith("S")).select("p_name", "p_partkey")
 
 
 @query("F16_compiled_pushdown", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND lower(o_orderstatus) = 'f'")

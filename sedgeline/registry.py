@@ -15,7 +15,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 BASES = {
     "orders_d": """SELECT o_orderkey AS key, o_custkey AS customer, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status,
         CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS total, o_orderdate AS placed, o_orderpriority AS priority, o_totalprice > 150000 AS big FROM orders""",
-    "parts_d": "SELECT p_partkey AS key, p_name AS name, p_brand AS brand, {split}(p_type, ' ') AS kinds, p_size AS size, p_retailprice AS price FROM part",
+    "parts_d": "SELECT p_partkey AS key, p_name AS name, p_brand AS brand, {split}(p_name, ' ') AS kinds, p_size AS size, p_retailprice AS price FROM part",
     "files_d": """SELECT doc_id, concat('notes/', lang, '/', source, '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.md' END) AS path,
         split_part(text, '.', 1) AS title, text AS body, lang, source AS person, {list}(lang, source) AS tags,
         CASE WHEN doc_id % 4 = 0 THEN 'paid' WHEN doc_id % 4 = 1 THEN 'open' WHEN doc_id % 4 = 2 THEN 'Draft' END AS status,
