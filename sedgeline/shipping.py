@@ -11,9 +11,18 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Session settings that bound a batch sent to a Python worker: Spark's default, and ours where it is still the default.
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+}
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application."""
+    """Send the package's sources to the executors, once per application, and bound the batches they get."""
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
