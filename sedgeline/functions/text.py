@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 from .scalar import fold
@@ -69,7 +70,7 @@ def simhash_of(text: str) -> int:
     return int(np.packbits(2 * bits.astype(np.int64) > len(tokens), bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _simhash(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(simhash_of).astype("int64")
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fnv1a32
 from ..shipping import ship
@@ -50,7 +51,7 @@ def spans_of(data: bytes, size: int = CHUNK, overlap: int = OVERLAP, separators:
                 while cut > at + 1 and data[cut] & 0xC0 == 0x80:  # not inside a character
                     cut -= 1
                 break
-            cut = data.rfind(s, at + 1, room)
+            cut = data.rfind(s, at + (room - at) // 2, room)  # not so early that the chunk is mostly what overlaps
             if cut > at:
                 cut += len(s)
                 break
@@ -91,7 +92,7 @@ def chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, chunk_index int, chunk_id string, heading string, content string, start long, end long")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _embed_locally(texts: pd.Series) -> pd.Series:
     """Hashed bag of words of 256 dimensions and length 1, for when no model is at hand."""
     out = []
@@ -178,7 +179,7 @@ class IvfIndex:
         self.centroids = c
         shared = vectors.sparkSession.sparkContext.broadcast(c)
 
-        @F.pandas_udf("int")
+        @F.pandas_udf(T.IntegerType())
         def cell(v: pd.Series) -> pd.Series:
             m = np.array(v.tolist(), np.float64) if len(v) else np.zeros((0, shared.value.shape[1]))
             return pd.Series((m @ shared.value.T).argmax(axis=1).astype(np.int32))

@@ -400,33 +400,23 @@ def inverse(spark, sf_dir):
     SELECT path, count(*) AS shared FROM men SEMI JOIN near USING (entity) WHERE path <> (SELECT path FROM files_d WHERE doc_id = 28) GROUP BY path""",
     ("files_d",),
 )
-@query(
-    "J17_entity_mentions",
-    "WITH ent(entity, name) AS (VALUES (1, 'idiot'), (2, 'moron')) SELECT DISTINCT path, entity FROM files_d JOIN ent ON contains(lower(concat(title, chr(10), body)), name)",
-    ("files_d",),
-)
 def related(spark, sf_dir):
-    raise NotImplementedError
-
-
-def _related(spark, sf_dir):
     f = base(spark, sf_dir, "files_d")
     ent = spark.createDataFrame([(1, "Idiot"), (2, "moron"), (3, "clown"), (4, "pathetic")], "entity int, name string")
     return G.related(f, ent, spark.createDataFrame([(1, 4)], "a int, b int"), f.where("doc_id = 28").first()["path"])
 
 
-def _mentions(spark, sf_dir):
+@query(
+    "J17_entity_mentions",
+    "WITH ent(entity, name) AS (VALUES (1, 'idiot'), (2, 'moron')) SELECT DISTINCT path, entity FROM files_d JOIN ent ON contains(lower(concat(title, chr(10), body)), name)",
+    ("files_d",),
+)
+def mentions(spark, sf_dir):
     f = base(spark, sf_dir, "files_d").select("path", F.lower(F.concat_ws("\n", "title", "body")).alias("t"))
     ent = spark.createDataFrame([(1, "idiot"), (2, "moron")], "entity int, name string")
     return f.join(F.broadcast(ent), F.col("t").contains(F.col("name"))).select("path", "entity").distinct()
 
 
-from .registry import QUERIES  # noqa: E402
-
-QUERIES["D10_related"] = _related
-QUERIES["J17_entity_mentions"] = _mentions
-
-
 @query("A11_rollup", "SELECT o_custkey AS src, count(*) AS n, round(sum(l_quantity), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 @query("J15_rollup_join", "SELECT o_custkey AS src, count(*) AS n, round(sum(l_quantity), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def rollup(spark, sf_dir):
@@ -495,7 +485,7 @@ def journal_query(spark, sf_dir):
 @query(
     "J12_segment_speaker",
     """WITH seg AS (SELECT event_id AS id, event_id % 5 AS track, event_id * 70 AS s, event_id * 70 + 400 AS e FROM events), turn AS (SELECT concat('sp', user_id % 4) AS speaker, event_id % 5 AS track, event_id * 70 + 111 AS s, event_id * 70 + 111 + CAST(floor(value * 20) AS BIGINT) AS e FROM events),
-    o AS (SELECT seg.id, seg.s, seg.e, speaker, sum(least(seg.e, turn.e) - greatest(seg.s, turn.s)) AS overlap FROM seg JOIN turn ON seg.track = turn.track AND turn.s < seg.e AND seg.s < turn.e GROUP BY ALL),
+    o AS (SELECT seg.id, seg.s, seg.e, speaker, sum(least(seg.e, turn.e) - greatest(seg.s, turn.s)) AS overlap FROM seg JOIN turn ON seg.track = turn.track AND turn.s < turn.e AND turn.s < seg.e AND seg.s < turn.e GROUP BY ALL),
     b AS (SELECT id, s, e, arg_min(speaker, (-overlap, speaker)) AS speaker, max(overlap) AS overlap, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS speakers FROM o GROUP BY id, s, e)
     SELECT id, speaker, CAST(overlap AS BIGINT) AS overlap, speakers, round(overlap / (e - s), 6) AS confidence FROM b""",
 )
@@ -518,15 +508,7 @@ def speakers(spark, sf_dir):
     hit AS (SELECT row, person, 0 AS k, 'source' AS reason FROM inc JOIN known USING (source) UNION ALL SELECT row, person, 1, 'email' FROM inc JOIN known USING (email) UNION ALL SELECT row, person, 2, 'phone' FROM inc JOIN known USING (phone) UNION ALL SELECT row, person, 3, 'name' FROM inc JOIN known USING (name)),
     best AS (SELECT row, person, reason FROM hit QUALIFY row_number() OVER (PARTITION BY row ORDER BY k, person) = 1) SELECT inc.row, person, reason FROM inc LEFT JOIN best USING (row)""",
 )
-@query(
-    "D38_contact_import",
-    "WITH known AS (SELECT lower(c_name) AS name, min(c_custkey) AS person FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) SELECT c_custkey AS row, person, CASE WHEN person IS NULL THEN 'create' ELSE 'merge' END AS action FROM customer LEFT JOIN known ON known.name = lower(c_name)",
-)
 def contact_duplicates(spark, sf_dir):
-    raise NotImplementedError
-
-
-def _contact_duplicates(spark, sf_dir):
     d = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
 
@@ -538,7 +520,11 @@ def _contact_duplicates(spark, sf_dir):
     return C.import_plan(inc, known)
 
 
-def _contact_import(spark, sf_dir):
+@query(
+    "D38_contact_import",
+    "WITH known AS (SELECT lower(c_name) AS name, min(c_custkey) AS person FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) SELECT c_custkey AS row, person, CASE WHEN person IS NULL THEN 'create' ELSE 'merge' END AS action FROM customer LEFT JOIN known ON known.name = lower(c_name)",
+)
+def contact_import(spark, sf_dir):
     d = table(spark, sf_dir, "customer")
     none = F.lit(None).cast("string")
     known = d.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("person"), none.alias("source"), none.alias("email"), none.alias("phone"), F.lower("c_name").alias("name"))
@@ -546,10 +532,6 @@ def _contact_import(spark, sf_dir):
     return C.import_plan(inc, known).select("row", "person", F.when(F.col("person").isNull(), "create").otherwise("merge").alias("action"))
 
 
-QUERIES["J20_contact_duplicates"] = _contact_duplicates
-QUERIES["D38_contact_import"] = _contact_import
-
-
 @query("U3_contact_timeline", "SELECT ts, kind, id FROM (SELECT o_orderdate AS ts, 'interaction' AS kind, o_orderkey AS id, o_custkey AS p FROM orders UNION ALL SELECT o_orderdate + INTERVAL 30 DAY, 'follow_up', o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0) WHERE p = 11 ORDER BY ts DESC, kind, id LIMIT 20")
 def contact_timeline(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("id"))

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -220,7 +221,7 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", kind_of(F.col("content"), F.col("path")).alias("kind"), "content").mapInPandas(run, "path string, kind string, text string, error string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _html_text(html: pd.Series) -> pd.Series:
     return html.fillna("").map(html_text)
 

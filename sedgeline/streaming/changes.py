@@ -24,10 +24,9 @@ def debounced(events: DataFrame, millis: int = 500) -> DataFrame:
     empty = F.array().cast("array<struct<ts:timestamp_ntz,op:int>>")
 
     def step(acc, e):
-        last = F.element_at(acc, -1)
         same = (F.size(acc) > 0) & (F.unix_micros(e["ts"].cast("timestamp")) < F.unix_micros(F.try_element_at(acc, F.lit(-1))["ts"].cast("timestamp")) + millis * 1000)
         joined = F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["ts"].alias("ts"), F.try_element_at(acc, F.lit(-1))["op"].bitwiseOR(e["op"]).alias("op"))))
-        return F.when(same, joined).otherwise(F.concat(acc, F.array(F.struct(e["ts"].alias("ts"), e["op"].alias("op"))))) if last is not None else acc
+        return F.when(same, joined).otherwise(F.concat(acc, F.array(F.struct(e["ts"].alias("ts"), e["op"].alias("op")))))
 
     return runs.select("path", F.explode(F.aggregate("es", empty, step)).alias("b")).select("path", "b.ts", op_name(F.col("b.op")).alias("op"))
 
@@ -114,7 +113,7 @@ def stable_files(sightings: DataFrame, quiet_seconds: int = 1) -> DataFrame:
     """(path, ts): when a file's size and time had not changed for ``quiet_seconds``, from its sightings (path, ts, size)."""
     w = Window.partitionBy("path").orderBy("ts")
     new = (F.coalesce(F.lag("size").over(w), F.lit(-1)) != F.col("size")).cast("int")
-    run = sightings.withColumn("_sl_run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))) if False else sightings.withColumn("_sl_new", new)
+    run = sightings.withColumn("_sl_new", new)
     run = run.withColumn("_sl_run", F.sum("_sl_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     began = run.withColumn("_sl_began", F.min("ts").over(Window.partitionBy("path", "_sl_run")))
     quiet = F.col("ts").cast("timestamp").cast("double") - F.col("_sl_began").cast("timestamp").cast("double") >= quiet_seconds
