@@ -20,8 +20,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower-case, without marks."""
-    return F.translate(F.lower(c), _MARKED, _PLAIN)
+    """Lower-case, without marks; texts without marked letters are not translated character by character."""
+    low = F.lower(c)
+    return F.when(low.rlike(f"[{_MARKED}]"), F.translate(low, _MARKED, _PLAIN)).otherwise(low)
 
 
 def parse_date(c: Column) -> Column:

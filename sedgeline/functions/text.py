@@ -25,8 +25,7 @@ STOP_WORDS = (
 SUFFIXES = ("lichkeit", "igkeit", "heit", "keit", "isch", "lich", "ung", "end", "ern", "em", "er", "en", "es", "e", "s")
 
 
-def _stemmed(word: Column) -> Column:
-    folded = F.regexp_replace(F.translate(word, "äöü", "aou"), "ß", "ss")
+def _stemmed(folded: Column) -> Column:
     out = folded
     for s in reversed(SUFFIXES):
         out = F.when(folded.endswith(s) & (F.length(folded) - len(s) >= 4), F.substring(folded, F.lit(1), F.length(folded) - len(s))).otherwise(out)
@@ -37,7 +36,14 @@ def german_tokens(text: Column) -> Column:
     """Distinct stems of a text in order: lower-cased, trimmed to letters and digits, stop words out."""
     raw = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     kept = F.filter(raw, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    return F.array_distinct(F.filter(F.transform(kept, _stemmed), lambda w: w != ""))
+    # folded in a step of its own: the stemmer reads each word many times
+    folded = F.transform(kept, lambda w: F.replace(F.translate(w, "äöü", "aou"), F.lit("ß"), F.lit("ss")))
+    return F.array_distinct(F.filter(F.transform(folded, _stemmed), lambda w: w != ""))
+
+
+def may_hold_stem(text: Column, stem: str) -> Column:
+    """Whether a text can have a token that begins with a stem: a cheap test before the token pipeline."""
+    return F.replace(F.translate(F.lower(text), "äöü", "aou"), F.lit("ß"), F.lit("ss")).contains(stem)
 
 
 def words(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ascii_lower, base_name, extension, fold
-from ..functions.text import german_tokens, words
+from ..functions.text import german_tokens, may_hold_stem, words
 
 K1, B = 1.2, 0.75
 FIELDS = {"tag": "tag", "path": "path", "status": "status", "type": "type", "index": "index", "index_status": "index", "filename": "filename", "filetype": "filetype", "created": "created", "modified": "modified"}
@@ -149,7 +149,8 @@ def three_legs(docs: DataFrame, id: str, text: Column, query: str) -> DataFrame:
     raw = bm25(docs, id, text, terms)
     spark = docs.sparkSession
     stems = spark.range(1).select(german_tokens(F.lit(query)).alias("s")).first()["s"]
-    by_stem = docs.select(F.col(id).alias("id"), german_tokens(text).alias("ts")).where(reduce(and_, [F.exists("ts", _starts(s)) for s in stems], F.lit(bool(stems))))
+    held = docs.where(reduce(and_, [may_hold_stem(text, s) for s in stems], F.lit(bool(stems))))
+    by_stem = held.select(F.col(id).alias("id"), german_tokens(text).alias("ts")).where(reduce(and_, [F.exists("ts", _starts(s)) for s in stems], F.lit(bool(stems))))
     grams = [w for w in query.lower().split() if len(w) >= 3 and w.isalnum()]
     by_part = docs.select(F.col(id).alias("id"), fold(text).alias("t")).where(reduce(and_, [F.col("t").contains(g) for g in grams], F.lit(bool(grams))))
     none = F.lit(None).cast("double").alias("score")
