@@ -219,3 +219,35 @@ def attach(extractions: DataFrame, chunk_table: DataFrame) -> DataFrame:
     joined = extractions.join(c, "doc").withColumn("_sl_away", away)
     best = joined.groupBy("doc", "extraction").agg(F.min(F.struct("_sl_away", "chunk_index")).alias("m"))
     return best.select("doc", "extraction", F.col("m.chunk_index").alias("chunk_index"))
+
+
+def sections(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, section, heading, start, size): the sections of each Markdown text, with the path of headings that leads to them."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, n, h, s, len(body.encode())) for i, t in zip(b["id"], b["text"], strict=True) for n, (h, body, s) in enumerate(sections_of(t or ""))]
+            yield pd.DataFrame(rows, columns=["id", "section", "heading", "start", "size"])
+
+    kind = docs.schema[id].dataType.simpleString()
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, section int, heading string, start long, size long")
+
+
+def weighted_metadata(title: Column, tags: Column, aliases: Column, rest: Column) -> Column:
+    """The metadata section of a document: title and tags three times, aliases twice, the rest once."""
+    t = F.concat_ws(" ", title, F.array_join(tags, " "))
+    return F.trim(F.concat_ws(" ", t, t, t, F.array_join(aliases, " "), F.array_join(aliases, " "), rest))
+
+
+def centroids(vectors: DataFrame, cell: str, vector: str) -> DataFrame:
+    """(cell, n, centroid): component-wise means, by one aggregation over components."""
+    parts = vectors.select(cell, F.posexplode(vector).alias("i", "x")).groupBy(cell, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
+    return parts.groupBy(cell).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
+def quantized(vector: Column, bits: int = 4) -> Column:
+    """Each component as an integer of ``bits`` bits, scaled by the vector's largest magnitude."""
+    top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    half = (1 << (bits - 1)) - 1
+    return F.transform(vector, lambda x: F.when(top > 0, F.round(x.cast("double") / top * half)).otherwise(0.0).cast("int"))

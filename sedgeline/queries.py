@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_docs, queries_extra  # noqa: F401
+from . import queries_data, queries_docs, queries_extra, queries_more  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
