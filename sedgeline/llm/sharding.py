@@ -82,11 +82,11 @@ def assign_shards(docs: DataFrame, shards: int = 24, *, id: str = "doc_id", text
         return sorted(((r[0], r[1]) for r in got), key=lambda k: (k[0], LOW if k[1] is None else k[1]))
 
     cuts = _splitters(draw(keys, ranges * SAMPLES, total), ranges)
-    for _ in range(8):
+    for attempt in range(9):
         counted = keys.select(_before(F.col("text_crc32"), F.col("_sl_id"), cuts).alias("range"), "size", "text_crc32", "_sl_id")
         stats = counted.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("size").alias("m"), F.min(F.struct("text_crc32", "_sl_id")).alias("k0"), F.max(F.struct("text_crc32", "_sl_id")).alias("k1")).collect()
         over = [r for r in stats if r["b"] > OVERFULL * share + r["m"] and r["k0"] != r["k1"]]
-        if not over:
+        if not over or attempt == 8:
             break
         among = counted.where(F.col("range").isin([r["range"] for r in over]))
         more: set[tuple[int, int | None]] = set()
