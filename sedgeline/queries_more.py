@@ -42,7 +42,7 @@ def bm25_prefix(spark, sf_dir):
     return hits.select(F.col("id").alias("path"), F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "path").limit(10)
 
 
-_NOTEBOOK = "WITH n AS (SELECT doc_id, body FROM files_d WHERE doc_id % 20 = 1) SELECT doc_id, CASE WHEN contains(lower(body), 'idiot') THEN 1.0 ELSE 0.0 END AS score, CASE WHEN contains(lower(body), 'idiot') THEN NULL ELSE left(body, 500) END AS head FROM n"
+_NOTEBOOK = "WITH n AS (SELECT doc_id, body FROM files_d WHERE doc_id % 20 = 1) SELECT doc_id, CAST(contains(lower(body), 'idiot') AS INT)::DOUBLE AS score, CASE WHEN contains(lower(body), 'idiot') THEN NULL ELSE left(body, 500) END AS head FROM n"
 
 
 @query("T20_notebook_search", _NOTEBOOK, ("files_d",))
@@ -87,7 +87,7 @@ def recent_first(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(at.desc(), "o_orderkey")).alias("place"))
 
 
-@query("D49_meetings", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS speakers, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
+@query("D49_meetings", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS speakers, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def meetings(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("speakers"), F.sum(F.length("text")).alias("chars"))
 
@@ -112,14 +112,15 @@ def pending_embeddings(spark, sf_dir):
     return K.delete(base(spark, sf_dir, "files_d").where("index_status = 'stale'").select("doc_id"), done, "doc_id")
 
 
-@query("A17_centroids", "SELECT label, max(n) AS n, list(round(m, 6) ORDER BY i) AS centroid FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m, count(*) AS n FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i) GROUP BY label, i) GROUP BY label")
+@query("A17_centroids", "SELECT label, CAST(i - 1 AS INT) AS i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x, count(*) AS n FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i) GROUP BY label, i")
 def centroids(spark, sf_dir):
-    return R.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "n", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    c = R.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return c.select("label", "n", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("X27_quantized", "SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / m * 7) AS INT)) AS code FROM (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS m FROM embeddings)")
+@query("X27_quantized", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / m * 7) AS INT)), ',') AS code FROM (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS m FROM embeddings)")
 def quantized(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", R.quantized(F.col("embedding")).alias("code"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(R.quantized(F.col("embedding")), ",").alias("code"))
 
 
 @query("R10_run_state", "SELECT author, kind FROM log_d QUALIFY row_number() OVER (PARTITION BY author ORDER BY lamport DESC, ts DESC, author DESC, seq DESC, id DESC) = 1", ("log_d",))
