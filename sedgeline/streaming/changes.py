@@ -45,26 +45,27 @@ def debounce_stream(events: DataFrame, millis: int = 500) -> DataFrame:
             self.handle = handle
             self.state = handle.getValueState("burst", "ts timestamp, op int")
 
-        def handleInputRows(self, key, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             ts, op = self.state.get() if self.state.exists() else (None, 0)
             fresh = ts is None
             for pdf in rows:
                 for r in pdf.sort_values("ts").itertuples():
-                    ts, op = ts if ts is not None else r.ts, op | r.op
+                    ts, op = ts if ts is not None else r.ts.to_pydatetime(), op | int(r.op)
             self.state.update((ts, op))
             if fresh:
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + millis)
-            yield pd.DataFrame({"path": [], "ts": [], "op": []})
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + millis)
+            return iter(())
 
-        def handleExpiredTimer(self, key, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             ts, op = self.state.get()
             self.state.clear()
-            yield pd.DataFrame({"path": [key[0]], "ts": [ts], "op": [op]})
+            yield pd.DataFrame({"path": [key[0]], "ts": [pd.Timestamp(ts)], "op": [op]})
 
         def close(self):
             pass
 
-    return events.groupBy("path").transformWithStateInPandas(Debounce(), "path string, ts timestamp, op int", "Append", "ProcessingTime")
+    bursts = events.groupBy("path").transformWithStateInPandas(Debounce(), "path string, ts timestamp, op int", "Append", "ProcessingTime")
+    return bursts.select("path", "ts", op_name(F.col("op")).alias("op"))
 
 
 def quiet_periods(events: DataFrame, key: str, millis: int = 500) -> DataFrame:

@@ -139,6 +139,24 @@ def test_debounce(spark):
     assert got == {("a", at(0), "create"), ("a", at(500), "remove"), ("b", at(5), "remove")}
 
 
+def test_debounce_stream(spark, tmp_path):
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = dt.datetime(2024, 1, 1)
+    d = spark.createDataFrame([("a", t, 2), ("a", t + dt.timedelta(milliseconds=100), 1), ("b", t, 4)], "path string, ts timestamp, op int")
+    d.write.parquet(f"{tmp_path}/in")
+    stream = ST.debounce_stream(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in"), 300)
+    q = stream.writeStream.format("memory").queryName("bursts").outputMode("append").trigger(processingTime="1 second").start()
+    for _ in range(40):
+        time.sleep(0.5)
+        if spark.table("bursts").count() == 2 or not q.isActive:
+            break
+    got = {(r["path"], r["ts"], r["op"]) for r in spark.table("bursts").collect()}
+    q.stop()
+    assert got == {("a", t, "create"), ("b", t, "remove")}
+
+
 def test_quiet_stream_equals_batch(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [(i, "ab"[i % 2], t + dt.timedelta(milliseconds=m)) for i, m in enumerate((0, 10, 300, 700, 2000, 2100, 60_000, 60_000))]
