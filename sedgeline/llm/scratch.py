@@ -7,6 +7,8 @@ intermediate result with it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,9 +36,16 @@ def scratch_dir(spark: SparkSession) -> str:
     app = sc.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="sedgeline-")
+        atexit.register(shutil.rmtree, _local_dirs[app], True)
     return _local_dirs[app]
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of the corpus operators; call it when no DataFrame of theirs is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/sedgeline")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one operator call; ``put`` writes and rereads, ``drop`` deletes what is no longer read."""
 

@@ -394,3 +394,14 @@ def test_empty_tables(spark, sf):
     assert select(d, lab).count() == 0
     assert score(d, fit(d, lab)).count() == 0
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "url string, block int"), RULES).count() == 0
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from sedgeline.llm.scratch import clear, scratch_dir
+
+    t = Scratch(spark, "x").put(spark.range(3).toDF())
+    assert t.count() == 3 and os.path.isdir(f"{scratch_dir(spark)}/sedgeline")
+    clear(spark)
+    assert not os.path.isdir(f"{scratch_dir(spark)}/sedgeline")
