@@ -401,7 +401,7 @@ def test_scratch_is_cleared(spark):
 
     from sedgeline.llm.scratch import clear, scratch_dir
 
-    t = Scratch(spark, "x").put(spark.range(3).toDF())
+    t = Scratch(spark, "x").put(spark.range(3))
     assert t.count() == 3 and os.path.isdir(f"{scratch_dir(spark)}/sedgeline")
     clear(spark)
     assert not os.path.isdir(f"{scratch_dir(spark)}/sedgeline")
