@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .fingerprints import fingerprint_with_edit
-from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .passages import dedup_passages
 from .pii import KINDS, find_personal_data, listed
 from .quality import select
 from .sharding import assign_shards
@@ -52,7 +52,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string"))), ",")
     return found.select("doc_id", "n_removed", spans.alias("removed"), F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

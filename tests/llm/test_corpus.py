@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -14,6 +15,7 @@ from sedgeline.llm.decontaminate import decontaminate
 from sedgeline.llm.line_dedup import MIN_WORDS, chunks, dedup_lines
 from sedgeline.llm.mixing import mix, take
 from sedgeline.llm.near_dedup import keep_one, near_duplicates
+from sedgeline.llm.passages import GRAM, WINDOW, dedup_passages
 from sedgeline.llm.pii import KINDS, find_personal_data, listed
 from sedgeline.llm.quality import kth_largest, select
 from sedgeline.llm.scratch import Scratch
@@ -238,6 +240,47 @@ def test_chunks_cover_and_resist_shifts():
     assert len(a & b) >= 0.7 * len(a)
 
 
+def test_passages_go_whole_wherever_they_stand(spark):
+    r = random.Random(12)
+    words = lambda n: [r.choice(VOCAB) for _ in range(n)]
+    texts, shared = [], []
+    for n in [33, 40, 51, 60, 90, 400] * 5:
+        shared.append(" ".join(words(n)))
+        for sep in (" ", ". ", "\n"):
+            texts.append(f"{' '.join(words(r.randint(0, 150)))}{sep}{shared[-1]}{sep}{' '.join(words(r.randint(0, 150)))}")
+    texts += [None, "", texts[0], " ".join(["same"] * 300), "é\u2003 😀 " * 60]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])]
+    got = {(x["doc_id"], x["old"]): x for x in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text"))).collect()}
+    for k, p in enumerate(shared):
+        assert p in got[3 * k, texts[3 * k]]["text"]
+        for i in (3 * k + 1, 3 * k + 2):
+            before, after = texts[i].split(p)
+            assert got[i, texts[i]]["text"].split() == before.split() + after.split()
+            assert got[i, texts[i]]["n_removed"] == 1
+    assert got[30 * 3 + 2, texts[0]]["text"] == "" and got[None, texts[1]]["text"] == ""
+    assert got[30 * 3, None]["text"] is None and got[30 * 3 + 1, ""]["text"] == ""
+
+
+def test_passages_leave_one_copy(spark, docs):
+    n = GRAM + WINDOW - 1
+    for x in (got := dedup_passages(docs).join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").collect()):
+        raw, kept, at = (x["old"] or "").encode(), [], 0
+        for s, e in x["removed"]:
+            kept.append(raw[at:s])
+            at = e
+        kept.append(raw[at:])
+        assert b"".join(kept).decode() == (x["text"] or "")
+    grams = lambda t: {t[a[0].start() : a[-1].end()] for a in zip(*(list(re.finditer(rb"[^\x00-\x20]+", t))[k:] for k in range(n)), strict=False)}
+    everywhere, left = collections.Counter(), collections.Counter()
+    for x in got:
+        everywhere.update(grams((x["old"] or "").encode()))
+        raw, at = (x["old"] or "").encode(), 0
+        for s, e in [*x["removed"], (len(raw), len(raw))]:
+            left.update(grams(raw[at:s]))
+            at = e
+    assert max(everywhere.values()) > 1 and max(left.values()) == 1
+
+
 def test_personal_data(spark):
     texts = [
         "a@b.c_d@e.f x", "mail é a.b+c@d-e.org.", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112", "+1 (555) 010-9999 and +12",
