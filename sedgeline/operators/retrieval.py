@@ -156,9 +156,10 @@ def shortlist_search(vectors: DataFrame, query: list[float], k: int, *, id: str
 
 
 class IvfIndex:
-    """Vectors dealt to k-means cells; a search scans the nearest cells only.
+    """Vectors dealt to k-means cells; a search scans the nearest cells, then those that may still hold a better vector.
 
-    Centroids are fitted on a bounded sample (``sample`` rows by a hash of the id), every vector is indexed.
+    By a cell's widest angle no vector of it is nearer to the query than the bound tells, so a search is exact
+    unless it names its ``probes``. Centroids are fitted on a bounded sample (``sample`` rows by a hash of the id), every vector is indexed.
     """
 
     def __init__(self, vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", sample: int = 20_000, rounds: int = 3):
@@ -186,11 +187,28 @@ class IvfIndex:
 
         self.table = vectors.withColumn("cell", cell(vector))
 
+        @F.pandas_udf(T.DoubleType())
+        def likeness(v: pd.Series, j: pd.Series) -> pd.Series:
+            m = np.array(v.tolist(), np.float64) if len(v) else np.zeros((0, shared.value.shape[1]))
+            return pd.Series((m * shared.value[j.to_numpy()]).sum(axis=1) / np.maximum(np.linalg.norm(m, axis=1), 1e-300))
+
+        widest = self.table.groupBy("cell").agg(F.min(likeness(F.col(vector), F.col("cell"))).alias("m")).collect()
+        self.widest = {r["cell"]: float(np.arccos(np.clip(r["m"], -1, 1))) for r in widest}
+
     def search(self, query: list[float], k: int, probes: int | None = None) -> DataFrame:
         q = np.array(query, np.float64)
-        near = np.argsort(-(self.centroids @ q), kind="stable")[: probes or self.probes]
-        rows = self.table.where(F.col("cell").isin([int(j) for j in near]))
-        return vector_search(rows, query, k, id=self.id, vector=self.vector)
+        like = self.centroids @ q
+        order = [int(j) for j in np.argsort(-like, kind="stable")]
+        near = order[: probes or self.probes]
+        if probes is None:
+            found = self._scan(near, query, k).collect()
+            away = np.arccos(np.clip(like / max(float(np.linalg.norm(q)), 1e-300), -1, 1))
+            least = found[-1]["score"] if len(found) == k else -2.0
+            near += [j for j in order[len(near) :] if j in self.widest and np.cos(max(0.0, away[j] - self.widest[j])) >= least - 1e-6]
+        return self._scan(near, query, k)
+
+    def _scan(self, cells: list[int], query: list[float], k: int) -> DataFrame:
+        return vector_search(self.table.where(F.col("cell").isin(cells)), query, k, id=self.id, vector=self.vector)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, k: int, *, boosted: DataFrame | None = None) -> DataFrame:

@@ -104,6 +104,21 @@ def test_ivf_recall(spark, sf):
     assert found >= 0.5 * 10 * len(sorted(x)[::50])
 
 
+def test_ivf_recall(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    v = v.union(spark.createDataFrame([(-1, [0.0] * 64)], v.schema))
+    index = R.IvfIndex(v)
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
+    ids = sorted(x)
+    m = np.array([x[i] / max(np.linalg.norm(x[i]), 1e-12) for i in ids])
+    found, asked = 0, [i for i in ids if i % 200 == 0]
+    for i in asked:
+        best = {ids[j] for j in np.argsort(-(m @ x[i]), kind="stable")[:10]}
+        found += len(best & {r["vec_id"] for r in index.search(x[i].tolist(), 10).collect()})
+    assert found >= 0.9 * 10 * len(asked)
+    assert [r["vec_id"] for r in index.search([0.0] * 64, 3).collect()] == ids[:3]
+
+
 def test_graph_priorities(spark):
     nodes = spark.createDataFrame([("a/x.md", "X title", ["nick"]), ("b/x.md", "nick", []), ("x.md", "other", None)], "path string, title string, aliases array<string>")
     edges = spark.createDataFrame([("s", t) for t in ("x.md", "X", "a/x", "Nick", "./b/x.md", "gone")], "src string, target string")
