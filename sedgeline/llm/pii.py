@@ -4,15 +4,16 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers,
 and non-overlapping per kind; a match that fails its check (parts, digits, Luhn) is dropped.
 
 The method adds terms. Each distinct protected value c is an entity; its information is
-IC(c) = ln(N / n(c)) over the N documents. A term t of the words beside c discloses
-PMI(t; c) = ln(N * n(t, c) / (n(t) * n(c))) of it, where n(t) counts the documents that hold t
-and n(t, c) the distinct contexts in which t stands beside c (so that copies of one text count
-once). If t stands beside c in at least ``MIN_CONTEXTS`` contexts and PMI(t; c) reaches
-``DISCLOSURE`` of IC(c), reading t nearly tells c: every occurrence of t becomes a span of kind
-``term``. ``sanitized`` generalises base spans to their kind and removes such terms.
-
-Counts cover all documents; contexts are the words within ``CONTEXT`` characters of a value.
-Native throughout: DataFrame and SQL expressions only. The patterns use possessive
+IC(c) = ln(N / n(c)) over the N documents. A term t discloses
+PMI(t; c) = ln(N * n(t, c) / (n(t) * n(c))) of it, where n counts the documents that hold t, c
+or both, anywhere in their texts. If PMI(t; c) reaches ``DISCLOSURE`` of IC(c) and the two are not
+together by chance, reading t nearly tells c: every occurrence of t becomes a span of kind
+``term``. By chance n(t, c) documents or more hold both with a probability of at most
+exp(-n(t) * KL(n(t, c) / n(t), n(c) / N)), or the same with t and c exchanged; the smaller of the two must
+be ``CHANCE`` at most after multiplication with the number of terms that stand in a document with a value.
+``sanitized`` generalises base spans to their kind and removes such terms.
+
+Words inside e-mail addresses are no terms of their document. Native throughout: DataFrame and SQL expressions only. The patterns use possessive
 quantifiers and start only where a run starts, so they are linear on hostile texts.
 
 Defined cases: a null text counts as empty, its sanitized text is null. Rows that repeat an id are
@@ -22,13 +23,15 @@ all reported; the sanitized text replaces the one that starts first. Result colu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, MIN_CONTEXTS, DISCLOSURE = 60, 3, 0.8
+CHANCE, DISCLOSURE = 0.05, 0.8
 RESULT = ("spans", "terms", "sanitized")
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -99,39 +102,53 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _words_beside(text: Column, start: Column, end: Column) -> Column:
-    """Distinct lower-cased words within ``CONTEXT`` characters of a span, cut words left out."""
-    left = F.substring(text, F.greatest(F.lit(1), start - CONTEXT + 1), F.least(F.lit(CONTEXT), start))
-    left = F.when(start > CONTEXT, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.substring(text, end + 1, F.lit(CONTEXT))
-    right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
-    return F.concat(left, F.lit("\n"), right)
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def _surprise(draws: Column, hits: Column, share: Column) -> Column:
+    """-ln of the bound on the chance that ``hits`` or more of ``draws`` fall on a ``share`` below hits / draws of all documents."""
+    a = hits / draws
+    rest = F.when(a < 1, (1 - a) * F.ln((1 - a) / (1 - share))).otherwise(0.0)
+    return F.when(a > share, draws * (a * F.ln(a / share) + rest)).otherwise(0.0)
 
 
 def disclosing_terms(spans: DataFrame, docs: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame | None:
-    """(term) that gives a protected value away, or None if no term stands beside one value often enough.
+    """(term) that gives a protected value away, or None if no value stands in enough documents.
 
-    ``spans``: (id, value, context) of every base span.
+    ``spans``: (id, value) of every base span.
     """
-    beside = spans.select("id", "value", "context", F.xxhash64("context").alias("h"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all("context", F.lit(_TERM), F.lit(0)), F.lower))
-    # terms of a value's contexts; hot values are counted per task first
-    together = beside.dropDuplicates(["value", "h"]).select("value", F.explode(words).alias("term"))
-    together = together.groupBy("value", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= MIN_CONTEXTS)
-    n = float(docs.count())
-    n_c = beside.select("value", "id").distinct().groupBy("value").agg(F.count("*").alias("n_c"))
-    # the most documents that may hold a term for it to disclose the value
-    most = F.col("n_tc") * F.pow(n / F.col("n_c"), 1 - DISCLOSURE)
-    together = together.join(n_c, "value").where(F.col("n_c") < n).select("term", (most * (1 + 1e-12)).alias("most"))
-    together = together.groupBy("term").agg(F.max("most").alias("most"))
-    # the documents whose contexts hold the term are some of those that hold it: words of general use go here
-    beside_values = beside.dropDuplicates(["id", "h"]).select("id", F.explode(words).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("at_least"))
-    candidates = scratch.put(together.join(beside_values, "term").where("at_least <= most").select("term", "most"))
-    if not candidates.head(1):
+    ids = docs.select(F.struct(F.col(id).alias("id")).alias("id"))
+    n = float(ids.distinct().count())
+    repeats = ids.count() > n
+    held = scratch.put(spans.select(F.struct("id").alias("id"), "value").distinct())
+    if not held.head(1):
+        return None
+    # only e-mail addresses hold letters
+    outside = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _PATTERNS["email"], " ")
+    holders = docs.select(F.struct(F.col(id).alias("id")).alias("id"), outside.alias("text")).join(small(held.select("id").distinct()), "id", "left_semi")
+    stand = scratch.put(holders.select("id", F.explode(_terms(F.col("text"))).alias("term")).distinct())
+    tests = max(1, stand.select("term").distinct().count())
+    least = math.log(tests / CHANCE)
+    # the surprise of a pair is at most that of two that are always together
+    n_c = held.groupBy("value").agg(F.count("*").alias("n_c")).where(F.col("n_c") * F.ln(n / F.col("n_c")) >= least * (1 - 1e-9))
+    # t is in as many documents at most, if it is in all of c's
+    most = F.col("n_c") * F.pow(n / F.col("n_c"), 1 - DISCLOSURE) * (1 + 1e-12)
+    values = scratch.put(held.join(n_c.withColumn("most", most), "value"))
+    if not values.head(1):
         return None
-    words = docs.select(F.col(id).alias("id"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
-    n_t = words.join(small(candidates.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    return scratch.put(candidates.join(n_t, "term").where("n_t <= most").select("term"))
+    tops = values.groupBy("id").agg(F.max("most").alias("top"))
+    stand = scratch.put(stand.join(small(tops), "id"))
+    words = docs.select(F.struct(F.col(id).alias("id")).alias("id"), F.explode(_terms(F.col(text))).alias("term"))
+    words = words.join(small(stand.select("term").distinct()), "term", "left_semi")
+    n_t = (words.distinct() if repeats else words).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = scratch.put(n_t.where(F.col("n_t") * F.ln(n / F.col("n_t")) >= least * (1 - 1e-9)))
+    rare = stand.join(small(n_t), "term").where("n_t <= top").select("id", "term", "n_t")
+    pairs = rare.join(values, "id").where("n_t <= most").groupBy("value", "term").agg(F.count("*").alias("n_tc"), F.first("n_t").alias("n_t"), F.first("n_c").alias("n_c"))
+    told = F.col("n_t") <= F.col("n_tc") * F.pow(n / F.col("n_c"), 1 - DISCLOSURE) * (1 + 1e-12)
+    surprise = F.greatest(_surprise(F.col("n_t"), F.col("n_tc"), F.col("n_c") / n), _surprise(F.col("n_c"), F.col("n_tc"), F.col("n_t") / n))
+    return scratch.put(pairs.where(told & (surprise >= least)).select("term").distinct())
 
 
 def _of_kind(kind: str):
@@ -145,15 +162,15 @@ def find_personal_data(docs: DataFrame, *, id: str = "doc_id", text: str = "text
     rows = docs.select(*names)
     kinds = base_spans(F.col(text))
     every = F.concat(*(F.transform(kinds[k], _of_kind(k)) for k in KINDS))
-    beside = rows.select(F.col(id).alias("id"), F.col(text).alias("text"), F.explode(every).alias("s"))
+    beside = rows.select(F.col(id).alias("id"), F.explode(every).alias("s"))
     value = F.concat_ws(":", "s.kind", F.lower("s.value"))
-    beside = scratch.put(beside.select("id", value.alias("value"), _words_beside(F.col("text"), F.col("s.start"), F.col("s.end")).alias("context")))
+    beside = scratch.put(beside.select("id", value.alias("value")))
     terms = disclosing_terms(beside, rows, id, text, scratch)
     none = F.array().cast(_SPAN)
     if terms is None or not terms.head(1):
         found = rows.withColumn("terms", none)
     else:
-        words = rows.select(F.col(id).alias("_sl_id"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
+        words = rows.select(F.col(id).alias("_sl_id"), F.explode(_terms(F.col(text))).alias("term"))
         held = words.join(small(terms), "term", "left_semi").groupBy("_sl_id").agg(F.array_sort(F.collect_set("term")).alias("_sl_terms"))
         held = scratch.put(held)
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_sl_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))

@@ -307,6 +307,20 @@ def test_personal_data_disclosing_terms(spark):
     assert not any(got[10 + i]["terms"] for i in range(40))
 
 
+def test_terms_count_documents_that_hold_both(spark):
+    """Far from the value, in a fixed footer and with a value of two documents; not what a value meets once, nor a common word."""
+    r = random.Random(16)
+    rows = [(i, f"quillfeather {prose(60, r)} to quill@post.example.org") for i in range(2)]
+    rows += [(10 + i, f"{prose(30, r)} Yours, Marrowgate, +49 30 1234567") for i in range(6)]
+    rows += [(20, f"onceonly {prose(30, r)} once@post.example.org")]
+    rows += [(100 + i, prose(40, r)) for i in range(2000)]
+    rows += [(5000, "Quillfeather and Marrowgate met onceonly"), (None, None)]
+    got = {x["doc_id"]: x for x in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5000]["sanitized"] == " and  met onceonly"
+    assert not any(got[100 + i]["terms"] for i in range(2000))
+    assert {t["value"].lower() for x in got.values() for t in x["terms"]} == {"quillfeather", "yours", "marrowgate"}
+
+
 def test_mixing(spark):
     r = random.Random(12)
     rows, lab = [], []
