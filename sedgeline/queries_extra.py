@@ -157,6 +157,12 @@ def property_map(spark, sf_dir):
     return base(spark, sf_dir, "files_d").where("doc_id < 50").select("doc_id", m["person"].alias("person"))
 
 
+@query("S10_property_map_all")
+def property_map_all(spark, sf_dir):
+    m = F.create_map(F.lit("person"), "person", F.lit("lang"), "lang")
+    return base(spark, sf_dir, "files_d").select("doc_id", m["person"].alias("person"))
+
+
 @query("S18_file_kind", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'txt' ELSE 'md' END AS kind FROM documents")
 def kinds(spark, sf_dir):
     return base(spark, sf_dir, "files_d").select("doc_id", SRC.kind_of(F.col("body").cast("binary"), F.col("path")).alias("kind"))

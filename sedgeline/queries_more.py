@@ -161,7 +161,7 @@ def fnv(spark, sf_dir):
 
 @query("X32_chunk_ids")
 def chunk_ids(spark, sf_dir):
-    return R.chunks(table(spark, sf_dir, "documents").where("doc_id < 100"), "doc_id", "text").select("chunk_id", "start")
+    return R.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("chunk_id", "start")
 
 
 @query("S2_markdown", "SELECT concat('n', doc_id, '.md') AS path, concat('T', doc_id) AS title, array_to_string([lang, source], ',') AS tags, CAST(length(text) AS BIGINT) AS size FROM documents")
@@ -211,6 +211,14 @@ def chunk_replace(spark, sf_dir):
     return K.upsert(old, old.where("doc_id % 2 = 0").withColumn("content", F.lit("new")), "doc_id")
 
 
+@query("K5_chunk_replace_texts")
+@query("K6_extraction_import_texts")
+def chunk_replace_texts(spark, sf_dir):
+    old = R.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "chunk_index", "content")
+    fresh = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("new").alias("content"))
+    return K.upsert(old, fresh, "doc_id")
+
+
 @query("K7_view_export", "SELECT title, person, status FROM files_d WHERE type = 'letter'", ("files_d",))
 def view_export(spark, sf_dir):
     f = base(spark, sf_dir, "files_d").where("type = 'letter'").select("status", "title", "person")

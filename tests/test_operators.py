@@ -1,6 +1,7 @@
 """Operators against brute force, and every registered query with SQL against that SQL on the smallest tables."""
 
 import datetime as dt
+import hashlib
 import itertools
 import json
 import random
@@ -104,6 +105,24 @@ def test_ivf_recall(spark, sf):
     assert found >= 0.5 * 10 * len(sorted(x)[::50])
 
 
+def test_chunk_queries_cover_whole_tables(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert max(docs) >= 100
+    exp, old = [], []
+    for i, t in docs.items():
+        n = 0
+        for _, body, at in R.sections_of(t or ""):
+            data = body.encode()
+            for s, e in R.spans_of(data):
+                exp.append((R.chunk_id(str(i), hashlib.sha256(data).hexdigest(), at + s), at + s))
+                old.append((i, n, data[s:e].decode()))
+                n += 1
+    assert sorted(map(tuple, Q.QUERIES["X32_chunk_ids"](spark, sf).collect())) == sorted(exp)
+    new = [x for x in old if x[0] % 2] + [(i, 0, "new") for i in docs if i % 2 == 0]
+    assert sorted(map(tuple, Q.QUERIES["K5_chunk_replace_texts"](spark, sf).collect())) == sorted(new)
+    assert {r["doc_id"] for r in Q.QUERIES["S10_property_map_all"](spark, sf).collect()} == set(docs)
+
+
 def test_ivf_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     v = v.union(spark.createDataFrame([(-1, [0.0] * 64)], v.schema))
