@@ -2,8 +2,8 @@
 
 Features are words and word beginnings (so inflected and unseen forms of a word still
 match). Of those, the ones whose presence among labelled texts is significantly tied to
-the label (chi-square, and at least ``LIFT`` times as frequent with one label as with the other)
-form the vocabulary; a text's vector holds ``(1 + log tf) * idf``
+the label (chi-square of ``SIGNIFICANT`` or more, at least 4 texts, and at least ``LIFT`` times as frequent with one label as with the other)
+form the vocabulary, the ``VOCABULARY`` most significant at most; a text's vector holds ``(1 + log tf) * idf``
 of its vocabulary terms, scaled to length 1.
 
 The labelled examples are laid out by their strongest term in blocks of ``BLOCK``; each
@@ -22,7 +22,7 @@ hash of the id; repeated texts among them count once. Every document is scored o
 
 Defined cases: null, empty and wordless texts get the score of a text without vocabulary
 terms. A label without a document, or with a null value, is not used; an id labelled more than
-once takes its largest label. Without any labelled text of either kind every score is the prior.
+once takes its largest label, one with several texts its least text. Without any labelled text of either kind every score is the prior.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from ..shipping import ship
 from .tokens import WORD, Words, blocks, span_hashes, words
 
 BLOCK, OPEN_FIRST = 32, 6
-PREFIXES = (4, 6)
+PREFIXES = (4, 7, 8)
 SIGNIFICANT, LIFT = 30.0, 2.0
 VOCABULARY = 16_384
 
@@ -219,7 +219,7 @@ def fit(
 
     once = texts.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.min("id").alias("id")).select("id", "label")
     once = docs.sparkSession.createDataFrame(once.collect(), "id long, label int")  # at most max_labelled pairs
-    distinct = rows.join(F.broadcast(once), "id").where("text is not null").dropDuplicates(["id"]).select("id", "label", "text")
+    distinct = rows.join(F.broadcast(once), "id").where("text is not null").groupBy("id", "label").agg(F.min("text").alias("text"))
     count = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = count.get(1, 0), sum(n for y, n in count.items() if y != 1)
     df = distinct.mapInArrow(presence, "id long, label int, f array<long>").select("label", F.explode("f").alias("f"))
