@@ -66,6 +66,28 @@ def fnv1a32(word: str) -> int:
     return h
 
 
+def fnv64(text: Column | str) -> Column:
+    """FNV-1a of a text's UTF-8 bytes, 64 bits as a signed number; null for null."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf(T.LongType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else (fnv1a64(t) + 2**63) % 2**64 - 2**63).astype("Int64")
+
+    return run(text)
+
+
+def fnv32(text: Column | str) -> Column:
+    """FNV-1a of a text's UTF-8 bytes, 32 bits without sign; null for null."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf(T.LongType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else fnv1a32(t)).astype("Int64")
+
+    return run(text)
+
+
 def simhash_of(text: str) -> int:
     """Signed 64-bit SimHash of a text's lower-cased words."""
     tokens = text.lower().split()
@@ -121,6 +143,29 @@ def inline_tags(md: Column) -> Column:
     return F.array_distinct(F.transform(raw, F.lower))
 
 
+def format_metadata(fields: dict[str, Column]) -> Column:
+    """``name: value`` lines of the fields that have a value."""
+    return F.concat_ws("\n", *(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{n}: "), c)) for n, c in fields.items()))
+
+
+def match_metadata(fields: dict[str, Column], wanted: str) -> Column:
+    """Whether ``name:value`` holds of the fields, case apart; an unknown name holds of nothing."""
+    name, _, value = wanted.partition(":")
+    c = fields.get(name.strip().lower())
+    return F.lit(False) if c is None else F.coalesce(F.lower(c) == value.strip().lower(), F.lit(False))
+
+
+def strip_metadata(query: Column, names: list[str]) -> Column:
+    """A query without its ``name:value`` words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(query, rf"(?i)(?<!\S)(?:{'|'.join(names)}):\S*", " "), r"\s+", " "))
+
+
+def unknown_citations(answer: Column, sources: Column) -> Column:
+    """Distinct ``[n]`` of an answer, outside code, that name none of its ``sources`` (numbered from 1), ascending."""
+    raw = F.transform(F.regexp_extract_all(strip_code(answer), F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda n: n.cast("long"))
+    return F.array_sort(F.array_distinct(F.filter(raw, lambda n: (n < 1) | (n > sources))))
+
+
 def alias_list(raw: Column) -> Column:
     """Aliases from ``[a, b]``, ``a, b`` or one value."""
     inner = F.regexp_replace(F.trim(raw), r"^\[|\]$", "")

@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hamming, similarity
-
 
 def docs_list(files: DataFrame, *, kind: str | None = None, status: str | None = None, person: str | None = None, year: int | None = None, due_before: str | None = None, confidence: tuple[int, int] | None = None) -> DataFrame:
     """Documents by metadata; what is not given does not restrict."""
@@ -64,44 +62,35 @@ def classify(docs: DataFrame, rules: list[tuple[str, str, str]], text: Column) -
     return out
 
 
-def annotate(docs: DataFrame, id: str, text: str, patterns: dict[str, str]) -> DataFrame:
-    """(id, field, value): distinct matches of each field's pattern."""
-    found = [docs.select(id, F.lit(f).alias("field"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))).alias("value")) for f, p in patterns.items()]
-    return reduce(DataFrame.unionByName, found)
-
+def dry_run(docs: DataFrame, rule: tuple[str, str, str], text: Column) -> DataFrame:
+    """The documents that a rule would set, with the ``value`` it sets; nothing is written."""
+    pattern, _, value = rule
+    return docs.where(F.lower(text).contains(pattern.lower())).withColumn("value", F.lit(value))
 
-def similar_to(prints: DataFrame, reference: int, threshold: int, short: str | None = None) -> DataFrame:
-    """Rows of (id, simhash) at least ``threshold`` percent like a SimHash."""
-    s = similarity(F.col("simhash"), F.lit(reference).cast("long"), None if short is None else F.col(short))
-    return prints.withColumn("similarity", s).where(F.col("similarity") >= threshold)
 
+def rewrite_tags(docs: DataFrame, renamed: dict[str, str], deleted: list[str] = []) -> DataFrame:  # noqa: B006
+    """``docs`` with its ``tags`` renamed (several to one name merges them) and deleted, case apart, and the ``status`` of each row."""
+    by = {k.lower(): v for k, v in renamed.items()}
+    names = F.create_map(*(F.lit(x) for kv in by.items() for x in kv)) if by else F.create_map().cast("map<string,string>")
+    gone = F.array(*(F.lit(t.lower()) for t in deleted)).cast("array<string>")
+    new = F.array_distinct(F.transform(F.filter("tags", lambda t: ~F.array_contains(gone, F.lower(t))), lambda t: F.coalesce(F.try_element_at(names, F.lower(t)), t)))
+    same = F.array_sort(new) == F.array_sort(F.array_distinct("tags"))
+    return docs.withColumn("_sl_new", new).withColumn("status", F.when(same, "unchanged").otherwise("changed")).drop("tags").withColumnRenamed("_sl_new", "tags")
 
-def similar_pairs(prints: DataFrame, threshold: int = 85) -> DataFrame:
-    """(a, b, similarity) of different SimHashes of (id, simhash), a < b, and equal ones linked to their least id.
 
-    At most h bits may differ, so of h + 1 bands one is equal: the banded join finds every pair. Equal
-    hashes are one class, stood for by its least id; a pair is made in the first band that it shares only.
-    """
-    h = next(h for h in range(64, -1, -1) if (64 - h) * 100 // 64 >= threshold)
-    n = h + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    keys = [F.shiftrightunsigned("simhash", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)]
-    rep = prints.groupBy("simhash").agg(F.min("id").alias("id"))
-    bands = rep.select("id", "simhash", F.array(*keys).alias("ks")).select("id", "simhash", "ks", F.posexplode("ks").alias("band", "key"))
-    a, b = bands.alias("a"), bands.alias("b")
-    first = F.exists(F.slice(F.zip_with("a.ks", "b.ks", lambda x, y: x == y), 1, F.col("a.band")), lambda e: e)
-    near = hamming(F.col("a.simhash"), F.col("b.simhash")) <= h
-    both = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near & ~first)
-    different = both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), similarity(F.col("a.simhash"), F.col("b.simhash")).alias("similarity"))
-    equal = prints.join(rep.select("simhash", F.col("id").alias("a")), "simhash").where("id <> a").select("a", F.col("id").alias("b"), F.lit(100).alias("similarity"))
-    return different.unionByName(equal)
+def annotate(docs: DataFrame, id: str, text: str, patterns: dict[str, str]) -> DataFrame:
+    """(id, field, value): distinct matches of each field's pattern."""
+    if not patterns:
+        return docs.select(id, F.lit("").alias("field"), F.lit("").alias("value")).limit(0)
+    found = [docs.select(id, F.lit(f).alias("field"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))).alias("value")) for f, p in patterns.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, label) of the nodes of (a, b): the least node that can be reached."""
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "least").alias("next"))
         far = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))

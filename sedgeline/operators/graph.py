@@ -67,16 +67,44 @@ def inverse_relations(properties: DataFrame, target: str) -> DataFrame:
     return properties.where((v == target.lower()) | v.contains(f"[[{target.lower()}]]")).select("path", "key").distinct()
 
 
+def candidates(entities: DataFrame, text: str) -> DataFrame:
+    """(entity) of (entity, name, aliases) whose name or alias is the text, case apart."""
+    named = F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower)
+    return entities.where(F.array_contains(named, text.strip().lower())).select("entity")
+
+
+def neighbours(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity) one edge (a, b) away from those found, in either direction, without them."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(found.select(F.col("entity").alias("a")), "a", "left_semi").select(F.col("b").alias("entity")).distinct()
+    return near.join(found, "entity", "left_anti")
+
+
+def mentions(docs: DataFrame, entities: DataFrame, text: Column) -> DataFrame:
+    """(path, entity) of the entities (entity, name) whose name stands in a text, case apart.
+
+    Joined by the name's first three characters, of which a text holds a bounded number; then the whole name is looked for.
+    Shorter names are looked up by what they have. Empty names stand nowhere.
+    """
+    low = entities.select("entity", F.lower("name").alias("name")).where("name <> ''")
+    low = low.withColumn("key", F.left("name", F.lit(3)))
+    t = docs.select("path", F.lower(text).alias("t"))
+    widths = F.array(*(F.lit(i) for i in (1, 2, 3)))
+    sizes = [r[0] for r in low.select(F.least(F.length("key"), F.lit(3))).distinct().collect()]
+    keys = F.flatten(F.transform(F.filter(widths, lambda w: w.isin(*sizes)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - w + 1)), lambda i: F.substring("t", i, w))))
+    held = t.withColumn("key", F.explode(F.array_distinct(keys)))
+    return held.join(low, "key").where(F.col("t").contains(F.col("name"))).select("path", "entity").distinct()
+
+
 def related(docs: DataFrame, entities: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     """(path, shared): other documents that mention an entity of ``path`` or one of its neighbours.
 
     ``entities`` (entity, name): names to look for; ``edges`` (a, b) between entities.
     """
-    low = entities.select("entity", F.lower("name").alias("name"))
-    mentions = docs.select("path", F.lower(F.concat_ws("\n", "title", "body")).alias("t")).join(F.broadcast(low), F.col("t").contains(F.col("name"))).select("path", "entity").distinct()
-    mine = mentions.where(F.col("path") == path).select("entity")
-    near = mine.union(edges.join(mine, edges.a == mine.entity).select("b")).union(edges.join(mine, edges.b == mine.entity).select("a")).distinct()
-    return mentions.where(F.col("path") != path).join(F.broadcast(near), "entity", "left_semi").groupBy("path").agg(F.count("*").alias("shared"))
+    held = mentions(docs, entities, F.concat_ws("\n", "title", "body"))
+    mine = mentions(docs.where(F.col("path") == path), entities, F.concat_ws("\n", "title", "body")).select("entity")
+    near = mine.union(neighbours(mine, edges)).distinct()
+    return held.where(F.col("path") != path).join(near, "entity", "left_semi").groupBy("path").agg(F.count("*").alias("shared"))
 
 
 def rollup(rows: DataFrame, edges: DataFrame, key: str, value: str) -> DataFrame:

@@ -38,6 +38,12 @@ def last_state(events: DataFrame, key: str) -> DataFrame:
     return events.withColumn("_sl_r", F.row_number().over(w)).where("_sl_r = 1").drop("_sl_r")
 
 
+def projected(events: DataFrame, kind: str, schema: str, keys: list[str]) -> DataFrame:
+    """The events of a kind as rows: ``keys`` and the fields of their JSON body; bodies that are none are left out."""
+    body = F.from_json("body", schema)
+    return events.where(F.col("kind") == kind).withColumn("_sl_b", body).where(F.col("_sl_b").isNotNull()).select(*keys, "_sl_b.*")
+
+
 def members(events: DataFrame) -> DataFrame:
     """(member, role) after all events (kind: member_added, role_changed, member_removed; member; role)."""
     return last_state(events.where(F.col("kind").isin("member_added", "role_changed", "member_removed")), "member").where("kind <> 'member_removed'").select("member", "role")

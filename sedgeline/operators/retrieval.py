@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -19,95 +20,137 @@ CHUNK, OVERLAP = 1000, 200
 RRF = 60
 
 
+#: Name space of chunk ids, and the separators of the chunker from coarse to fine (fixed values).
+CHUNK_SPACE = uuid.UUID("2340d12a-656a-5d01-971a-40586ee613a6")
+SEPARATORS = (b"\n\n", b"\n", b" ", b"")
+_FRONT = re.compile(r"---[^\S\n]*\n(?:.*\n)*?\s*---[^\S\n]*(?:\n|$)")
+_HEADING = re.compile(r"^[^\S\n]*(#{1,6}) [^\S\n]*(\S.*?)[^\S\n]*$", re.M)
+
+
 def sections_of(md: str) -> list[tuple[str, str, int]]:
-    """(heading path, text, start byte) of a Markdown text's sections."""
-    out, stack, begin, at = [], [], 0, 0
-    fenced = False
-    path = ""
-    for line in md.split("\n"):
-        if line.startswith("```"):
-            fenced = not fenced
-        m = None if fenced else re.match(r"(#{1,6}) +(.+?) *#* *$", line)
-        if m:
-            if md[begin:at].strip():
-                out.append((path, md[begin:at], len(md[:begin].encode())))
-            level = len(m[1])
-            stack = [s for s in stack if s[0] < level] + [(level, m[2])]
-            path, begin = " > ".join(s[1] for s in stack), at
-        at += len(line) + 1
-    if md[begin:].strip():
-        out.append((path, md[begin:], len(md[:begin].encode())))
+    """(heading path, text, start byte) of a Markdown text's sections, front matter left out.
+
+    A section begins with its heading's line and is trimmed; a text without headings is one section as it is.
+    """
+    front = _FRONT.match(md)
+    skip = front.end() if front else 0
+    marks = [(m.start(), len(m[1]), m[2]) for m in _HEADING.finditer(md, skip)]
+    if not marks:
+        return [("", md[skip:], len(md[:skip].encode()))] if md[skip:].strip() else []
+    out, path, at = [], [], len(md[:skip].encode())
+    if before := md[skip : marks[0][0]].strip():
+        out.append(("", before, at))
+    done = skip
+    for (start, level, name), after in zip(marks, [*(m[0] for m in marks[1:]), len(md)], strict=True):
+        at, done = at + len(md[done:start].encode()), start
+        path = [*path[: level - 1], name]
+        out.append((" > ".join(path), md[start:after].strip(), at))
     return out
 
 
-def spans_of(data: bytes, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[bytes, ...] = (b"\n\n", b"\n", b" ", b"")) -> list[tuple[int, int]]:
-    """Spans of at most ``size`` bytes, cut at the coarsest separator that helps, each but the first reaching back over ``overlap`` bytes."""
-    cuts, at = [0], 0
-    while len(data) - at > size - (overlap if at else 0):
-        room = at + size - (overlap if at else 0)
-        for s in separators:
-            if not s:
-                cut = room
-                while cut > at + 1 and data[cut] & 0xC0 == 0x80:  # not inside a character
-                    cut -= 1
-                break
-            cut = data.rfind(s, at + (room - at) // 2, room)  # not so early that the chunk is mostly what overlaps
-            if cut > at:
-                cut += len(s)
-                break
-        cuts.append(cut)
-        at = cut
-    spans = []
-    for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True):
-        a = max(0, a - overlap) if a else 0
-        while 0 < a < len(data) and data[a] & 0xC0 == 0x80:
-            a += 1
-        if data[a:b].strip():
-            spans.append((a, b))
-    return spans
+def spans_of(data: bytes, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[bytes, ...] = SEPARATORS) -> list[tuple[int, int, bytes]]:
+    """(start, end, bytes) of a section's chunks.
+
+    A text of more than ``size`` bytes is parted at the coarsest separator it holds; successive parts share a chunk up to
+    ``size``, a part that is larger itself is parted further, and a chunk begins with the last ``overlap`` bytes of the one before.
+    """
+    if len(data) <= size:
+        return [(0, len(data), data)]
+    level = next(i for i, s in enumerate(separators) if not s or s in data)
+    sep = separators[level]
+    if sep:
+        ends = [m.start() for m in re.finditer(re.escape(sep), data)] + [len(data)]
+        starts = [0, *(e + len(sep) for e in ends[:-1])]
+    else:
+        starts = [i for i, byte in enumerate(data) if byte & 0xC0 != 0x80]
+        ends = [*starts[1:], len(data)]
+    out: list[tuple[int, int, bytes]] = []
+    begin, tail, i, n = 0, b"", 0, len(starts)
+    while i < n:
+        if ends[i] - starts[i] > size:
+            if tail:
+                out.append((begin, begin + len(tail), tail))
+            out += [(starts[i] + a, starts[i] + z, t) for a, z, t in spans_of(data[starts[i] : ends[i]], size, overlap, separators[level + 1 :])]
+            tail, i = b"", i + 1
+            continue
+        if not tail:
+            begin, tail, i = starts[i], data[starts[i] : ends[i]], i + 1
+            continue
+        # what is taken at once stands in one piece, so its length follows from where it ends
+        base = len(tail) + len(sep) - starts[i]
+        j = bisect.bisect_right(ends, size - base, i)
+        if j > i:
+            tail, i = tail + sep + data[starts[i] : ends[j - 1]], j
+            continue
+        out.append((begin, begin + len(tail), tail))
+        begin, tail = begin + max(0, len(tail) - overlap), tail[-overlap:]
+        # the part after a full chunk joins its tail whatever its size
+        tail, i = tail + (b"" if tail.endswith(sep) else sep) + data[starts[i] : ends[i]], i + 1
+    if tail:
+        out.append((begin, begin + len(tail), tail))
+    return out
 
 
 def chunk_id(source: str, digest: str, start: int) -> str:
-    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{source}\0{digest}\0{start}"))
+    return str(uuid.uuid5(CHUNK_SPACE, f"{source}\0{digest}\0{start}"))
+
+
+def chunks_of(source: str, sections: list[tuple[str, str, int]]) -> list[tuple]:
+    """(chunk index, id, heading, content, hash, start, end) of a document's sections; the id follows from source, hash and start."""
+    out = []
+    for heading, body, base in sections:
+        for s, e, raw in spans_of(body.encode()):
+            digest = hashlib.sha256(raw).hexdigest()
+            out.append((len(out), chunk_id(source, digest, base + s), heading or f"offset:{base + s}", raw.decode(errors="replace"), digest, base + s, base + e))
+    return out
 
 
 def chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, chunk_index, chunk_id, heading, content, start, end): one row per chunk, in one pass without a shuffle."""
+    """(id, chunk_index, chunk_id, heading, content, hash, start, end): one row per chunk, in one pass without a shuffle.
+
+    Outside headings ``heading`` is ``offset:`` with the chunk's start. Null and blank texts have no chunk.
+    """
+    names = ["id", "chunk_index", "chunk_id", "heading", "content", "hash", "start", "end"]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for i, t in zip(b["id"], b["text"], strict=True):
-                n = 0
-                for heading, body, base in sections_of(t or ""):
-                    data = body.encode()
-                    digest = hashlib.sha256(data).hexdigest()
-                    for s, e in spans_of(data):
-                        rows.append((i, n, chunk_id(str(i), digest, base + s), heading, data[s:e].decode(), base + s, base + e))
-                        n += 1
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "chunk_id", "heading", "content", "start", "end"])
+            rows = [(i, *c) for i, t in zip(b["id"], b["text"], strict=True) for c in chunks_of(str(i), sections_of(t or ""))]
+            yield pd.DataFrame(rows, columns=names)
 
     ship(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, chunk_index int, chunk_id string, heading string, content string, start long, end long")
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, chunk_index int, chunk_id string, heading string, content string, hash string, start long, end long")
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _embed_locally(texts: pd.Series) -> pd.Series:
-    """Hashed bag of words of 256 dimensions and length 1, for when no model is at hand."""
-    out = []
-    for t in texts.fillna(""):
-        v = np.zeros(256, np.float64)
-        for w in re.findall(r"\w+", t.lower()):
-            v[fnv1a32(w) % 256] += 1 if fnv1a32(w[::-1]) & 1 else -1
-        n = np.sqrt((v**2).sum())
-        out.append((v / n if n else v).astype(np.float32))
-    return pd.Series(out)
+# Words that the local embedding skips, and what it takes for blanks.
+LOCAL_STOP_WORDS = frozenset("and the a an of to in is it that und der die das ein eine ist es dass von zu mit auf für den dem des im am".split())
+_LOCAL_BLANKS = str.maketrans(dict.fromkeys(".,!?;:-_()[]{}", " "))
 
 
-def embed_locally(text: Column | str) -> Column:
+def local_vector(text: str, dimensions: int = 768) -> np.ndarray:
+    """Hashed bag of words of length 1, for when no model is at hand; a word's weight grows with a byte of the text's digest at its place."""
+    v = np.zeros(dimensions, np.float32)
+    ws = text.replace("İ", "i").replace("Σ", "σ").lower().translate(_LOCAL_BLANKS).split()
+    digest = hashlib.sha256(text.encode()).digest()
+    for i, w in enumerate(ws):
+        if w not in LOCAL_STOP_WORDS:
+            v[fnv1a32(w) % dimensions] += np.float32(1) + (np.float32(digest[i]) / np.float32(255) if i < len(digest) else np.float32(0))
+    n = np.float32(np.sqrt((v * v).astype(np.float64).sum()))
+    if n > 0:
+        return v / n
+    v[0] = 1
+    return v
+
+
+def embed_locally(text: Column | str, dimensions: int = 768) -> Column:
+    """The local vector of a text column; null counts as empty."""
     ship(SparkSession.active())
-    return _embed_locally(text)
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: local_vector(t, dimensions))
+
+    return run(text)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -133,6 +176,45 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, *, id: str = "
     return vectors.select(id, cosine(F.col(vector), _literal(query)).alias("score")).orderBy(F.col("score").desc(), id).limit(k)
 
 
+def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query, id, score): the k vectors of largest cosine for each row of ``queries`` (same columns), exactly.
+
+    Queries and vectors travel as blocks of ``block`` rows; each pair of blocks is one matrix product that keeps k rows
+    a query, so what is shuffled is k rows per query and block. Ties go to the smaller id; a vector without length scores 0.
+    Rows with a null id or vector are left out.
+    """
+    kind = vectors.schema[id].dataType.simpleString()
+
+    def packed(rows: DataFrame, a: str, b: str) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                for at in range(0, len(pdf), block):
+                    part = pdf.iloc[at : at + block]
+                    m = np.array(part[vector].tolist(), np.float64).reshape(len(part), -1)
+                    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                    yield pd.DataFrame({a: [part[id].tolist()], b: [np.divide(m, n, out=np.zeros_like(m), where=n > 0).ravel()]})
+
+        return rows.select(id, vector).where(F.col(id).isNotNull() & F.col(vector).isNotNull()).mapInPandas(run, f"{a} array<{kind}>, {b} array<double>")
+
+    def best(batches):
+        for pdf in batches:
+            for qi, q, vi, v in zip(pdf["qi"], pdf["q"], pdf["vi"], pdf["v"], strict=True):
+                score = np.asarray(q).reshape(len(qi), -1) @ np.asarray(v).reshape(len(vi), -1).T
+                ids = np.asarray(vi)
+                for i, row in zip(qi, score, strict=True):
+                    top = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-12) if len(row) > k else np.arange(len(row))
+                    top = top[np.lexsort((ids[top], -row[top]))][:k]
+                    yield pd.DataFrame({"query": i, "id": ids[top], "score": row[top]})
+
+    pairs = packed(vectors, "vi", "v").crossJoin(packed(queries, "qi", "q"))
+    found = pairs.mapInPandas(best, f"query {kind}, id {kind}, score double")
+    ranked = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
+    # k rows a query and hash part before the last step, so no query gathers all its blocks' rows at once
+    part = found.groupBy("query", F.pmod(F.xxhash64("id"), F.lit(32)).alias("p")).agg(F.slice(F.sort_array(F.collect_list(ranked)), 1, k).alias("xs"))
+    whole = part.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("xs"))), 1, k).alias("xs"))
+    return whole.select("query", F.explode("xs").alias("x")).select("query", F.col("x.i").alias("id"), (-F.col("x.s")).alias("score"))
+
+
 def signature(vector: Column) -> Column:
     """One bit per component, set where it is not negative, 63 to a word."""
     bits = F.transform(vector, lambda x: (x >= 0).cast("long"))
@@ -207,8 +289,12 @@ class IvfIndex:
             near += [j for j in order[len(near) :] if j in self.widest and np.cos(max(0.0, away[j] - self.widest[j])) >= least - 1e-6]
         return self._scan(near, query, k)
 
+    def candidates(self, cells: list[int]) -> DataFrame:
+        """The indexed rows of the cells: a lookup that reads no others where the table is written by cell."""
+        return self.table.where(F.col("cell").isin(cells))
+
     def _scan(self, cells: list[int], query: list[float], k: int) -> DataFrame:
-        return vector_search(self.table.where(F.col("cell").isin(cells)), query, k, id=self.id, vector=self.vector)
+        return vector_search(self.candidates(cells), query, k, id=self.id, vector=self.vector)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, k: int, *, boosted: DataFrame | None = None) -> DataFrame:
@@ -264,6 +350,23 @@ def centroids(vectors: DataFrame, cell: str, vector: str) -> DataFrame:
     return parts.groupBy(cell).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def lloyd(vectors: DataFrame, first: dict[int, list[float]], vector: str, rounds: int = 1) -> DataFrame:
+    """(cell, n, centroid) after ``rounds`` of k-means by cosine from the centroids ``first`` (a bounded number): each is one aggregation.
+
+    A vector goes to the cell of largest cosine, the least cell of equal ones; vectors are taken at length 1.
+    """
+    unit = vectors.select(F.transform(vector, lambda x: x.cast("double")).alias("e")).where(norm(F.col("e")) > 0)
+    unit = unit.select(F.transform("e", lambda x: x / norm(F.col("e"))).alias("e"))
+    out = None
+    for _ in range(rounds):
+        length = {c: sum(x * x for x in v) ** 0.5 or 1.0 for c, v in first.items()}
+        likes = [F.struct(dot(F.col("e"), _literal([x / length[c] for x in v])).alias("like"), F.lit(-c).alias("neg")) for c, v in sorted(first.items())]
+        own = unit.withColumn("cell", -F.array_max(F.array(*likes))["neg"])
+        out = centroids(own, "cell", "e")
+        first = {r["cell"]: list(r["centroid"]) for r in out.select("cell", "centroid").collect()} if rounds > 1 else first
+    return out
+
+
 def quantized(vector: Column, bits: int = 4) -> Column:
     """Each component as an integer of ``bits`` bits, scaled by the vector's largest magnitude."""
     top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))

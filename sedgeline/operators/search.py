@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ascii_lower, base_name, extension, fold
@@ -117,7 +117,8 @@ def date_range(value: str, reference: dt.datetime) -> tuple[dt.datetime, dt.date
 
 def postings(docs: DataFrame, id: str, text: Column) -> DataFrame:
     """(term, id, tf, dl): the inverted index; written bucketed by term it serves any number of searches."""
-    return docs.select(F.col(id).alias("id"), F.explode(words(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tokens = docs.select(F.col(id).alias("id"), words(text).alias("ws"))
+    return tokens.select("id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, id: str, text: Column, terms: list[str]) -> DataFrame:
@@ -249,9 +250,3 @@ def facets(docs: DataFrame, columns: list[str]) -> DataFrame:
     """(facet, value, count): distinct values, case apart, spelled as the least."""
     flat = [docs.select(F.lit(c).alias("facet"), F.col(c).alias("value")).where(F.coalesce(c, F.lit("")) != "") for c in columns]
     return reduce(DataFrame.unionByName, flat).groupBy("facet", F.lower("value").alias("_sl")).agg(F.min("value").alias("value"), F.count("*").alias("count")).drop("_sl")
-
-
-def ranked(hits: DataFrame, by: list[Column], per: str | None = None) -> DataFrame:
-    """Hits with their rank from 1."""
-    w = Window.partitionBy(per) if per else Window.partitionBy(F.lit(0))
-    return hits.withColumn("rank", F.row_number().over(w.orderBy(*by)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +61,49 @@ def run(docs: DataFrame, view: View, links: DataFrame | None = None) -> DataFram
     return rows.orderBy("path").limit(min(view.limit, MAX_ROWS)).select(*(view.columns or rows.columns))
 
 
+#: Levels from the least to the most sensitive (fixed values).
+LEVELS = ("public", "internal", "confidential", "restricted")
+
+
+def check_export(view: View, datasets: dict[str, str], maximum: str = "") -> None:
+    """Refuses to export a dataset's view (source ``dataset:slug``) above the configured level, ``internal`` by default.
+
+    ``datasets``: slug -> sensitivity; what is unknown there is restricted. Views of other sources are not restricted.
+    """
+    kind, colon, slug = view.source.strip().partition(":")
+    if kind != "dataset" or not colon:
+        return
+    slug = slug.strip()
+    if not slug:
+        raise SpecError("dataset export requires a dataset slug")
+    if not re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+)*", slug):
+        raise SpecError(f'dataset slug "{slug}" is not filesystem-safe')
+    if slug not in datasets:
+        raise SpecError(f'dataset "{slug}" not found')
+    most = maximum.strip().lower() or "internal"
+    if most not in LEVELS:
+        raise SpecError(f'invalid dataset sensitivity "{most}"')
+    own = datasets[slug] if datasets[slug] in LEVELS else "restricted"
+    if LEVELS.index(own) > LEVELS.index(most):
+        raise SpecError(f"export denied: dataset {slug} is {own}, at most {most}")
+
+
+def described(datasets: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
+    """(slug, rows, first_date, last_date) of datasets given with their date column, in slug order."""
+    found = []
+    for slug in sorted(datasets):
+        rows, column = datasets[slug]
+        day = F.lit(None).cast("date") if column is None else F.col(column).cast("date")
+        found.append(rows.agg(F.count("*").alias("rows"), F.min(day).alias("first_date"), F.max(day).alias("last_date")).select(F.lit(slug).alias("slug"), "*"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def dataset_rows(rows: DataFrame, key: str, formulas: dict[str, str], rollups: list[str], limit: int = MAX_ROWS) -> DataFrame:
+    """A dataset's rows in key order with computed columns; datasets have no links, so their rollups are empty."""
+    columns = {c: F.col(c) for c in rows.columns}
+    return rows.withColumns({n: template(p, columns) for n, p in formulas.items()} | {n: F.lit("") for n in rollups}).orderBy(key).limit(min(limit, MAX_ROWS))
+
+
 def guard(levels: list[str], allowed: str) -> None:
     """Refuses an export that holds more sensitive data than allowed."""
     rank = {"public": 0, "internal": 1, "confidential": 2, "restricted": 3}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_docs, queries_extra, queries_files, queries_more  # noqa: F401
+from . import queries_data, queries_docs, queries_extra, queries_files, queries_imports, queries_more, queries_state  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

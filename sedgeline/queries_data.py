@@ -235,11 +235,6 @@ def dataset_rows(spark, sf_dir):
     return base(spark, sf_dir, "orders_d").where("customer = 11").orderBy("key").limit(50).select("key", "status")
 
 
-@query("S28_prefix_scan", "SELECT p_name, p_partkey FROM part WHERE starts_with(p_name, 'red') OR starts_with(p_name, 'S')")
-def prefix_scan(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_name").startswith("red") | F.col("p_name").startswith("S")).select("p_name", "p_partkey")
-
-
 @query("F16_compiled_pushdown", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND lower(o_orderstatus) = 'f'")
 def pushdown(spark, sf_dir):
     schema = Schema({"o_orderkey": "number", "o_totalprice": "number", "o_orderstatus": "text"}, "o_orderkey")

@@ -294,11 +294,6 @@ def chunks(spark, sf_dir):
     return R.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("X26_local_embedding")
-def local_embedding(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(R.norm(R.embed_locally("text")), 4).alias("norm"))
-
-
 @query(
     "J11_extraction_chunk",
     """WITH c AS (SELECT doc_id AS doc, i AS chunk_index, i * 300 AS cs, i * 300 + 250 AS ce FROM documents, unnest(range(0, 4)) AS t(i)), e AS (SELECT doc_id AS doc, doc_id % 3 AS extraction, (doc_id * 41) % 1300 AS s, (doc_id * 41) % 1300 + 20 AS f FROM documents),
@@ -315,25 +310,6 @@ def attach(spark, sf_dir):
 # --- near copies by SimHash ---------------------------------------------------------------------------------------------
 
 
-@query("X22_simhash")
-def simhashes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", TX.simhash("text").alias("simhash"))
-
-
-@query("D5_similar_docs")
-def similar_docs(spark, sf_dir):
-    prints = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), TX.simhash("text").alias("simhash"))
-    one = prints.where("id = 7").first()["simhash"]
-    return DOC.similar_to(prints, one, 70)
-
-
-@query("J13_simhash_pairs")
-@query("D6_similar_all")
-def similar_all(spark, sf_dir):
-    prints = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), TX.simhash("text").alias("simhash"))
-    return DOC.similar_pairs(prints, 85)
-
-
 # --- graph --------------------------------------------------------------------------------------------------------------
 
 _NODES = "nodes AS (SELECT concat('n/', n_name, '.md') AS path, concat('Title ', n_nationkey) AS title, [concat('alias', n_nationkey % 7)] AS aliases, n_nationkey AS k FROM nation)"

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as X
 from .functions import text as TX
-from .operators import documents as DOC
 from .registry import base, query, table
 from .sources import files as SRC
 from .sources import sinks as K
@@ -44,7 +43,6 @@ def pending(spark, sf_dir):
 
 
 @query("J7_job_page", "SELECT o_orderkey, c_name, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey) AS total FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
-@query("O9_job_order", "SELECT o_orderkey, c_name, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey) AS total FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def job_page(spark, sf_dir):
     d = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return d.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(20).join(F.broadcast(d.agg(F.count("*").alias("total")))).select("o_orderkey", "c_name", "total")
@@ -105,7 +103,6 @@ def token_and(spark, sf_dir):
 
 
 @query("U8_contact_export", "SELECT c_custkey, c_name, n_name, count(o_orderkey) AS interactions FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
-@query("K10_contact_export", "SELECT c_custkey, c_name, n_name, count(o_orderkey) AS interactions FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def contact_export(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("interactions"))
@@ -117,22 +114,6 @@ def distinct(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority").distinct()
 
 
-@query("A19_health_counts", "SELECT finding, count(*) AS n FROM (SELECT 'missing_type' AS finding FROM files_d WHERE type IS NULL UNION ALL SELECT 'missing_date' FROM files_d WHERE document_date IS NULL) GROUP BY finding", ("files_d",))
-@query("D11_vault_health", "SELECT finding, count(*) AS n FROM (SELECT 'missing_type' AS finding FROM files_d WHERE type IS NULL UNION ALL SELECT 'missing_date' FROM files_d WHERE document_date IS NULL) GROUP BY finding", ("files_d",))
-def health(spark, sf_dir):
-    f = base(spark, sf_dir, "files_d")
-    checks = F.filter(F.array(F.when(F.col("type").isNull(), "missing_type"), F.when(F.col("document_date").isNull(), "missing_date")), lambda x: x.isNotNull())
-    return f.select(F.explode(checks).alias("finding")).groupBy("finding").agg(F.count("*").alias("n"))
-
-
-@query("A15_near_copy_groups")
-def near_groups(spark, sf_dir):
-    prints = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), TX.simhash("text").alias("simhash"))
-    from .operators.cc import labels
-
-    return labels(DOC.similar_pairs(prints, 90))
-
-
 # --- sources and sinks --------------------------------------------------------------------------------------------------
 
 
@@ -174,15 +155,12 @@ def headers(spark, sf_dir):
 
 
 @query("K1_replace_rows", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_custkey END AS c FROM orders")
-@query("K3_upsert", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_custkey END AS c FROM orders")
-@query("K14_set", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_custkey END AS c FROM orders")
 def upserts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return K.upsert(o.select("o_orderkey", F.col("o_custkey").alias("c")), o.where("o_orderstatus = 'P'").select("o_orderkey", F.lit(0).cast("long").alias("c")), "o_orderkey")
 
 
 @query("K4_delete", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'")
-@query("K2_purge", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'")
 def deletes(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return K.delete(o, o.where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey").select("o_orderkey")
@@ -299,15 +277,9 @@ def fingerprint(spark, sf_dir):
     return h.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"))
 
 
-@query("D43_dataset_list", "SELECT 'orders' AS slug, count(*) AS rows, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders")
-def datasets(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date")).select(F.lit("orders").alias("slug"), "*")
-
-
 _MERGED_TAGS = "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(tags, lambda t: CASE WHEN lower(t) = 'de' THEN 'german' ELSE t END))), ',') AS t FROM files_d"
 
 
-@query("D48_tag_rename", _MERGED_TAGS, ("files_d",))
 @query("X19_tag_rewrite", _MERGED_TAGS, ("files_d",))
 def rename_tags(spark, sf_dir):
     new = F.transform("tags", lambda t: F.when(F.lower(t) == "de", "german").otherwise(t))
@@ -326,14 +298,7 @@ def erase(spark, sf_dir):
     return K.delete(c, c.where("c_custkey % 10 = 4").select("c_custkey"), "c_custkey").select("c_custkey")
 
 
-@query("D26_ingest_dedupe", "SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1")
-@query("R9_duplicate_content", "SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1")
-def ingest_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-
-
 @query("D40_view_by_folder", "SELECT doc_id, concat(person, ' - ', coalesce(status, '')) AS label FROM files_d WHERE starts_with(path, 'notes/en/src1/') AND lower(coalesce(status, '')) = 'open' ORDER BY path", ("files_d",))
-@query("D41_dataset_view", "SELECT doc_id, concat(person, ' - ', coalesce(status, '')) AS label FROM files_d WHERE starts_with(path, 'notes/en/src1/') AND lower(coalesce(status, '')) = 'open' ORDER BY path", ("files_d",))
 def view(spark, sf_dir):
     from .plans.spec import Filter
     from .plans.views import View, run
@@ -375,8 +340,6 @@ _CHANGED = """WITH a AS (SELECT doc_id AS path, n_chars + CASE WHEN doc_id % 10
 
 
 @query("R7_incremental_refresh", _CHANGED)
-@query("R3_retrieval_refresh", _CHANGED)
-@query("D56_index_build", _CHANGED)
 def refresh(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
@@ -389,7 +352,6 @@ _JOBS = """SELECT event_id AS job_id FROM (SELECT event_id, ts AS created_at, ts
 
 
 @query("R5_claim_jobs", _JOBS)
-@query("R6_expired_leases", _JOBS)
 def claims(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     u = F.col("user_id") % 4

@@ -34,7 +34,6 @@ _SNAPSHOTS = "SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey %
 
 @query("S6_snapshots", _SNAPSHOTS)
 @query("S3_strict_csv", _SNAPSHOTS)
-@query("S7_producer_rows", _SNAPSHOTS)
 def snapshots(spark, sf_dir):
     folder = workspace(spark)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("status"))
@@ -45,7 +44,6 @@ def snapshots(spark, sf_dir):
 
 
 @query("S24_journal_segments", "SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS id, CAST(turn AS BIGINT) AS seq, text AS body FROM conversations")
-@query("K13_journal_append", "SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS id, CAST(turn AS BIGINT) AS seq, text AS body FROM conversations")
 def journal_segments(spark, sf_dir):
     folder = workspace(spark)
     d = table(spark, sf_dir, "conversations")
@@ -55,20 +53,6 @@ def journal_segments(spark, sf_dir):
     return lines.select(F.from_json("value", SRC.EVENT, {"mode": "FAILFAST"}).alias("e")).select("e.id", "e.seq", "e.body")
 
 
-@query("S27_meeting_segments", "SELECT conv_id, count(*) AS n, min(turn) * 1000 AS first FROM conversations GROUP BY conv_id")
-def meeting_segments(spark, sf_dir):
-    folder = workspace(spark)
-    table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 1000).alias("start_ms")).write.json(folder)
-    return spark.read.schema("conv_id long, start_ms long").json(folder).groupBy("conv_id").agg(F.count("*").alias("n"), F.min("start_ms").alias("first"))
-
-
-@query("K15_backup", "SELECT doc_id, status FROM files_d", ("files_d",))
-def backup(spark, sf_dir):
-    folder = workspace(spark)
-    base(spark, sf_dir, "files_d").select("doc_id", "status").write.parquet(folder)
-    return spark.read.parquet(folder)
-
-
 @query("K8_markdown_table", "SELECT concat('| r_regionkey | r_name |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', r_regionkey, ' | ', r_name, ' |'), chr(10) ORDER BY r_regionkey)) AS md FROM region")
 def markdown_table(spark, sf_dir):
     text = K.markdown_table(table(spark, sf_dir, "region").orderBy("r_regionkey"), ["r_regionkey", "r_name"])

@@ -7,25 +7,15 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import text as TX
-from .operators import documents as DOC
 from .operators import retrieval as R
 from .operators import search as S
 from .queries_docs import _bm25_sql
 from .registry import base, query, table
-from .sources import files as SRC
 from .sources import sinks as K
 
 NOW = dt.datetime(2025, 6, 1)
 
 
-@query("D12_sections")
-@query("W6_heading_paths")
-def sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Top\n"), "text", F.lit("\n## Sub\nend")).alias("t"))
-    return R.sections(d, "doc_id", "t")
-
-
 @query("D14_metadata_weighting", "SELECT doc_id, trim(concat_ws(' ', t, t, t, a, a, coalesce(status, ''))) AS m FROM (SELECT doc_id, concat_ws(' ', title, array_to_string(tags, ' ')) AS t, person AS a, status FROM files_d)", ("files_d",))
 def metadata(spark, sf_dir):
     f = base(spark, sf_dir, "files_d")
@@ -36,7 +26,6 @@ _CHUNK_SEARCH = f"SELECT id AS path, score FROM ({_bm25_sql('files_d', 'path', '
 
 
 @query("D15_bm25_prefix", _CHUNK_SEARCH, ("files_d",))
-@query("W1_rank", _CHUNK_SEARCH, ("files_d",))
 def bm25_prefix(spark, sf_dir):
     hits = S.bm25(base(spark, sf_dir, "files_d"), "path", F.col("body"), ["the", "of"]).where(F.col("id").startswith("notes/en/src1"))
     return hits.select(F.col("id").alias("path"), F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "path").limit(10)
@@ -45,180 +34,20 @@ def bm25_prefix(spark, sf_dir):
 _NOTEBOOK = "WITH n AS (SELECT doc_id, body FROM files_d WHERE doc_id % 20 = 1) SELECT doc_id, CAST(contains(lower(body), 'idiot') AS INT)::DOUBLE AS score, CASE WHEN contains(lower(body), 'idiot') THEN NULL ELSE left(body, 500) END AS head FROM n"
 
 
-@query("T20_notebook_search", _NOTEBOOK, ("files_d",))
-@query("D57_grounding", _NOTEBOOK, ("files_d",))
-def notebook(spark, sf_dir):
-    n = base(spark, sf_dir, "files_d").where("doc_id % 20 = 1").select("doc_id", "body")
-    hit = n.where(F.lower("body").contains("idiot")).select("doc_id", F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("head"))
-    rest = n.join(hit.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0.0).alias("score"), F.left("body", F.lit(500)).alias("head"))
-    return hit.unionByName(rest)
-
-
-@query("D24_rule_dry_run", "SELECT count(*) AS n, min(doc_id) AS first FROM documents WHERE contains(lower(text), 'license')")
-def dry_run(spark, sf_dir):
-    return DOC.classify(table(spark, sf_dir, "documents"), [("LICENSE", "category", "x")], F.col("text")).where("category = 'x'").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-
-
 _OPEN = "SELECT doc_id FROM files_d WHERE type = 'invoice' AND document_date + INTERVAL 100 DAY <= TIMESTAMP '2025-06-01' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"
 
 
-@query("D28_open_proposals", _OPEN, ("files_d",))
-def proposals(spark, sf_dir):
-    due = DOC.retention(base(spark, sf_dir, "files_d"), kind="invoice", tags=[], period_days=100, now=NOW)
-    return K.delete(due.select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
-
-
-@query("D35_projection", "SELECT conv_id, turn, text AS note FROM conversations WHERE role = 'user'")
-def projection(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations")
-    body = F.to_json(F.struct("text"))
-    return d.where("role = 'user'").select("conv_id", "turn", F.from_json(body, "text string")["text"].alias("note"))
-
-
-@query("D39_memberships", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
-def memberships(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region").where("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
-
-
 @query("W8_recent_first", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END, TIMESTAMP '1996-01-01') DESC, o_orderkey) AS place FROM orders")
 def recent_first(spark, sf_dir):
     at = F.coalesce(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")), F.expr("TIMESTAMP_NTZ'1996-01-01'"))
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(at.desc(), "o_orderkey")).alias("place"))
 
 
-@query("D49_meetings", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS speakers, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
-def meetings(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("speakers"), F.sum(F.length("text")).alias("chars"))
-
-
-@query("D50_orphans", "SELECT DISTINCT doc_id // 10 AS store FROM documents WHERE doc_id // 10 NOT IN (SELECT doc_id // 10 FROM labels)")
-def orphans(spark, sf_dir):
-    store = F.expr("doc_id div 10").alias("store")
-    return K.delete(table(spark, sf_dir, "documents").select(store).distinct(), table(spark, sf_dir, "labels").select(store), "store")
-
-
-@query("D53_neighbours", "SELECT DISTINCT b.n_name AS name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE a.n_nationkey = 3")
-def neighbours(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    mine = n.where("n_nationkey = 3").select("n_regionkey")
-    return n.where("n_nationkey <> 3").join(F.broadcast(mine), "n_regionkey", "left_semi").select(F.col("n_name").alias("name"))
-
-
-@query("D55_pending_embeddings", "SELECT doc_id FROM files_d WHERE index_status = 'stale' AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 0)", ("files_d",))
-@query("D22_embedding_pending", "SELECT doc_id FROM files_d WHERE index_status = 'stale' AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 0)", ("files_d",))
-def pending_embeddings(spark, sf_dir):
-    done = table(spark, sf_dir, "embeddings").where("label = 0").select(F.col("vec_id").alias("doc_id"))
-    return K.delete(base(spark, sf_dir, "files_d").where("index_status = 'stale'").select("doc_id"), done, "doc_id")
-
-
-@query("A17_centroids", "SELECT label, CAST(i - 1 AS INT) AS i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x, count(*) AS n FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i) GROUP BY label, i")
-def centroids(spark, sf_dir):
-    c = R.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    return c.select("label", "n", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
-
-
 @query("X27_quantized", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / m * 7) AS INT)), ',') AS code FROM (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS m FROM embeddings)")
 def quantized(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(R.quantized(F.col("embedding")), ",").alias("code"))
 
 
-@query("R10_run_state", "SELECT author, kind FROM log_d QUALIFY row_number() OVER (PARTITION BY author ORDER BY lamport DESC, ts DESC, author DESC, seq DESC, id DESC) = 1", ("log_d",))
-def run_state(spark, sf_dir):
-    from .operators.journal import last_state
-
-    return last_state(base(spark, sf_dir, "log_d"), "author").select("author", "kind")
-
-
-@query("R11_stale_generations", "SELECT label, max(vec_id) AS generation FROM embeddings GROUP BY label HAVING max(vec_id) <> (SELECT max(vec_id) FROM embeddings)")
-def generations(spark, sf_dir):
-    g = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max("vec_id").alias("generation"))
-    now = g.agg(F.max("generation").alias("now"))
-    return g.join(F.broadcast(now), g.generation != now.now).select("label", "generation")
-
-
-@query("X17_markdown_links", "SELECT 1 AS n, 'a/b.md;c.md' AS l")
-def markdown_links(spark, sf_dir):
-    md = "[x](a/b.md#h) ![i](i.png) [y](http://h/z) [z](c.md \"t\") `[q](no.md)` [x2](a/b.md)"
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("n"), F.array_join(TX.markdown_links(F.lit(md)), ";").alias("l"))
-
-
-@query("X28_metadata_format", "SELECT doc_id, concat_ws('; ', 'person=' || person, 'status=' || status) AS m FROM files_d", ("files_d",))
-def metadata_format(spark, sf_dir):
-    parts = [F.concat(F.lit(f"{c}="), c) for c in ("person", "status")]
-    return base(spark, sf_dir, "files_d").select("doc_id", F.concat_ws("; ", *parts).alias("m"))
-
-
-@query("X34_policy", "SELECT doc_id, coalesce(nullif(trim(status), ''), 'restricted') AS policy FROM files_d", ("files_d",))
-def policy(spark, sf_dir):
-    return base(spark, sf_dir, "files_d").select("doc_id", F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("restricted")).alias("policy"))
-
-
-@query("X21_fnv")
-def fnv(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", TX.simhash("p_brand").alias("h"))
-
-
-@query("X32_chunk_ids")
-def chunk_ids(spark, sf_dir):
-    return R.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("chunk_id", "start")
-
-
-@query("S2_markdown", "SELECT concat('n', doc_id, '.md') AS path, concat('T', doc_id) AS title, array_to_string([lang, source], ',') AS tags, CAST(length(text) AS BIGINT) AS size FROM documents")
-def markdown(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    head = F.concat(F.lit("---\ntitle: T"), F.col("doc_id").cast("string"), F.lit("\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\n---\n"))
-    files = d.select(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(head, "text").cast("binary").alias("content"))
-    return SRC.markdown(files).select("path", "title", F.array_join("tags", ",").alias("tags"), F.length("body").cast("long").alias("size"))
-
-
-@query("S12_extraction")
-@query("S17_ingest_extraction")
-def extraction(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
-    return SRC.extract(p).select("path", "kind", F.length("text").alias("n"), "error")
-
-
-@query("S11_source_scan", "SELECT page_id FROM pages WHERE strlen(html) <= 10485760")
-def source_scan(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.octet_length("html") <= SRC.MAX_BYTES).select("page_id")
-
-
-@query("S22_link_rewrite", "SELECT page_id, regexp_replace(concat('Page ', md5(url), '.md'), ' [0-9a-f]{32}', '') AS name FROM pages")
-def link_rewrite(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.concat(F.lit("Page "), F.md5("url"), F.lit(".md")), " [0-9a-f]{32}", "").alias("name"))
-
-
-@query("S23_manifest_import", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)")
-@query("S21_mail_cursor", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)")
-def manifest_import(spark, sf_dir):
-    seen = table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("o_orderkey"))
-    return K.delete(table(spark, sf_dir, "orders").select("o_orderkey"), seen, "o_orderkey")
-
-
-@query("S25_activity_range", "SELECT event_id FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'")
-def activity(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.to_date("ts").between("2024-01-02", "2024-01-03")).select("event_id")
-
-
-_REPLACED = "SELECT doc_id, 0 AS chunk_index, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE left(text, 10) END AS content FROM documents"
-
-
-@query("K5_chunk_replace", _REPLACED)
-@query("K6_extraction_import", _REPLACED)
-def chunk_replace(spark, sf_dir):
-    old = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.left("text", F.lit(10)).alias("content"))
-    return K.upsert(old, old.where("doc_id % 2 = 0").withColumn("content", F.lit("new")), "doc_id")
-
-
-@query("K5_chunk_replace_texts")
-@query("K6_extraction_import_texts")
-def chunk_replace_texts(spark, sf_dir):
-    old = R.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "chunk_index", "content")
-    fresh = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("new").alias("content"))
-    return K.upsert(old, fresh, "doc_id")
-
-
 @query("K7_view_export", "SELECT title, person, status FROM files_d WHERE type = 'letter'", ("files_d",))
 def view_export(spark, sf_dir):
     f = base(spark, sf_dir, "files_d").where("type = 'letter'").select("status", "title", "person")

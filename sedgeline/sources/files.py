@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import zipfile
 from html.parser import HTMLParser
@@ -16,24 +17,83 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 
+try:
+    import yaml
+except ModuleNotFoundError:  # the flat reader serves then
+    yaml = None
+
 #: Directories a walk leaves out.
 SKIPPED = ("node_modules", "vendor", "dist", "build", "venv", ".venv", "__pycache__")
 MAX_BYTES = 10 << 20
 
 
 def walk(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, modificationTime, length, content) of all files below ``root`` in path order, without skipped directories; Spark lists and reads."""
+    """(path, modificationTime, length, content) of all files below ``root``, without skipped directories; Spark lists and reads.
+
+    Contents are not sorted: ``listing`` has the paths in order.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return rows.where(~F.col("path").rlike("/(?:" + "|".join(re.escape(s) for s in SKIPPED) + ")/")).orderBy("path")
+    return rows.where(~F.col("path").rlike("/(?:" + "|".join(re.escape(s) for s in SKIPPED) + ")/"))
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, modificationTime, length) in path order; no file is opened."""
+    return walk(spark, root, pattern).select("path", "modificationTime", "length").orderBy("path")
+
+
+class _DuplicateKey(ValueError):
+    pass
+
+
+def _yaml_fields(raw: str) -> dict[str, str] | None:
+    """Fields of a YAML mapping as texts: lists as ``[a, b]``, mappings as JSON; None where no YAML reader is installed.
+
+    A key that occurs twice is an error, as is text that is no mapping.
+    """
+    if yaml is None:
+        return None
+
+    class Loader(yaml.SafeLoader):
+        pass
+
+    def mapping(loader, node, deep=False):
+        out = {}
+        for k, v in node.value:
+            key = loader.construct_object(k, deep=True)
+            if key in out:
+                raise _DuplicateKey(f"duplicate key {key}")
+            out[key] = loader.construct_object(v, deep=True)
+        return out
+
+    Loader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, mapping)
+    for tag in ("timestamp", "bool", "int", "float"):
+        Loader.add_constructor(f"tag:yaml.org,2002:{tag}", lambda loader, node: node.value)
+    found = yaml.load(raw, Loader)  # noqa: S506  a safe loader
+    if found is None:
+        return {}
+    if not isinstance(found, dict):
+        raise ValueError("front matter is no mapping")
+    show = lambda v: "" if v is None else json.dumps(v, ensure_ascii=False) if isinstance(v, dict) else f"[{', '.join(map(show, v))}]" if isinstance(v, list) else str(v)
+    return {str(k): show(v) for k, v in found.items()}
 
 
 def front_matter(text: str) -> tuple[dict[str, str], str, str]:
-    """(fields, body, error) of a Markdown text: ``key: value`` lines between two ``---`` lines; a list is ``[a, b]`` or ``- a`` lines."""
+    """(fields, body, error) of a Markdown text: YAML between two ``---`` lines.
+
+    Without a YAML reader: ``key: value`` lines; a list is ``[a, b]`` or ``- a`` lines.
+    """
     if not re.match(r"---\r?\n", text):
         return {}, text, ""
     m = re.match(r"---\r?\n(.*?\r?\n)?---(?:\r?\n|$)", text, re.S)
     if not m:
         return {}, text, "unterminated front matter"
+    try:
+        if (whole := _yaml_fields(m[1] or "")) is not None:
+            return whole, text[m.end() :], ""
+    except _DuplicateKey as e:
+        return {}, text[m.end() :], str(e)
+    except Exception as e:  # noqa: BLE001  a bad file is a row with its error
+        return {}, text[m.end() :], f"front matter: {str(e).splitlines()[0][:150]}"
     fields: dict[str, str] = {}
     key = ""
     for line in (m[1] or "").splitlines():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clock, slugify
@@ -29,7 +29,7 @@ def csv_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, headers: dict[str, str] | None = None) -> None:
     names = csv_columns(df, columns or [])
-    df.select(*(F.col(c).alias((headers or {}).get(c, c)) for c in names)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(F.col(c).alias((headers or {}).get(c, c)) for c in names)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def markdown_table(df: DataFrame, columns: list[str], cap: int = 100) -> str:
@@ -55,6 +55,22 @@ def note_paths(df: DataFrame, title: Column, folder: str, taken: DataFrame | Non
     return d.withColumn("path", F.concat(F.lit(f"{folder}/"), "slug", number, F.lit(".md"))).drop("_sl_n", "slug")
 
 
+def backup(df: DataFrame, path: str) -> None:
+    """A table's rows and, written after them, what a restore checks."""
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = df.sparkSession.read.parquet(f"{path}/rows")
+    rows.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("digest")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a backup; one that is not complete is refused."""
+    rows, told = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/manifest").first()
+    got = rows.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("digest")).first()
+    if (got["rows"], got["digest"]) != (told["rows"], told["digest"]):
+        raise ValueError(f"backup at {path} is damaged")
+    return rows
+
+
 def transcript(segments: DataFrame, form: str) -> DataFrame:
     """(meeting, text) of segments (meeting, id, speaker, start, end, text): txt, md, srt or vtt."""
     stop = {"srt": ",", "vtt": "."}.get(form)

