@@ -11,12 +11,16 @@ The likeness of two fingerprints estimates the share of steps at which the walks
 per octave the share of agreeing samples, chance agreement taken out, weighted by the
 steps that the longer walk has in the octave.
 
-Candidates for near copies share one of ``BANDS`` bands of sampled bits; ``similar`` verifies
-them by edit distance on the texts.
+Candidates for near copies share a band: the bits written at ``STRETCH`` successive steps, where both walks are in
+step and no edit falls; ``PER_BAND_OCTAVE`` stretches in every octave of the walk are bands. ``near_texts`` verifies
+candidates by edit distance on the whole texts and gives every document its class. Equal texts are one class, stood for by
+its least id. In a band's list pivots are compared with members of other components, 1, 8, 64, ... of them a
+round, until in each list all members that were never pivot are in one component; so a group of n near copies
+costs about n comparisons, and no pair that shares a band is left out.
 
 Defined cases: a null text counts as empty; an empty text has an empty fingerprint, which
 is like another empty one (1.0) and unlike any other (0.0). Equal texts have equal
-fingerprints. Rows are ordered by (id, text), null ids first; rows that repeat an id
+fingerprints. Texts of fewer than 32 steps (about 20 characters) have no band and are classed with equal texts only. Rows are ordered by (id, text), null ids first; rows that repeat an id
 follow one another in text order, and the last row is followed by the first.
 """
 
@@ -32,13 +36,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from .components import components
+from .near_dedup import _merged, _next_pivots, _open_members, _paired
 from .scratch import Scratch, partitions, small
+from .tokens import _power_tables, mix
 
 PER_OCTAVE = 128
 OCTAVES = 40
 _PHASES = 4096
 _CHUNK = 1 << 16
-BANDS, BAND_BITS = 12, 20
+STRETCH, PER_BAND_OCTAVE = 32, 4
 
 
 @cache
@@ -62,17 +69,33 @@ def _tables() -> tuple[list[list[int]], np.ndarray, np.ndarray, np.ndarray]:
     return [row.tolist() for row in wait], rng.integers(1, 2**32, 1, dtype=np.uint64) | np.uint64(1), sample, bit
 
 
+@cache
+def _stretches() -> tuple[np.ndarray, np.ndarray]:
+    """(steps of all bands in ascending order, first place of each band among them and the end): stretches in equal parts of every octave."""
+    rng = np.random.default_rng(13)
+    steps, first = [], [0]
+    for o in range(4, OCTAVES):
+        width = min(STRETCH, 1 << o)
+        parts = max(1, min(PER_BAND_OCTAVE, (1 << o) // STRETCH))
+        for i in range(parts):
+            lo, room = (1 << o) + i * ((1 << o) // parts), (1 << o) // parts - width
+            steps.append(lo + int(rng.integers(0, room + 1)) + np.arange(width))
+            first.append(first[-1] + width)
+    return np.concatenate(steps), np.array(first)
+
+
 def _classes(codes: np.ndarray) -> bytes:
     mult = _tables()[1]
     return ((codes.astype(np.uint64) * mult >> np.uint64(13)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 class Walk:
-    """The walk over a text; ``at`` holds the character under each sampled step reached so far."""
+    """The walk over a text; ``at`` and ``near`` hold the character under each sampled step and each step of a band reached so far."""
 
-    def __init__(self, step: int = 0, at: list[np.ndarray] | None = None):
+    def __init__(self, step: int = 0, at: list[np.ndarray] | None = None, near: list[np.ndarray] | None = None):
         self.step = step
         self.at = list(at or [])
+        self.near = list(near or [])
 
     def over(self, codes: np.ndarray) -> Walk:
         wait, _, sample, _ = _tables()
@@ -86,23 +109,40 @@ class Walk:
             for c in _classes(part):
                 j += wait[c][j & mask]
                 put(j)
-            a, b = np.searchsorted(sample, (first, j))
-            if b > a:
-                self.at.append(part[np.searchsorted(np.array(ends, np.int64), sample[a:b], "right")])
+            reached = np.array(ends, np.int64)
+            for steps, kept in ((sample, self.at), (_stretches()[0], self.near)):
+                a, b = np.searchsorted(steps, (first, j))
+                if b > a:
+                    kept.append(part[np.searchsorted(reached, steps[a:b], "right")])
         self.step = j
         return self
 
     def copy(self) -> Walk:
-        return Walk(self.step, self.at)
+        return Walk(self.step, self.at, self.near)
+
+    def bands(self) -> list[int]:
+        """One key for each band that the walk has passed: its number and one hashed bit of the character at each of its steps."""
+        first = _stretches()[1]
+        got = np.concatenate(self.near) if self.near else np.zeros(0, np.uint32)
+        n = int(np.searchsorted(first, len(got), "right")) - 1
+        if n < 1:
+            return []
+        bit = _hashed_bits(got[: first[n]], np.arange(first[n], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+        place = np.arange(first[n]) - np.repeat(first[:n], np.diff(first[: n + 1]))
+        keys = np.add.reduceat(bit.astype(np.int64) << place, first[:n])
+        return [(i << 32) | int(k) for i, k in enumerate(keys)]
 
     def bits(self) -> np.ndarray:
         """One hashed bit of the character at each sampled step that the walk reached."""
         got = np.concatenate(self.at) if self.at else np.zeros(0, np.uint32)
-        salt = _tables()[3][: len(got)]
-        h = (got.astype(np.uint64) + np.uint64(1)) * salt
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(63)).astype(np.uint8)
+        return _hashed_bits(got, _tables()[3][: len(got)])
+
+
+def _hashed_bits(codes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    h = (codes.astype(np.uint64) + np.uint64(1)) * salt
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(63)).astype(np.uint8)
 
 
 def encoded(steps: int, bits: np.ndarray) -> str:
@@ -181,37 +221,13 @@ def _finished(row: _Row, after: _Row) -> tuple:
     edited_text = row.text[: row.n - gone] + new
     walk = row.half.copy().over(_codes(new))
     edited = (walk.step, walk.bits())
-    shared = not set(bands(*row.print)).isdisjoint(bands(*edited))
+    shared = not set(row.whole.bands()).isdisjoint(walk.bands())
     return (
         row.id, row.n, hashlib.sha256(edited_text.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*row.print), encoded(*edited),
         likeness(row.print, edited), likeness(row.print, after.print), shared,
     )
 
 
-@cache
-def _band_places(n: int) -> np.ndarray:
-    """Which of the first n sampled bits each band reads."""
-    return np.random.default_rng(11).integers(0, 1 << 30, (BANDS, BAND_BITS)) % n
-
-
-def bands(steps: int, bits: np.ndarray) -> list[int]:
-    """``BANDS`` keys of ``BAND_BITS`` sampled bits each, tagged with the band; walks of very different length share none.
-
-    The bits read are those below the largest power of two within the walk, and, for a walk that only just
-    passes it, also those below half of it, so walks of nearly the same length read the same places.
-    """
-    if not steps:
-        return []
-    octave = steps.bit_length() - 1
-    keys = []
-    for o in (octave, octave - 1) if 4 * steps < 5 << octave and octave else (octave,):
-        n = int(np.searchsorted(_tables()[2], 1 << o))
-        if n:
-            picked = bits[_band_places(n)]
-            keys += [(o << 40) | (i << 32) | int.from_bytes(np.packbits(row).tobytes()) for i, row in enumerate(picked)]
-    return keys
-
-
 def fingerprint_with_edit(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint, its edited text's and its likeness to that and to the next row's text.
 
@@ -262,31 +278,17 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
 
     def run(batches):
         for b in batches:
-            prints = [Walk().over(_codes(t or "")) for t in b.column(1).to_pylist()]
-            parts = [(w.step, w.bits()) for w in prints]
+            walks = [Walk().over(_codes(t or "")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([encoded(*p) for p in parts], pa.string()), pa.array([bands(*p) for p in parts], pa.list_(pa.int64()))], names=["id", "fingerprint", "bands"]
+                [b.column(0), pa.array([encoded(w.step, w.bits()) for w in walks], pa.string()), pa.array([w.bands() for w in walks], pa.list_(pa.int64()))], names=["id", "fingerprint", "bands"]
             )
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, fingerprint string, bands array<long>")
 
 
-def similar(docs: DataFrame, *, max_edits: float = 0.1, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, edits): texts that share a band with its least id and are within ``max_edits`` of the longer's length.
-
-    Each band pairs its members with its least id only, so a group of n copies costs n pairs.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "edits")
-    prints = scratch.put(fingerprints(docs, id=id, text=text))
-    member = prints.select("id", F.explode("bands").alias("band"))
-    least = member.groupBy("band").agg(F.min("id").alias("a"))
-    pairs = scratch.put(member.join(least, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    needed = rows.join(small(ids), "id", "left_semi")
-    both = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, max_edits: float) -> DataFrame:
+    """(a, b, edits) of the pairs within ``max_edits`` of the longer text's length; ``texts``: id, text."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("edits", T.LongType())])
 
     def verify(batches):
@@ -300,41 +302,120 @@ def similar(docs: DataFrame, *, max_edits: float = 0.1, id: str = "doc_id", text
             cols = list(zip(*got, strict=True)) if got else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "edits"])
 
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, schema)
 
 
+def _closed(docs: DataFrame, max_edits: float, id: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their class of equal texts, verified links, labels of the linked): id null or rows that repeat an id keep their own texts' classes."""
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = scratch.put(rows.select("id", F.sha2("text", 256).alias("h"), F.length("text").alias("n")))
+    least = named.where("id is not null").groupBy("h").agg(F.min("id").alias("rep"))
+    # of an id's several texts the one of least hash stands for the id
+    first = scratch.put(least.groupBy("rep").agg(F.min("h").alias("h")))
+    mine = rows.withColumn("h", F.sha2("text", 256)).join(first.select(F.col("rep").alias("id"), "h"), ["id", "h"], "left_semi").select("id", "text")
+    texts = mine.groupBy("id").agg(F.min("text").alias("text"))
+    prints = scratch.put(fingerprints(texts, id="id", text="text").join(named.select("id", "h", "n").join(first.select(F.col("rep").alias("id"), "h"), ["id", "h"], "left_semi").distinct(), "id"))
+    member = prints.select(F.explode("bands").alias("v"), F.col("id").alias("rep"), "n")
+    size = scratch.put(member.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    # any two members of a list may be linked, if their lengths allow it
+    lists = member.join(size, "v").select("v", "rep", F.lit(0).alias("pop"), "n", F.lit(2**62).alias("most"), "df", *(F.lit(None).cast("double").alias(c) for c in ("f", "s", "c")))
+    lists = scratch.put(_merged(lists))
+    needed = scratch.put(texts.join(small(lists.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"))
+    spark = docs.sparkSession
+    labels = scratch.put(spark.createDataFrame([], "node long, label long"))
+    done = lists.select("v", "rep").limit(0)
+    links, seen, grow = scratch.put(spark.createDataFrame([], "a long, b long, edits long")), [], 1
+    while True:
+        open_ = scratch.put(_open_members(lists, labels, done))
+        if not open_.head(1):
+            return named, links, labels
+        picked = scratch.put(_next_pivots(open_, grow))
+        grow = min(8 * grow, 4096)
+        pairs = _paired(open_, picked, 1 - max_edits)
+        for old in seen:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = scratch.put(pairs)
+        seen.append(pairs)
+        done = done.unionByName(picked.select("v", "rep"))
+        found = scratch.put(_verified(pairs, needed, max_edits))
+        if found.head(1):
+            links = scratch.put(links.unionByName(found))
+            labels = components(links, scratch)
+
+
+def similar(docs: DataFrame, *, max_edits: float = 0.1, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, edits): verified links between the least ids of different texts, enough of them to connect all that share a band and are linked.
+
+    Equal texts are linked to their least id, with 0 edits.
+    """
+    ship(docs.sparkSession)
+    named, links, _ = _closed(docs, max_edits, id, text, Scratch(docs.sparkSession, "edits"))
+    least = named.where("id is not null").groupBy("h").agg(F.min("id").alias("a"))
+    equal = named.join(least, "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).cast("long").alias("edits")).distinct()
+    return links.unionByName(equal)
+
+
+def near_texts(docs: DataFrame, *, max_edits: float = 0.05, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, copy_of, class_id) of every row: the least id of an equal text, and of all that verified links reach from there.
+
+    ``max_edits`` is a share of the longer text's length. A null id is linked with nothing.
+    """
+    ship(docs.sparkSession)
+    named, _, labels = _closed(docs, max_edits, id, text, Scratch(docs.sparkSession, "near-texts"))
+    least = named.where("id is not null").groupBy("h").agg(F.min("id").alias("copy_of"))
+    out = named.join(least, "h", "left").withColumn("copy_of", F.when(F.col("id").isNotNull(), F.col("copy_of")))
+    out = out.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left")
+    return out.select("id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
+
+
 def edit_distance(a: str, b: str, limit: int) -> int:
-    """Edit distance of two texts, or ``limit + 1`` if it is larger (diagonal by diagonal, O(n + limit**2))."""
+    """Edit distance of two texts, or ``limit + 1`` if it is larger.
+
+    Edit by edit, the furthest place on every diagonal at once; how far two texts agree from a place on follows from
+    prefix hashes by bisection. Diagonals from which the end cannot be reached any more are dropped.
+    """
     x, y = _codes(a), _codes(b)
     n, m = len(x), len(y)
     if abs(n - m) > limit:
         return limit + 1
-
-    def slide(i: int, j: int) -> int:
-        """How far x[i:] and y[j:] agree."""
-        start, width = i, 32
-        while i < n and j < m:
-            k = min(width, n - i, m - j)
-            differ = np.flatnonzero(x[i : i + k] != y[j : j + k])
-            if len(differ):
-                return i + int(differ[0]) - start
-            i, j, width = i + k, j + k, width * 2
-        return i - start
-
-    far = {0: slide(0, 0)}
-    if far[0] == n == m:
+    if a == b:
         return 0
+    top = max(n, m)
+    power, inverse = _power_tables(top + 1)
+    hx, hy = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(c.astype(np.uint64) + np.uint64(1)) * power[: len(c)], dtype=np.uint64))) for c in (x, y))
+
+    def slide(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How far x from i and y from j agree."""
+        out = np.zeros(len(i), np.int64)
+        on = np.flatnonzero((i < n) & (j < m))
+        on = on[x[i[on]] == y[j[on]]]
+        p, q = i[on], j[on]
+        lo, hi = np.ones(len(on), np.int64), np.minimum(n - p, m - q)
+        while (lo < hi).any():
+            mid = (lo + hi + 1) // 2
+            same = (hx[p + mid] - hx[p]) * inverse[p] == (hy[q + mid] - hy[q]) * inverse[q]
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        out[on] = lo
+        return out
+
+    # far[k] is the furthest place in x on diagonal k = i - j; -2: not reached
+    k = np.zeros(1, np.int64)
+    far = slide(k, k)
+    end = n - m
     for d in range(1, limit + 1):
-        new = {}
-        for k in range(-d, d + 1):  # k = i - j
-            i = max(far.get(k - 1, -2) + 1, far.get(k, -2) + 1, far.get(k + 1, -2))
-            i = min(i, n)
-            j = i - k
-            if i < 0 or j < 0 or j > m:
-                continue
-            i += slide(i, j)
-            if i == n and i - k == m:
-                return d
-            new[k] = i
-        far = new
+        reach = limit - d
+        lo, hi = max(-d, end - reach, -m), min(d, end + reach, n)
+        new = np.arange(lo, hi + 1)
+        old = np.full(hi - lo + 3, -2, np.int64)
+        inside = (k >= lo - 1) & (k <= hi + 1)
+        old[k[inside] - lo + 1] = far[inside]
+        i = np.maximum(np.maximum(old[:-2] + 1, old[1:-1] + 1), old[2:])
+        i = np.minimum(i, np.minimum(n, m + new))
+        ok = (i >= 0) & (i - new >= 0)
+        i = np.where(ok, i, 0)
+        step = slide(i, np.where(ok, i - new, 0))
+        far, k = np.where(ok, i + step, -2), new
+        if lo <= end <= hi and far[end - lo] == n:
+            return d
     return limit + 1
