@@ -97,7 +97,8 @@ def _lexicons(docs: DataFrame, labelled: DataFrame, domains: list[str], id: str,
     once = docs.sparkSession.createDataFrame([(r["id"], r["domain"]) for r in once], "id long, domain string")
     total = {r["domain"]: r["n"] for r in once.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = float(sum(total.values()))
-    rows = rows.drop("domain").dropDuplicates(["id"]).join(F.broadcast(once), "id")
+    # of an id with several texts the least counts
+    rows = rows.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(once), "id")
     term = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("term")
     df = rows.select("domain", term).groupBy("term").agg(F.count("*").alias("all"), *(F.count(F.when(F.col("domain") == d, 1)).alias(f"d{i}") for i, d in enumerate(domains))).where("all >= 5")
     out = {}
