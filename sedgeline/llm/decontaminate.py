@@ -5,9 +5,9 @@ item with fewer words, but some, is one window). Each training text is scanned o
 a window hash found in the set is verified by comparing the words' bytes, and every
 word inside a verified window counts as hit.
 
-The set is broadcast in slices of at most ``SLICE_BYTES`` of benchmark text, so what
-one slice holds is bounded; a larger benchmark is scanned in several chained passes,
-without a shuffle and with the same result.
+The set is broadcast in slices of about ``SLICE_BYTES`` of benchmark text. A larger
+benchmark is scanned in several passes, one slice after the other: a pass is written before the
+next slice is collected, so no task and no driver holds two. Without a shuffle and with the same result.
 
 Defined cases: null and empty texts have no words and are never contaminated. Items
 without words have no window. Items that repeat an ``item_id`` count once; a null
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from .scratch import Scratch
 from .tokens import WORD, blocks, windows, words
 
 SLICE_BYTES = 16 << 20
@@ -88,12 +89,12 @@ def _scan(text: pa.Array, index: dict) -> Iterator[tuple[int, int, np.ndarray, s
             yield block.first + r, hi - lo, hit[lo:hi], ids.get(r, set()), w, lo
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in slices of bounded size, each collected on its own."""
+def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
+    """The benchmark (i, t) in slices of bounded size, each to be collected when its turn comes."""
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     k = int(total // SLICE_BYTES) + 1
-    return [[(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(k)) == s).toLocalIterator()] for s in range(k)]
+    return [rows.where(F.pmod(F.xxhash64("t"), F.lit(k)) == s) for s in range(k)]
 
 
 def decontaminate(
@@ -120,17 +121,22 @@ def decontaminate(
     ship(spark)
     names = [c for c in docs.columns if not (action == "report" and c in REPORT)]
     base = docs.select(*(docs[c] for c in names))
-    parts = [spark.sparkContext.broadcast(_index(s, window)) for s in _slices(benchmark, item_id, item_text)]
+    slices = _slices(benchmark, item_id, item_text)
+    scratch = Scratch(spark, "windows")
+
+    def shared_index(rows: DataFrame):
+        return spark.sparkContext.broadcast(_index([(r["i"], r["t"]) for r in rows.toLocalIterator()], window))
+
     mark = T.StructType([T.StructField(_HIT, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
     up, down = share
 
-    def first_passes(k: int):
+    def first_pass(k: int, shared):
         def run(batches):
             for b in batches:
                 old = b.column(_HIT).to_pylist() if k else None
                 old_ids = b.column(_ITEMS).to_pylist() if k else None
                 marks, ids = [], []
-                for r, n, hit, found, _, _ in _scan(b.column(text), parts[k].value):
+                for r, n, hit, found, _, _ in _scan(b.column(text), shared.value):
                     if k:
                         hit = hit | np.unpackbits(np.frombuffer(old[r], np.uint8), count=n).astype(bool)
                         found = found | set(old_ids[r])
@@ -141,12 +147,19 @@ def decontaminate(
 
         return run
 
-    for k in range(len(parts) - 1):
-        base = base.mapInArrow(first_passes(k), T.StructType([*docs.select(*names).schema.fields, *mark.fields]))
-    chained = len(parts) > 1
+    # one slice after the other: its pass is written before the next slice is collected, so no task or driver holds two
+    for k, rows in enumerate(slices[:-1]):
+        shared = shared_index(rows)
+        marked = scratch.put(base.mapInArrow(first_pass(k, shared), T.StructType([*docs.select(*names).schema.fields, *mark.fields])))
+        shared.unpersist()
+        if k:
+            scratch.drop(base)
+        base = marked
+    chained = len(slices) > 1
+    final = shared_index(slices[-1])
 
     def last(batches):
-        index = parts[-1].value
+        index = final.value
         for b in batches:
             old = b.column(_HIT).to_pylist() if chained else None
             old_ids = b.column(_ITEMS).to_pylist() if chained else None

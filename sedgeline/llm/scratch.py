@@ -12,11 +12,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows (of a few narrow columns) up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a side is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -69,9 +70,32 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            each = F.aggregate(F.transform(c, lambda x: _bytes(x, inner).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+        else:
+            each = 8 * F.size(c)
+        return 16 + F.coalesce(F.when(c.isNotNull(), each), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return 8 + sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count of its rows and bytes shows that ``df`` can be broadcast; it stops at the first row too many."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, total = df.select(size.alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and total <= BROADCAST_BYTES
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it is small, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if ``is_small``, else as it is (the join then shuffles)."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def partitions(spark: SparkSession) -> int:
