@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters with marks and what they fold to.
-_MARKED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 #: Timestamp layouts a dataset accepts.
 DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -22,7 +22,7 @@ def ascii_lower(c: Column) -> Column:
 def fold(c: Column) -> Column:
     """Lower-case, without marks; texts without marked letters are not translated character by character."""
     low = F.lower(c)
-    return F.when(low.rlike(f"[{_MARKED}]"), F.translate(low, _MARKED, _PLAIN)).otherwise(low)
+    return F.when(low.rlike(f"[{MARKED}]"), F.translate(low, MARKED, PLAIN)).otherwise(low)
 
 
 def parse_date(c: Column) -> Column:
@@ -93,15 +93,15 @@ def dehyphenate(c: Column) -> Column:
 
 
 #: Signal words of the two languages that are told apart.
-_GERMAN = ("der", "die", "das", "und", "ist", "nicht", "mit", "für", "von", "den", "wird", "werden", "auf", "ein", "eine", "zu", "wir", "sie", "im")
-_ENGLISH = ("the", "and", "is", "of", "to", "in", "for", "with", "that", "this", "are", "not", "was", "be", "will", "we", "you", "from")
+GERMAN = ("der", "die", "das", "und", "ist", "nicht", "mit", "für", "von", "den", "wird", "werden", "auf", "ein", "eine", "zu", "wir", "sie", "im")
+ENGLISH = ("the", "and", "is", "of", "to", "in", "for", "with", "that", "this", "are", "not", "was", "be", "will", "we", "you", "from")
 
 
 def language(c: Column) -> Column:
     """``deu``, ``eng`` or empty, by signal words of a text of 20 words or more; marked German letters count three."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}]+"), F.lit(0))
-    deu = F.size(F.filter(words, lambda w: w.isin(*_GERMAN))) + F.when(c.rlike("[äöüßÄÖÜ]"), 3).otherwise(0)
-    eng = F.size(F.filter(words, lambda w: w.isin(*_ENGLISH)))
+    deu = F.size(F.filter(words, lambda w: w.isin(*GERMAN))) + F.when(c.rlike("[äöüßÄÖÜ]"), 3).otherwise(0)
+    eng = F.size(F.filter(words, lambda w: w.isin(*ENGLISH)))
     return F.when(F.size(words) < 20, "").when(deu >= eng * 1.5, F.when(deu >= 3, "deu").otherwise("")).when(eng >= deu * 1.5, F.when(eng >= 3, "eng").otherwise("")).otherwise("")
 
 

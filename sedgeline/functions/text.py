@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .scalar import fold
+from .scalar import MARKED, PLAIN, fold
 
 # Stop words of the German analyzer.
 STOP_WORDS = (
@@ -66,6 +66,20 @@ def fnv1a32(word: str) -> int:
     return h
 
 
+_WORD_CHARS = f"a-z0-9{MARKED}"
+
+
+def word_pattern(word: str, prefix: bool = False) -> str:
+    """A pattern that finds a folded word (or what begins with it) in a lower-cased text: what folding would do is in its classes."""
+    letters = "".join(f"[{c}{''.join(m for m, p in zip(MARKED, PLAIN, strict=True) if p == c)}]" for c in word)
+    return rf"(?<![{_WORD_CHARS}]){letters}" + ("" if prefix else rf"(?![{_WORD_CHARS}])")
+
+
+def n_words(low: Column) -> Column:
+    """How many ``words`` a lower-cased text has, without making them."""
+    return F.regexp_count(low, F.lit(f"[{_WORD_CHARS}]+"))
+
+
 def fnv64(text: Column | str) -> Column:
     """FNV-1a of a text's UTF-8 bytes, 64 bits as a signed number; null for null."""
     ship(SparkSession.active())

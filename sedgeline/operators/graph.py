@@ -89,9 +89,10 @@ def mentions(docs: DataFrame, entities: DataFrame, text: Column) -> DataFrame:
     low = entities.select("entity", F.lower("name").alias("name")).where("name <> ''")
     low = low.withColumn("key", F.left("name", F.lit(3)))
     t = docs.select("path", F.lower(text).alias("t"))
-    widths = F.array(*(F.lit(i) for i in (1, 2, 3)))
-    sizes = [r[0] for r in low.select(F.least(F.length("key"), F.lit(3))).distinct().collect()]
-    keys = F.flatten(F.transform(F.filter(widths, lambda w: w.isin(*sizes)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - w + 1)), lambda i: F.substring("t", i, w))))
+    sizes = [r[0] for r in low.select(F.length("key")).distinct().collect()]
+    # all overlapping pieces in one pass over the text
+    pieces = [F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    keys = F.concat(*pieces) if pieces else F.array().cast("array<string>")
     held = t.withColumn("key", F.explode(F.array_distinct(keys)))
     return held.join(low, "key").where(F.col("t").contains(F.col("name"))).select("path", "entity").distinct()
 

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from . import retrieval as R
 from . import search as S
 
-BUCKETS = 64
-
 
 def words_of(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"[^a-z0-9]+", query.lower()) if w))
@@ -29,8 +27,9 @@ class SearchIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
-    def build(cls, docs: DataFrame, id: str, text: Column, path: str, buckets: int = BUCKETS) -> SearchIndex:
+    def build(cls, docs: DataFrame, id: str, text: Column, path: str, buckets: int | None = None) -> SearchIndex:
         """One shuffle by (bucket, salt): a frequent term's postings are dealt to several files."""
+        buckets = buckets or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         lists = S.postings(docs, id, text)
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         dealt = lists.withColumn("bucket", bucket).repartition(buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(4)))

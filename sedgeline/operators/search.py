@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ascii_lower, base_name, extension, fold
-from ..functions.text import german_tokens, may_hold_stem, words
+from ..functions.text import german_tokens, may_hold_stem, n_words, word_pattern, words
 
 K1, B = 1.2, 0.75
 FIELDS = {"tag": "tag", "path": "path", "status": "status", "type": "type", "index": "index", "index_status": "index", "filename": "filename", "filetype": "filetype", "created": "created", "modified": "modified"}
@@ -124,14 +124,15 @@ def postings(docs: DataFrame, id: str, text: Column) -> DataFrame:
 def bm25(docs: DataFrame, id: str, text: Column, terms: list[str]) -> DataFrame:
     """(id, score) of the documents that hold every term; larger is better.
 
-    Only postings of the query's terms are made: the texts are tokenised in one pass, without exploding the rest.
+    Words are counted by patterns on the lower-cased text, so no text is split or translated; only what holds
+    every term is counted in full. Without terms every document has a score of 0.
     """
     wanted = list(dict.fromkeys(terms))
-    tokens = docs.select(F.col(id).alias("id"), words(text).alias("ws"))
-    tf = [F.size(F.filter("ws", _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    counted = tokens.select("id", F.size("ws").alias("dl"), *tf)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
-    hits = counted.where(reduce(and_, [F.col(f"tf{i}") > 0 for i in range(len(wanted))], F.lit(True))).join(F.broadcast(stats))
+    low = docs.select(F.col(id).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    held = [F.col("low").rlike(word_pattern(t)) for t in wanted]
+    stats = low.agg(F.count("*").alias("n"), F.avg(n_words(F.col("low"))).alias("avgdl"), *(F.sum(h.cast("long")).alias(f"df{i}") for i, h in enumerate(held)))
+    tf = [F.regexp_count("low", F.lit(word_pattern(t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    hits = low.where(reduce(and_, held, F.lit(True))).select("id", n_words(F.col("low")).alias("dl"), *tf).join(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(len(wanted)):
         tf_, df = F.col(f"tf{i}"), F.col(f"df{i}")
@@ -140,10 +141,6 @@ def bm25(docs: DataFrame, id: str, text: Column, terms: list[str]) -> DataFrame:
     return hits.select("id", score.alias("score"))
 
 
-def _is(t: str):
-    return lambda w: w == t
-
-
 def three_legs(docs: DataFrame, id: str, text: Column, query: str) -> DataFrame:
     """(id, score): raw words by BM25, stems by prefix, and substrings of three letters or more; best score of each document, nulls last."""
     terms = [w for w in re.split(r"[^a-z0-9]+", query.lower()) if w]
@@ -236,8 +233,9 @@ def weighted_search(docs: DataFrame, fields: dict[str, float], query: str, id: s
     for w in wanted:
         best = F.lit(0.0)
         for name, weight in fields.items():
-            ws = words(F.col(name))
-            best = best + weight * F.when(F.exists(ws, _is(w)), 1.0).when(F.exists(ws, _starts(w)), 0.6).otherwise(0.0)
+            low = F.lower(F.coalesce(name, F.lit("")))
+            begins = low.rlike(word_pattern(w, prefix=True))
+            best = best + weight * F.when(~begins, 0.0).when(low.rlike(word_pattern(w)), 1.0).otherwise(0.6)
         every.append(best > 0)
         score = score + best
     factor = 1.5 if len(wanted) > 1 else 1.0

@@ -199,17 +199,24 @@ def facets(spark, sf_dir):
     return S.facets(base(spark, sf_dir, "files_d"), ["status", "type", "person"])
 
 
-@query("X16_wikilinks", "SELECT 1 AS n, 'Alpha;Beta note' AS l")
+@query("X16_wikilinks", "SELECT doc_id, concat('n', doc_id, ';Beta note') AS links FROM documents WHERE text IS NOT NULL")
 def wikilinks(spark, sf_dir):
-    md = "see [[Alpha|a]] and [[ Beta note#part ]] `[[code]]`\n```\n[[fenced]]\n```\n[[Alpha]]"
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("n"), F.array_join(TX.wikilinks(F.lit(md)), ";").alias("l"))
+    n = F.col("doc_id").cast("string")
+    md = F.concat(F.lit("see [[n"), n, F.lit("|a]] and [[ Beta note#part ]] `[[code]]`\n```\n[[fenced]]\n```\n"), F.regexp_replace("text", r"[\[\]`#|()]", ""), F.lit(" [[n"), n, F.lit("]]"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(TX.wikilinks(md), ";").alias("links"))
 
 
-@query("X14_language", "SELECT 1 AS n, 'deu' AS a, 'eng' AS b, '' AS c")
+_SIGNALS = ", ".join(f"'{w}'" for w in X.GERMAN), ", ".join(f"'{w}'" for w in X.ENGLISH)
+
+
+@query(
+    "X14_language",
+    rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda w: w IN ({_SIGNALS[0]}))) + CASE WHEN regexp_matches(text, '[äöüßÄÖÜ]') THEN 3 ELSE 0 END AS d, len(list_filter(ws, lambda w: w IN ({_SIGNALS[1]}))) AS e FROM w)
+    SELECT doc_id, CASE WHEN n < 20 THEN '' WHEN d >= e * 1.5 THEN CASE WHEN d >= 3 THEN 'deu' ELSE '' END WHEN e >= d * 1.5 THEN CASE WHEN e >= 3 THEN 'eng' ELSE '' END ELSE '' END AS lang FROM c""".replace("\\\\p", "\\p"),
+)
 def languages(spark, sf_dir):
-    de = "Der Vertrag wurde zwischen den Parteien geschlossen und ist gültig. Die Beiträge für die Krankenversicherung werden monatlich gezahlt. Wir können die Frist nicht halten."
-    en = "The contract was signed between the parties and is valid. The contributions for the insurance are paid monthly and this will not change. We cannot accept the deadline."
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("n"), X.language(F.lit(de)).alias("a"), X.language(F.lit(en)).alias("b"), X.language(F.lit("kurz")).alias("c"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.language(F.col("text")).alias("lang"))
 
 
 @query("X12_german_tokens", "SELECT 1 AS n, 'rechnung gepruft' AS t, 'grosser uberweisung' AS u")
@@ -388,9 +395,8 @@ def related(spark, sf_dir):
     ("files_d",),
 )
 def mentions(spark, sf_dir):
-    f = base(spark, sf_dir, "files_d").select("path", F.lower(F.concat_ws("\n", "title", "body")).alias("t"))
     ent = spark.createDataFrame([(1, "idiot"), (2, "moron")], "entity int, name string")
-    return f.join(F.broadcast(ent), F.col("t").contains(F.col("name"))).select("path", "entity").distinct()
+    return G.mentions(base(spark, sf_dir, "files_d"), ent, F.concat_ws("\n", "title", "body"))
 
 
 @query("A11_rollup", "SELECT o_custkey AS src, count(*) AS n, round(sum(l_quantity), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")

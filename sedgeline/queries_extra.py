@@ -203,9 +203,10 @@ def snapshot(spark, sf_dir):
 # --- text and documents -------------------------------------------------------------------------------------------------
 
 
-@query("X13_dehyphenate", "SELECT 1 AS n, 'Die Krankenversicherung zahlt. Der Mietvertrag läuft.' AS a, concat('Vor-', chr(10), 'und Nachname') AS b")
+@query("X13_dehyphenate", "SELECT doc_id, concat('Kranken', lang, 'versicherung Vor-', chr(10), 'und Nachname ', replace(text, '-', ' ')) AS t FROM documents WHERE text IS NOT NULL")
 def dehyphenate(spark, sf_dir):
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("n"), X.dehyphenate(F.lit("Die Kranken-\nversicherung zahlt. Der Miet-\nvertrag läuft.")).alias("a"), X.dehyphenate(F.lit("Vor-\nund Nachname")).alias("b"))
+    t = F.concat(F.lit("Kranken"), "lang", F.lit("-\nversicherung Vor-\nund Nachname "), F.replace("text", F.lit("-"), F.lit(" ")))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.dehyphenate(t).alias("t"))
 
 
 @query("X15_normalize", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS t FROM documents")
@@ -213,9 +214,10 @@ def normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("t"))
 
 
-@query("X18_inline_tags", "SELECT 1 AS n, 'tag,a/b' AS t")
+@query("X18_inline_tags", "SELECT doc_id, concat('tag,a/', lang) AS tags FROM documents WHERE text IS NOT NULL")
 def tags(spark, sf_dir):
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("n"), F.array_join(TX.inline_tags(F.lit("# Head #tag and #Tag #123 `#no` http://x.y/#frag #a/b")), ",").alias("t"))
+    md = F.concat(F.lit("# Head #tag and #Tag #123 `#no` http://x.y/#frag #a/"), "lang", F.lit(" "), F.regexp_replace("text", "[#`]", ""))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(TX.inline_tags(md), ",").alias("tags"))
 
 
 @query("X31_paths", "SELECT doc_id, regexp_extract(path, '[^/]*$') AS b, regexp_extract(path, '[.]([^.]*)$', 1) AS e, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM files_d", ("files_d",))

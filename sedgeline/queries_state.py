@@ -171,6 +171,12 @@ def indexed_search(spark, sf_dir):
     return _index(spark, sf_dir).search("Moron", 20).withColumn("score", F.round("score", 6))
 
 
+@query("T18_indexed_again", f"SELECT id, score FROM ({_bm25_sql('files_d', 'path', 'concat_ws(chr(10), title, body)', ['idiot'], '')}) ORDER BY score DESC, id LIMIT 20", ("files_d",))
+def indexed_again(spark, sf_dir):
+    """A further search of the same index."""
+    return _index(spark, sf_dir).search("idiot", 20).withColumn("score", F.round("score", 6))
+
+
 _indexes: dict[tuple[str, str], IX.SearchIndex] = {}
 
 

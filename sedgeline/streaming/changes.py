@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Operations as bits, and which of them names the event.
 CREATE, WRITE, REMOVE = 1, 2, 4
 
@@ -18,17 +20,36 @@ def debounced(events: DataFrame, millis: int = 500) -> DataFrame:
 
     A burst of (path, ts, op) begins with its first event and takes all of the same path within ``millis`` of
     that first one; its operations are united, create before write before remove, and it has the first time stamp.
-    A fold over each path's events in time order; state is one pair of time and bits.
+    No burst spans a pause of ``millis``, so what lies between pauses is dealt to tasks and folded there in time
+    order, batch by batch, whatever one path has of it.
     """
-    runs = events.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ts", "op"))).alias("es"))
-    empty = F.array().cast("array<struct<ts:timestamp_ntz,op:int>>")
-
-    def step(acc, e):
-        same = (F.size(acc) > 0) & (F.unix_micros(e["ts"].cast("timestamp")) < F.unix_micros(F.try_element_at(acc, F.lit(-1))["ts"].cast("timestamp")) + millis * 1000)
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["ts"].alias("ts"), F.try_element_at(acc, F.lit(-1))["op"].bitwiseOR(e["op"]).alias("op"))))
-        return F.when(same, joined).otherwise(F.concat(acc, F.array(F.struct(e["ts"].alias("ts"), e["op"].alias("op")))))
-
-    return runs.select("path", F.explode(F.aggregate("es", empty, step)).alias("b")).select("path", "b.ts", op_name(F.col("b.op")).alias("op"))
+    ship(events.sparkSession)
+    w = Window.partitionBy("path").orderBy("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    marked = events.select("path", "ts", "op", at.alias("at"), F.coalesce(at - F.lag(at).over(w) >= millis * 1000, F.lit(True)).cast("int").alias("new"))
+    stretch = marked.withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    dealt = stretch.repartition("path", "stretch").sortWithinPartitions("path", "stretch", "at")
+
+    def fold(batches):
+        import pandas as pd
+
+        held = None  # path, stretch, first time, first time stamp, operations
+        for b in batches:
+            out = []
+            for path, stretch_, t, ts, op in zip(b["path"], b["stretch"], b["at"], b["ts"], b["op"], strict=True):
+                if held is not None and held[:2] == (path, stretch_) and t < held[2] + millis * 1000:
+                    held = (*held[:4], held[4] | op)
+                    continue
+                if held is not None:
+                    out.append((held[0], held[3], held[4]))
+                held = (path, stretch_, t, ts, op)
+            yield pd.DataFrame(out, columns=["path", "ts", "op"])
+        if held is not None:
+            yield pd.DataFrame([(held[0], held[3], held[4])], columns=["path", "ts", "op"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    bursts = dealt.mapInPandas(fold, f"path {kinds['path']}, ts {kinds['ts']}, op int")
+    return bursts.select("path", "ts", op_name(F.col("op")).alias("op"))
 
 
 def op_name(bits):
