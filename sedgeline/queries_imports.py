@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -106,6 +107,31 @@ def archives(spark, sf_dir):
     return SRC.extract(files).where("error = ''").select(F.regexp_replace("path", r"\.docx$", "").alias("n_name"), "text")
 
 
+@query("S16_pdf_pages", "SELECT n_name, page, concat('page:', page) AS anchor, CASE page WHEN 1 THEN concat('Land (', n_name, ')', chr(10), 'zweite Zeile ä') ELSE concat('€', n_nationkey) END AS text FROM nation, (VALUES (1), (2)) AS p(page)")
+def pdf(spark, sf_dir):
+    from .sources.pdf import pages
+
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def made(names: pd.Series, keys: pd.Series) -> pd.Series:
+        out = []
+        for name, key in zip(names, keys, strict=True):
+            first = zlib.compress(f"BT /F1 12 Tf 72 700 Td (Land \\({name}\\)) Tj 0 -14 Td [(zwei) 20 (te) -400 (Zeile \\344)] TJ ET".encode("cp1252"))
+            second = f"BT /F2 9 Tf <0001{''.join(f'{ord(c):04x}' for c in str(key))}> Tj ET".encode()
+            cmap = b"2 beginbfchar <0001> <20AC> endbfchar 1 beginbfrange <0030> <0039> <0030> endbfrange"
+            parts = [
+                b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [4 0 R 3 0 R] /Count 2 >>", b"<< /Type /Page /Contents 6 0 R /Resources << /Font << /F2 7 0 R >> >> >>", b"<< /Type /Page /Contents [5 0 R] >>",
+                b"<< /Filter /FlateDecode >>\nstream\n" + first + b"\nendstream", b"<< >>\nstream\n" + second + b"\nendstream", b"<< /Type /Font /ToUnicode 8 0 R >>", b"<< >>\nstream\n" + cmap + b"\nendstream",
+            ]
+            out.append(b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, p) for i, p in enumerate(parts, 1)) + b"trailer << /Root 1 0 R >>\nstartxref\n0\n%%EOF")
+        return pd.Series(out)
+
+    n = table(spark, sf_dir, "nation")
+    found = pages(n.select(F.col("n_name").alias("path"), made("n_name", "n_nationkey").alias("content")))
+    return found.where("error = ''").select(F.col("path").alias("n_name"), "page", "anchor", "text")
+
+
 @query("S17_ingest_extraction", "SELECT conv_id, turn, substr(concat('Turn ', turn, chr(10), trim(role)), 1, 12) AS text, length(concat('Turn ', turn, chr(10), trim(role))) > 12 AS cut FROM conversations")
 def ingest_extraction(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

@@ -267,6 +267,10 @@ def extract(files: DataFrame) -> DataFrame:
                         text = html_text(data.decode("utf-8", "replace"))
                     elif kind == "rtf":
                         text = rtf_text(data.decode("latin-1"))
+                    elif kind == "pdf":
+                        from .pdf import pdf_pages
+
+                        text = "\n\n".join(pdf_pages(data))
                     elif kind in ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub"):
                         text = archive_text(data)
                     elif kind in ("md", "txt", "csv", "json", "eml", ""):

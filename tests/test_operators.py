@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import zipfile
+import zlib
 
 import duckdb
 import numpy as np
@@ -22,6 +23,7 @@ from sedgeline.operators import search as S
 from sedgeline.operators import state as ST_
 from sedgeline.operators.cc import labels
 from sedgeline.sources import files as SRC
+from sedgeline.sources import pdf as PDF
 from sedgeline.sources import sinks as K
 from sedgeline.streaming import changes as ST
 
@@ -182,6 +184,17 @@ def test_bm25_public_values(spark):
     assert [x["id"][-4:] for x in S.bm25(docs, "path", F.col("body"), ["quartz"]).where(F.col("id").startswith("/vault/beta")).collect()] == ["c.md"]
 
 
+def test_pdf_errors_and_object_streams(spark):
+    inner = b"1 0 2 40 " + b"<< /Type /Catalog /Pages 2 0 R >>".ljust(40) + b"<< /Type /Pages /Kids [3 0 R] >>"
+    stream = zlib.compress(inner)
+    body = b"9 0 obj << /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode >>\nstream\n" + stream + b"\nendstream endobj\n"
+    body += b"3 0 obj << /Type /Page /Contents 4 0 R >> endobj\n4 0 obj << >>\nstream\nBT (a\\051\\\nb) ' (c) ' ET\nendstream endobj\n8 0 obj << /Type /XRef /Root 1 0 R >> endobj"
+    rows = [("good", b"%PDF-1.5\n" + body), ("none", b"text"), ("locked", b"%PDF-1.4 /Encrypt 5 0 R"), ("null", None), ("image", b"%PDF-1.4\n3 0 obj << /Type /Page /Contents 4 0 R >> endobj 4 0 obj << /Filter /DCTDecode >>\nstream\nx\nendstream endobj")]
+    got = {x["path"]: (x["page"], x["text"], x["error"]) for x in PDF.pages(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {"good": (1, "a)b\nc", ""), "none": (None, None, "no PDF file"), "locked": (None, None, "encrypted"), "null": (None, None, "no PDF file"), "image": (None, None, "unsupported filter DCTDecode")}
+    assert SRC.extract(spark.createDataFrame([("x.pdf", rows[0][1])], "path string, content binary")).first()["text"] == "a)b\nc"
+
+
 def test_front_matter():
     assert SRC.front_matter("---\na: 'x: y'\nb: [p, 'q']\nc:\n  d: 1\ne: 2024-01-02\n---\nz") == ({"a": "x: y", "b": "[p, q]", "c": '{"d": "1"}', "e": "2024-01-02"}, "z", "")
     assert SRC.front_matter("---\na: 1\na: 2\n---\nz")[1:] == ("z", "duplicate key a")
