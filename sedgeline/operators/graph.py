@@ -93,8 +93,9 @@ def mentions(docs: DataFrame, entities: DataFrame, text: Column) -> DataFrame:
     # all overlapping pieces in one pass over the text
     pieces = [F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
     keys = F.concat(*pieces) if pieces else F.array().cast("array<string>")
-    held = t.withColumn("key", F.explode(F.array_distinct(keys)))
-    return held.join(low, "key").where(F.col("t").contains(F.col("name"))).select("path", "entity").distinct()
+    # the pieces travel without their texts; only texts that hold a name's beginning are looked at again
+    held = t.select("path", F.explode(F.array_distinct(keys)).alias("key")).join(low, "key").select("path", "entity", "name")
+    return held.join(t, "path").where(F.col("t").contains(F.col("name"))).select("path", "entity").distinct()
 
 
 def related(docs: DataFrame, entities: DataFrame, edges: DataFrame, path: str) -> DataFrame:

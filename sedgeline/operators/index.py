@@ -97,9 +97,12 @@ def embedded(docs: DataFrame, text: str, model: Column | None = None, dimensions
 
 
 def notebook_search(docs: DataFrame, sources: DataFrame, query: str, prefix: int = 1500) -> DataFrame:
-    """(path, score, snippet) of a notebook's sources (path) only: those that hold every word score 1, the others 0 with their first bytes."""
+    """(path, score, snippet) of a notebook's sources (path) only: those that hold every word score 1, the others 0 with their first bytes.
+
+    A character that is cut there is shown as the replacement character.
+    """
     mine = docs.join(sources.select("path").distinct(), "path", "left_semi").withColumn("_sl_w", S.words(F.concat_ws("\n", "title", "body")))
     ws = words_of(query)
     hit = reduce(and_, (F.array_contains("_sl_w", w) for w in ws), F.lit(bool(ws)))
-    head = F.when(F.octet_length("body") > prefix, F.decode(F.substring(F.encode("body", "UTF-8"), 1, prefix), "UTF-8")).otherwise(F.col("body"))
+    head = F.when(F.octet_length("body") > prefix, F.make_valid_utf8(F.substring(F.encode("body", "UTF-8"), 1, prefix).cast("string"))).otherwise(F.col("body"))
     return mine.select("path", F.when(hit, 1.0).otherwise(0.0).alias("score"), F.when(~hit, head).alias("snippet")).orderBy(F.col("score").desc(), "path")
