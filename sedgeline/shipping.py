@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Session setting that, set to ``false``, leaves the settings below as they are.
+BOUND = "sedgeline.boundBatches"
 #: Session settings that bound a batch sent to a Python worker: Spark's default, and ours where it is still the default.
 BATCHES = {
     "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b"),
@@ -19,9 +21,9 @@ BATCHES = {
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application, and bound the batches they get."""
+    """Send the package's sources to the executors, once per application, and bound the batches they get unless ``BOUND`` forbids it."""
     for name, (default, ours) in BATCHES.items():
-        if spark.conf.get(name, default) == default:
+        if spark.conf.get(BOUND, "true") != "false" and spark.conf.get(name, default) == default:
             spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app in _shipped:
