@@ -56,8 +56,6 @@ _TIMELINE = """SELECT DISTINCT ts, kind, action, path FROM (
 
 
 @query("D4_vault_timeline", _TIMELINE, ("files_d",))
-@query("U2_timeline_union", _TIMELINE, ("files_d",))
-@query("O12_timeline_order", _TIMELINE, ("files_d",))
 def vault_timeline(spark, sf_dir):
     f = base(spark, sf_dir, "files_d")
     docs = f.select(F.col("created").alias("ts"), F.lit("created").alias("action"), "path").unionByName(f.select(F.col("modified").alias("ts"), F.lit("modified").alias("action"), "path"))
@@ -104,7 +102,6 @@ def _bm25_sql(docs: str, id: str, text: str, terms: list[str], limit: str) -> st
 
 
 @query("T6_bm25", _bm25_sql("documents", "doc_id", "text", ["the", "idiot"], ""))
-@query("T2_all_terms", _bm25_sql("documents", "doc_id", "text", ["the", "idiot"], ""))
 def bm25(spark, sf_dir):
     return S.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), ["the", "idiot"]).select("id", F.round("score", 6).alias("score"))
 
@@ -175,7 +172,6 @@ def fallback(spark, sf_dir):
 _SNIP = f"coalesce(nullif(strpos({_FOLD.format('text')}, 'moron'), 0), 1)"
 
 
-@query("T19_snippet", f"SELECT doc_id, substring(text, greatest(1, {_SNIP} - 150), 300) AS s FROM documents WHERE contains({_FOLD.format('text')}, 'moron')")
 @query("T7_snippet", f"SELECT doc_id, substring(text, greatest(1, {_SNIP} - 150), 300) AS s FROM documents WHERE contains({_FOLD.format('text')}, 'moron')")
 def snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(X.fold(F.col("text")).contains("moron")).select("doc_id", S.snippet(F.col("text"), ["moron"]).alias("s"))
@@ -238,8 +234,6 @@ _COS = f"list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_QV} AS DOUBLE[]))
 
 
 @query("D16_vector_search", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 15")
-@query("O5_top_k", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 15")
-@query("X24_cosine", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 15")
 def vectors(spark, sf_dir):
     q = [((i * 37) % 19 - 9) / 10.0 for i in range(_dim(spark, sf_dir))]
     return R.vector_search(table(spark, sf_dir, "embeddings"), q, 15).select("vec_id", F.round("score", 6).alias("score"))
@@ -249,7 +243,6 @@ _HAM = f"list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CAST((e
 
 
 @query("D17_hamming_shortlist", f"SELECT vec_id, round(c, 6) AS score FROM (SELECT vec_id, {_COS} AS c, {_HAM} AS h FROM embeddings ORDER BY h, vec_id LIMIT 40) ORDER BY c DESC, vec_id LIMIT 10")
-@query("O6_shortlist", f"SELECT vec_id, round(c, 6) AS score FROM (SELECT vec_id, {_COS} AS c, {_HAM} AS h FROM embeddings ORDER BY h, vec_id LIMIT 40) ORDER BY c DESC, vec_id LIMIT 10")
 def shortlist(spark, sf_dir):
     q = [((i * 37) % 19 - 9) / 10.0 for i in range(_dim(spark, sf_dir))]
     return R.shortlist_search(table(spark, sf_dir, "embeddings"), q, 10).select("vec_id", F.round("score", 6).alias("score"))
@@ -283,12 +276,6 @@ _LEX = _bm25_sql("documents", "doc_id", "text", ["the", "of"], "")
     sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 50)
     SELECT id, round(coalesce(1.0 / (60 + lex.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0), 6) AS score FROM lex FULL JOIN sem USING (id) ORDER BY coalesce(1.0 / (60 + lex.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) DESC, id LIMIT 12""",
 )
-@query(
-    "J21_rank_merge",
-    f"""WITH lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({_LEX}) ORDER BY rank LIMIT 50),
-    sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 50)
-    SELECT id, round(coalesce(1.0 / (60 + lex.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0), 6) AS score FROM lex FULL JOIN sem USING (id) ORDER BY coalesce(1.0 / (60 + lex.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) DESC, id LIMIT 12""",
-)
 def hybrid(spark, sf_dir):
     q = [((i * 37) % 19 - 9) / 10.0 for i in range(_dim(spark, sf_dir))]
     lex = R.top_ranked(S.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), ["the", "of"]).withColumn("score", F.round("score", 6)), "id", 50)
@@ -400,7 +387,6 @@ def mentions(spark, sf_dir):
 
 
 @query("A11_rollup", "SELECT o_custkey AS src, count(*) AS n, round(sum(l_quantity), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
-@query("J15_rollup_join", "SELECT o_custkey AS src, count(*) AS n, round(sum(l_quantity), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def rollup(spark, sf_dir):
     edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
     return G.rollup(table(spark, sf_dir, "lineitem"), edges, "l_orderkey", "l_quantity").select("src", "n", "total")
@@ -410,7 +396,6 @@ def rollup(spark, sf_dir):
 
 
 @query("D31_journal_merge", "SELECT id, lamport, author FROM log_d ORDER BY lamport, ts, author, seq, id LIMIT 300", ("log_d",))
-@query("O10_total_order", "SELECT id, lamport, author FROM log_d ORDER BY lamport, ts, author, seq, id LIMIT 300", ("log_d",))
 def merge(spark, sf_dir):
     return J.merged(base(spark, sf_dir, "log_d"), 300).select("id", "lamport", "author")
 
@@ -422,7 +407,6 @@ _FIND = f"""WITH {_LINES}, s AS (SELECT *, row_number() OVER (PARTITION BY autho
 
 
 @query("D32_journal_verify", _FIND)
-@query("W4_hash_chain", _FIND)
 def verify(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -441,7 +425,6 @@ def journal_stats(spark, sf_dir):
 
 
 @query("D33_last_state", "SELECT author, id FROM log_d QUALIFY row_number() OVER (PARTITION BY author ORDER BY lamport DESC, ts DESC, author DESC, seq DESC, id DESC) = 1", ("log_d",))
-@query("D54_last_event", "SELECT author, id FROM log_d QUALIFY row_number() OVER (PARTITION BY author ORDER BY lamport DESC, ts DESC, author DESC, seq DESC, id DESC) = 1", ("log_d",))
 def last_state(spark, sf_dir):
     return J.last_state(base(spark, sf_dir, "log_d"), "author").select("author", "id")
 
@@ -530,7 +513,6 @@ for _state, _where in [("open", "NOT done"), ("overdue", "NOT done AND due < DAT
 
 
 @query("O8_name_page", "SELECT c_custkey, c_name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 51 OFFSET 50")
-@query("D36_contacts_page", "SELECT c_custkey, c_name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 51 OFFSET 50")
 def contacts_page(spark, sf_dir):
     return C.page(table(spark, sf_dir, "customer"), "c_name", "c_custkey", 50, 50).select("c_custkey", "c_name")
 

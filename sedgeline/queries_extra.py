@@ -132,16 +132,10 @@ def listing(spark, sf_dir):
     return base(spark, sf_dir, "files_d").where(F.col("path").startswith("notes/de/")).orderBy("path").select("path")
 
 
-@query("S10_property_map", "SELECT doc_id, person FROM files_d WHERE doc_id < 50", ("files_d",))
+@query("S10_property_map", "SELECT doc_id, person, CASE WHEN lang = 'xx' THEN lang END AS other FROM files_d", ("files_d",))
 def property_map(spark, sf_dir):
     m = F.create_map(F.lit("person"), "person", F.lit("lang"), "lang")
-    return base(spark, sf_dir, "files_d").where("doc_id < 50").select("doc_id", m["person"].alias("person"))
-
-
-@query("S10_property_map_all")
-def property_map_all(spark, sf_dir):
-    m = F.create_map(F.lit("person"), "person", F.lit("lang"), "lang")
-    return base(spark, sf_dir, "files_d").select("doc_id", m["person"].alias("person"))
+    return base(spark, sf_dir, "files_d").select("doc_id", m["person"].alias("person"), F.try_element_at(m, F.lit("other")).alias("other"))
 
 
 @query("S18_file_kind", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'txt' ELSE 'md' END AS kind FROM documents")
@@ -288,10 +282,11 @@ def rename_tags(spark, sf_dir):
     return base(spark, sf_dir, "files_d").select("doc_id", F.array_join(F.array_sort(F.array_distinct(new)), ",").alias("t"))
 
 
-@query("D51_conflict_files", "SELECT path AS conflict, regexp_replace(path, ' [(]conflict [0-9]+[)]', '') AS original FROM (SELECT concat(replace(path, '.md', ''), ' (conflict ', doc_id, ').md') AS path FROM files_d WHERE doc_id % 40 = 3)", ("files_d",))
+@query("D51_conflict_files", "SELECT concat(replace(path, '.md', ''), ' (conflict ', doc_id, ').md') AS conflict, replace(path, '.md', '') || '.md' AS original FROM files_d WHERE doc_id % 40 = 3", ("files_d",))
 def conflicts(spark, sf_dir):
-    p = base(spark, sf_dir, "files_d").where("doc_id % 40 = 3").select(F.concat(F.replace("path", F.lit(".md"), F.lit("")), F.lit(" (conflict "), F.col("doc_id").cast("string"), F.lit(").md")).alias("conflict"))
-    return p.where(F.col("conflict").rlike(r" \(conflict [0-9]+\)\.md$")).select("conflict", F.regexp_replace("conflict", r" \(conflict [0-9]+\)", "").alias("original"))
+    name = F.concat(F.replace("path", F.lit(".md"), F.lit("")), F.lit(" (conflict "), F.col("doc_id").cast("string"), F.lit(").md"))
+    files = base(spark, sf_dir, "files_d").select(F.when(F.col("doc_id") % 40 == 3, name).otherwise(F.col("path")).alias("path"))
+    return SRC.conflict_files(files)
 
 
 @query("D52_erase", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 4)")

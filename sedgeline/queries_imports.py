@@ -82,13 +82,21 @@ def source_scan(spark, sf_dir):
 
 
 @query("S14_rtf_text", "SELECT n_name, concat(n_name, chr(10), 'ä', chr(9), 'é') AS text FROM nation")
-@query("S12_extraction", "SELECT n_name, concat(n_name, chr(10), 'ä', chr(9), 'é') AS text FROM nation")
 def rtf(spark, sf_dir):
     rtf_ = F.concat(F.lit("{\\rtf1{\\fonttbl{\\f0 X;}}\\b "), "n_name", F.lit("\\b0\\par \\u228?\\tab \\'e9}"))
     files = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".rtf")).alias("path"), F.encode(rtf_, "ISO-8859-1").alias("content"))
     return SRC.extract(files).where("error = ''").select(F.regexp_replace("path", r"\.rtf$", "").alias("n_name"), "text")
 
 
+@query("S12_extraction", "SELECT n_name, k AS kind, CASE k WHEN 'html' THEN concat('Über ', n_name, chr(10), chr(10), 'zwei') WHEN 'txt' THEN concat(' ', n_name) WHEN 'rtf' THEN n_name END AS text, CASE WHEN k = 'xyz' THEN 'unsupported format xyz' ELSE '' END AS error FROM nation, (VALUES ('html'), ('txt'), ('rtf'), ('xyz')) AS t(k)")
+def extraction(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    html = F.concat(F.lit("<head><title>no</title></head><p>&Uuml;ber "), "n_name", F.lit("</p><script>no</script><div> zwei</div>"))
+    texts = {"html": html, "txt": F.concat(F.lit(" "), "n_name"), "rtf": F.concat(F.lit("{\\rtf1 "), "n_name", F.lit("}")), "xyz": F.col("n_name")}
+    files = n.select(F.explode(F.array(*(F.struct(F.concat("n_name", F.lit(f".{k}")).alias("path"), F.encode(t, "UTF-8").alias("content")) for k, t in texts.items()))).alias("f")).select("f.*")
+    return SRC.extract(files).select(F.regexp_replace("path", r"\.[a-z]+$", "").alias("n_name"), "kind", "text", "error")
+
+
 @query("S15_archive_text", "SELECT n_name, concat(n_name, chr(10), 'second') AS text FROM nation")
 def archives(spark, sf_dir):
     ship(spark)
@@ -342,7 +350,6 @@ def ingest(spark, sf_dir):
 
 
 @query("R3_retrieval_refresh", "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 2 THEN 2 ELSE 1 END AS generation FROM documents WHERE doc_id % 7 <> 0 AND text <> ''")
-@query("D56_index_build", "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 2 THEN 2 ELSE 1 END AS generation FROM documents WHERE doc_id % 7 <> 0 AND text <> ''")
 def index_refresh(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text <> ''")
     listing = lambda t: t.select(F.col("doc_id").alias("path"), F.octet_length("text").alias("size"), F.lit(1).alias("mtime"), F.sha2("text", 256).alias("sha256"))

@@ -31,12 +31,6 @@ def bm25_prefix(spark, sf_dir):
     return hits.select(F.col("id").alias("path"), F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "path").limit(10)
 
 
-_NOTEBOOK = "WITH n AS (SELECT doc_id, body FROM files_d WHERE doc_id % 20 = 1) SELECT doc_id, CAST(contains(lower(body), 'idiot') AS INT)::DOUBLE AS score, CASE WHEN contains(lower(body), 'idiot') THEN NULL ELSE left(body, 500) END AS head FROM n"
-
-
-_OPEN = "SELECT doc_id FROM files_d WHERE type = 'invoice' AND document_date + INTERVAL 100 DAY <= TIMESTAMP '2025-06-01' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"
-
-
 @query("W8_recent_first", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END, TIMESTAMP '1996-01-01') DESC, o_orderkey) AS place FROM orders")
 def recent_first(spark, sf_dir):
     at = F.coalesce(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")), F.expr("TIMESTAMP_NTZ'1996-01-01'"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as TX
 from .operators import copies as C
+from .operators import documents as DOC
 from .operators import index as IX
 from .operators import retrieval as R
 from .operators import search as S
@@ -269,3 +270,130 @@ def notebook(spark, sf_dir):
     found = IX.notebook_search(f, sources, "Idiot")
     # a character cut in two decodes to one of three bytes
     return found.select("path", "score", F.when(F.col("snippet").isNotNull(), F.least(F.octet_length("snippet"), F.lit(1500))).cast("long").alias("bytes"))
+
+
+@query("D56_index_build", f"SELECT doc_id AS id, count(*) AS chunks, true AS pending FROM ({_WINDOWS}) GROUP BY doc_id")
+def index_build(spark, sf_dir):
+    """Chunks of every text, each with its local vector, to be embedded again when a model is at hand."""
+    found = IX.embedded(_letters(spark, sf_dir).select("id", "content"), "content")
+    return found.where((F.col("model") == "local-hash") & (F.size("vector") == 768)).groupBy("id").agg(F.count("*").alias("chunks"), F.bool_and("pending").alias("pending"))
+
+
+@query("T2_all_terms", "SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9àáâãäåçèéêëìíîïñòóôõöùúûüýÿ])the($|[^a-z0-9àáâãäåçèéêëìíîïñòóôõöùúûüýÿ])') AND regexp_matches(lower(text), '(^|[^a-z0-9àáâãäåçèéêëìíîïñòóôõöùúûüýÿ])was($|[^a-z0-9àáâãäåçèéêëìíîïñòóôõöùúûüýÿ])')")
+def all_terms(spark, sf_dir):
+    return S.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), ["the", "was"]).select("id")
+
+
+@query("T19_centred_snippet", "SELECT doc_id, substring(text, greatest(1, least(coalesce(nullif(strpos(t, 'idiot'), 0), 1000000000), coalesce(nullif(strpos(t, 'moron'), 0), 1000000000)) - 40), 80) AS s FROM (SELECT doc_id, text, lower(text) AS t FROM documents WHERE lang = 'en') WHERE contains(t, 'idiot') OR contains(t, 'moron')")
+def centred_snippet(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return d.where(F.lower("text").rlike("idiot|moron")).select("doc_id", S.snippet(F.col("text"), ["idiot", "moron"], 80).alias("s"))
+
+
+_SIGNS = "list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END)"
+
+
+@query("O5_top_k", f"SELECT vec_id, round(list_dot_product({_SIGNS}::DOUBLE[], {_VEC}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY round(list_dot_product({_SIGNS}::DOUBLE[], {_VEC}::DOUBLE[]), 6) DESC, vec_id LIMIT 40")
+def top_k(spark, sf_dir):
+    """Many equal scores: ties go to the smaller id."""
+    e = table(spark, sf_dir, "embeddings")
+    n = len(e.select("embedding").first()[0])
+    q = [((i * 37) % 19 - 9) / 10.0 for i in range(n)]
+    signs = e.select("vec_id", F.transform("embedding", lambda x: F.when(x >= 0, 1.0).otherwise(-1.0)).alias("embedding"))
+    length = (n * sum(x * x for x in q)) ** 0.5
+    best = R.vector_search(signs, q, 2 * e.count())
+    return best.select("vec_id", F.round(F.col("score") * length, 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(40)
+
+
+@query("X24_cosine", f"SELECT vec_id, round({_VCOS}, 6) AS score FROM embeddings UNION ALL SELECT -1, 0.0")
+def cosines(spark, sf_dir):
+    """Of every vector, and 0 of one without length."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = len(e.select("embedding").first()[0])
+    zero = spark.createDataFrame([(-1, [0.0] * n)], e.schema)
+    q = R._literal([((i * 37) % 19 - 9) / 10.0 for i in range(n)])
+    return e.unionByName(zero).select("vec_id", F.round(R.cosine(F.col("embedding"), q), 6).alias("score"))
+
+
+_ABS = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x) + 0.1)"
+_ABS_COS = f"list_dot_product({_ABS}, {_VEC}::DOUBLE[]) / (sqrt(list_dot_product({_ABS}, {_ABS})) * sqrt(list_dot_product({_VEC}::DOUBLE[], {_VEC}::DOUBLE[])))"
+
+
+@query("O6_shortlist_skipped", f"SELECT vec_id, round({_ABS_COS}, 6) AS score FROM embeddings ORDER BY {_ABS_COS} DESC, vec_id LIMIT 12")
+def shortlist_skipped(spark, sf_dir):
+    """All signatures are equally far, so no shortlist is taken."""
+    e = table(spark, sf_dir, "embeddings")
+    n = len(e.select("embedding").first()[0])
+    v = e.select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.1).alias("embedding"))
+    return R.shortlist_search(v, [((i * 37) % 19 - 9) / 10.0 for i in range(n)], 12).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("J21_rank_merge", "SELECT id, CAST(ra AS BIGINT) AS ra, CAST(rb AS BIGINT) AS rb FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS ra FROM orders ORDER BY ra LIMIT 60) FULL JOIN (SELECT o_orderkey AS id, row_number() OVER (ORDER BY -o_custkey DESC, o_orderkey) AS rb FROM orders ORDER BY rb LIMIT 60) USING (id)")
+def rank_merge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    a = R.top_ranked(o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")), "id", 60)
+    b = R.top_ranked(o.select(F.col("o_orderkey").alias("id"), (-F.col("o_custkey")).alias("score")), "id", 60)
+    return R.fuse(a, b, 1000).select("id", F.col("ra").cast("long").alias("ra"), F.col("rb").cast("long").alias("rb"))
+
+
+@query("U2_timeline_union", "SELECT kind, count(*) AS n FROM (SELECT DISTINCT ts, kind, action, path FROM (SELECT created AS ts, 'document' AS kind, 'created' AS action, path FROM files_d UNION ALL SELECT o_orderdate, 'contact', o_orderstatus, CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT ts, 'journal', event_type, CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT document_date, 'dated', coalesce(type, ''), path FROM files_d UNION ALL SELECT l_shipdate, 'meeting', l_linestatus, CAST(l_suppkey AS VARCHAR) FROM lineitem) WHERE ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2024-06-01') GROUP BY kind", ("files_d",))
+def timeline_union(spark, sf_dir):
+    f = base(spark, sf_dir, "files_d")
+    part = lambda d, ts, action, path: d.select(F.col(ts).cast("timestamp_ntz").alias("ts"), action.alias("action"), F.col(path).cast("string").alias("path"))
+    parts = {
+        "document": part(f, "created", F.lit("created"), "path"), "contact": part(table(spark, sf_dir, "orders"), "o_orderdate", F.col("o_orderstatus"), "o_custkey"), "journal": part(table(spark, sf_dir, "events"), "ts", F.col("event_type"), "user_id"),
+        "dated": part(f, "document_date", F.coalesce("type", F.lit("")), "path"), "meeting": part(table(spark, sf_dir, "lineitem"), "l_shipdate", F.col("l_linestatus"), "l_suppkey"),
+    }
+    return DOC.timeline(parts, dt.datetime(1995, 1, 1), dt.datetime(2024, 6, 1), 2**31 - 1).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("O12_timeline_order", "SELECT ts, action, path FROM (SELECT DISTINCT ts, event_type AS action, CAST(user_id AS VARCHAR) AS path FROM events) ORDER BY ts, action, path LIMIT 25")
+def timeline_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("path"))
+    return DOC.timeline({"journal": e}, dt.datetime(1990, 1, 1), dt.datetime(2100, 1, 1), 25).select("ts", "action", "path")
+
+
+@query("J15_rollup_join", "SELECT o_custkey AS src, count(*) AS n, string_agg(CAST(o_shippriority AS VARCHAR), ', ' ORDER BY CAST(o_shippriority AS VARCHAR)) AS v FROM (SELECT o_custkey, o_orderkey % 10 AS o_shippriority FROM orders) GROUP BY o_custkey")
+def rollup_list(spark, sf_dir):
+    from .operators import graph as G
+
+    o = table(spark, sf_dir, "orders")
+    return G.rollup(o.select("o_orderkey", (F.col("o_orderkey") % 10).alias("v")), o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")), "o_orderkey", "v").select("src", "n", F.col("values").alias("v"))
+
+
+@query("O10_total_order", "SELECT id, row_number() OVER (ORDER BY lamport, ts, author, seq, id) AS place FROM log_d ORDER BY place LIMIT 150", ("log_d",))
+def total_order(spark, sf_dir):
+    from .operators import journal as J
+
+    ordered = J.merged(base(spark, sf_dir, "log_d").orderBy(F.xxhash64("body")), 150)
+    place = F.struct(*J.ORDER)
+    rows = ordered.agg(F.sort_array(F.collect_list(F.struct(place.alias("o"), "id"))).alias("xs"))
+    return rows.select(F.posexplode("xs").alias("i", "x")).select("x.id", (F.col("i") + 1).cast("long").alias("place"))
+
+
+@query("W4_hash_chain", "SELECT conv_id AS author, turn AS line_no FROM conversations WHERE conv_id % 6 = 2 AND turn >= 1")
+def hash_chain(spark, sf_dir):
+    """Every line but the first of some authors names another hash than that of the line before."""
+    from .operators import journal as J
+
+    c = table(spark, sf_dir, "conversations")
+    own = F.md5(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    before = F.when(F.col("turn") > 0, F.md5(F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")))).otherwise("")
+    lines = c.select(F.col("conv_id").alias("author"), F.col("turn").alias("line_no"), (F.col("turn") + 1).alias("seq"), own.alias("hash"), F.when((F.col("conv_id") % 6 == 2) & (F.col("turn") > 0), "x").otherwise(before).alias("prev"))
+    return J.verify(lines).where("finding = 'chain_broken'").select("author", "line_no")
+
+
+@query("D54_artifacts", "SELECT concat('f', user_id) AS artifact FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_id % 4 <> 0")
+def artifacts(spark, sf_dir):
+    """Artifacts that are linked after all events; an unlink takes one out."""
+    from .operators import journal as J
+
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("artifact"), F.col("event_id").alias("lamport"), "ts", F.col("event_type").alias("author"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 4 == 0, "artifact.unlinked").otherwise("artifact.linked").alias("kind"))
+    return J.last_state(e, "artifact").where("kind = 'artifact.linked'").select("artifact")
+
+
+@query("D36_contact_search", "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00001') ORDER BY lower(c_name), c_custkey LIMIT 51")
+def contact_search(spark, sf_dir):
+    from .operators import contacts as CT
+
+    return CT.page(table(spark, sf_dir, "customer").where(F.lower("c_name").contains("00001")), "c_name", "c_custkey", 50, 0).select("c_custkey", "c_name")

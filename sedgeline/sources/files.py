@@ -41,6 +41,12 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return walk(spark, root, pattern).select("path", "modificationTime", "length").orderBy("path")
 
 
+def conflict_files(files: DataFrame) -> DataFrame:
+    """(conflict, original) of the files (path) that a sync left beside the original: ``name (conflict 3).ext``."""
+    mark = r" \(conflict [0-9]+\)(?=\.[^./]+$)"
+    return files.where(F.col("path").rlike(mark)).select(F.col("path").alias("conflict"), F.regexp_replace("path", mark, "").alias("original"))
+
+
 class _DuplicateKey(ValueError):
     pass
 

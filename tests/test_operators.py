@@ -249,7 +249,7 @@ def test_chunk_queries_cover_whole_tables(spark, sf):
     assert sorted(map(tuple, Q.QUERIES["X32_chunk_ids"](spark, sf).collect())) == sorted(exp)
     new = [x for x in old if x[0] % 2] + [(i, 0, "new") for i in docs if i % 2 == 0]
     assert sorted(map(tuple, Q.QUERIES["K5_chunk_replace_texts"](spark, sf).collect())) == sorted(new)
-    assert {r["doc_id"] for r in Q.QUERIES["S10_property_map_all"](spark, sf).collect()} == set(docs)
+    assert {r["doc_id"] for r in Q.QUERIES["S10_property_map"](spark, sf).collect()} == set(docs)
 
 
 def test_ivf_recall(spark):
