@@ -327,8 +327,9 @@ def _closed(docs: DataFrame, max_edits: float, id: str, text: str, scratch: Scra
     done = lists.select("v", "rep").limit(0)
     links, seen, grow = scratch.put(spark.createDataFrame([], "a long, b long, edits long")), [], 1
     while True:
-        open_ = scratch.put(_open_members(lists, labels, done))
+        open_ = scratch.put(_open_members(lists, labels, done, scratch))
         if not open_.head(1):
+            scratch.keep(named, links, labels)
             return named, links, labels
         picked = scratch.put(_next_pivots(open_, grow))
         grow = min(8 * grow, 4096)

@@ -104,12 +104,12 @@ def near_duplicates(
     edges = [scratch.put(near.where(_linked(up, down)).select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct())]
     labels = components(edges[0], scratch)
     done = pivots.select("v", F.col("q").alias("rep"))
-    open_ = scratch.put(_open_members(lists, labels, done))
-    lists = scratch.put(_merged(_undecided(open_, pivots, _families(near, t, scratch))))
+    open_ = scratch.put(_open_members(lists, labels, done, scratch))
+    lists = scratch.put(_merged(_undecided(open_, pivots, _families(near, t, scratch), scratch)))
     seen: list[DataFrame] = []
     grow = 8
     while True:
-        open_ = scratch.put(_open_members(lists, labels, done))
+        open_ = scratch.put(_open_members(lists, labels, done, scratch))
         if not open_.head(1):
             break
         picked = scratch.put(_next_pivots(open_, grow))
@@ -123,6 +123,7 @@ def near_duplicates(
             edges.append(found)
             labels = components(_union(edges), scratch)
 
+    scratch.keep(sketches, classes, labels)
     rep = sketches.join(classes, ["hi", "lo"], "left").select("id", F.when(F.col("n") > 0, F.col("rep")).alias("rep"), F.col("n").alias("n_shingles"))
     out = rep.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     group = F.coalesce("label", "rep", "id")
@@ -229,26 +230,26 @@ def _families(near: DataFrame, t: float, scratch: Scratch) -> DataFrame:
     r = t / (1 + t)
     weighed = near.select("q", "rep", "diff", (F.size("diff") * r + F.col("n_gone") * (1 - 2 * r)).alias("f"), ((1 - 2 * r) * F.col("nq")).alias("c")).withColumn("excess", F.col("f") - F.col("c"))
     apart = scratch.put(weighed.groupBy("q").agg(F.min(F.when(F.col("excess") > -1e-6, F.col("excess"))).alias("least")).where("least is not null"))
-    weighed = weighed.join(apart, "q", "left")
+    weighed = weighed.join(small(apart), "q", "left")
     said = weighed.where("least is not null").select("q", "rep", F.explode("diff").alias("x"))
     own = said.groupBy("q", "x").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
     own = own.groupBy("q", "rep").agg(F.count("*").alias("own"))
     members = weighed.join(own, ["q", "rep"], "left").select("q", "rep", "f", (F.size("diff") - F.coalesce("own", F.lit(0))).alias("s"), "c", "excess", "least")
     members = scratch.put(members.withColumn("slack", F.col("s") - F.col("f")))
-    top = members.groupBy("q").agg(F.max("slack").alias("most_slack"))
-    return members.join(top, "q")
+    top = scratch.put(members.groupBy("q").agg(F.max("slack").alias("most_slack")))
+    return members.join(small(top), "q")
 
 
-def _undecided(open_: DataFrame, pivots: DataFrame, families: DataFrame) -> DataFrame:
+def _undecided(open_: DataFrame, pivots: DataFrame, families: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of the lists that may have a partner there in another component, with f, s and c where they are around the pivot.
 
     Between a member linked to the pivot and one that is not around it there is no link, by the triangle inequality.
     """
-    own = open_.drop("label").join(pivots.select("v", "q"), "v").join(families, ["q", "rep"], "left")
+    own = scratch.put(open_.drop("label").join(pivots.select("v", "q"), "v").join(families, ["q", "rep"], "left"))
     far = own.groupBy("v").agg(F.max(F.col("f").isNull()).alias("far"))
     unlinked = (F.col("excess") > -1e-6) & (F.col("far") | (F.col("excess") <= F.col("most_slack") + 1e-6))
     partner = F.col("slack") >= F.col("least") - 1e-6
-    return own.join(far, "v").where(F.col("f").isNull() | F.coalesce(unlinked, F.lit(False)) | F.coalesce(partner, F.lit(False))).select(*_MEMBER, "f", "s", "c")
+    return own.join(scratch.put(far), "v").where(F.col("f").isNull() | F.coalesce(unlinked, F.lit(False)) | F.coalesce(partner, F.lit(False))).select(*_MEMBER, "f", "s", "c")
 
 
 def _merged(lists: DataFrame) -> DataFrame:
@@ -271,14 +272,18 @@ def _paired(members: DataFrame, pivots: DataFrame, t: float) -> DataFrame:
     return both.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
-def _open_members(lists: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-    """Members that were never pivot and may have a partner, of the lists where such members are in several components."""
+def _open_members(lists: DataFrame, labels: DataFrame, done: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members that were never pivot and may have a partner, of the lists where such members are in several components.
+
+    What is known per list is written before it is joined, so that the join with a long list can be split over tasks.
+    """
     own = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     left = own.join(done.select("v", "rep"), ["v", "rep"], "left_anti")
+    left = scratch.put(left)
     least = left.groupBy("v").agg(F.min("n").alias("n0"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v", "n0")
-    alive = left.join(least, "v").where("most >= n0").drop("n0")
+    alive = scratch.put(left.join(scratch.put(least), "v").where("most >= n0").drop("n0"))
     split = alive.groupBy("v").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v")
-    return alive.join(split, "v")
+    return alive.join(scratch.put(split), "v")
 
 
 def _next_pivots(members: DataFrame, grow: int) -> DataFrame:

@@ -293,6 +293,7 @@ def dedup_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     sent = asked.join(texts, ["hid", "hu", "q"]).groupBy("id", "u").agg(F.collect_list(F.struct("hid", "hu", "q", "bytes")).alias("_sl_bytes"))
     plan = places.join(sent, ["id", "u"], "left").withColumnsRenamed({"id": "_sl_id", "u": "_sl_u"})
     plan = scratch.put(plan)
+    scratch.keep(plan)
     marked = base.withColumn("_sl_id", key).withColumn("_sl_u", F.xxhash64(text))
     ids = plan.select("_sl_id", "_sl_u")
     on = ["_sl_id", "_sl_u"]

@@ -48,12 +48,13 @@ def clear(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables of one operator call; ``put`` writes and rereads, ``drop`` deletes what is no longer read."""
+    """Tables of one operator call; ``put`` writes and rereads, ``drop`` and ``keep`` delete what is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/sedgeline/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: set[str] = set()
 
     def put(self, df: DataFrame, files: int | None = None) -> DataFrame:
         self.n += 1
@@ -61,13 +62,21 @@ class Scratch:
         (df if files is None else df.coalesce(files)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        self._delete({t._scratch_path for t in tables})
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables of this call but these, which its result reads."""
+        self._delete(self.paths - {t._scratch_path for t in tables})
+
+    def _delete(self, paths: set[str]) -> None:
+        for p in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths -= paths
 
 
 def _bytes(c: Column, kind: T.DataType) -> Column:

@@ -42,6 +42,11 @@ def test_stages(spark, sf, tmp_path):
             assert len(after) == len(before) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+    whole = corpus_pipeline.run(spark, sf)
+    assert whole.columns == docs.columns
+    assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
+
+
 def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")}
