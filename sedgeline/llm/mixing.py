@@ -3,7 +3,8 @@
 1. A naive Bayes classifier is counted from a labelled table (id, domain): its features are
    binned surface measures of a text and whether it holds a word of a domain's lexicon. The
    lexicons are the words most tied to each domain (chi-square) in at most
-   ``MAX_LEXICON_ROWS`` labelled texts, picked by a hash of the id. Counts are per (domain, feature, bin).
+   ``MAX_LEXICON_ROWS`` labelled texts, picked by a hash of the id: ``LEXICON`` words of a domain at most, with a chi-square of
+   ``SIGNIFICANT`` or more, each in 5 of these texts. Counts are per (domain, feature, bin).
 2. Documents with equal bins have equal posteriors and form one cell; cells are few whatever
    the corpus, and keep the number of their documents and tokens.
 3. Rates r >= 0 per document, at most ``max_rate``, minimise the weighted squares of expected
