@@ -39,7 +39,10 @@ def similar_to(found: DataFrame, reference: int, threshold: int) -> DataFrame:
 
 
 def _most_differ(threshold: int) -> int:
-    return next((h for h in range(64, -1, -1) if (64 - h) * 100 // 64 >= threshold), -1)
+    """How many of 64 bits may differ at ``threshold`` percent."""
+    if not 0 <= threshold <= 100:
+        raise ValueError("a threshold is a number of percent")
+    return next(h for h in range(64, -1, -1) if (64 - h) * 100 // 64 >= threshold)
 
 
 def _keys(h: int, n: int) -> list[int]:
