@@ -13,6 +13,9 @@ exp(-n(t) * KL(n(t, c) / n(t), n(c) / N)), or the same with t and c exchanged; t
 be ``CHANCE`` at most after multiplication with the number of terms that stand in a document with a value.
 ``sanitized`` generalises base spans to their kind and removes such terms.
 
+Spans of kind ``secret`` are runs of ``SECRET`` letters and digits or more that hold both: even of 16 possible
+characters each, such a run carries 128 bits, more than any word or number that is not a key.
+
 Words inside e-mail addresses are no terms of their document. Native throughout: DataFrame and SQL expressions only. The patterns use possessive
 quantifiers and start only where a run starts, so they are linear on hostile texts.
 
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, small
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = 32
+_BLOCK = 64
 CHANCE, DISCLOSURE = 0.05, 0.8
 RESULT = ("spans", "terms", "sanitized")
 
@@ -42,24 +47,48 @@ _PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+_SECRET = rf"(?<![A-Za-z0-9])(?=[0-9]*+[A-Za-z])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{{SECRET},}}+"
 _TERM = r"\p{L}[\p{L}\p{N}]{2,}"
 _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, where a lambda would compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(text: Column, pattern: Column) -> Column:
     """Spans (code points, end exclusive) of all matches: what lies between them is what ``split`` returns."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(_SPAN).alias("spans"))
+    none = F.array().cast(_SPAN)
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["spans"], F.array().cast(_SPAN)), span).alias("spans"))
+    # in blocks, so that growing arrays are short however many matches a text has
+    def blocked(ps: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(ps) - 1) / _BLOCK).cast("int")))
+        return F.transform(parts, lambda i: F.slice(ps, i * _BLOCK + 1, F.lit(_BLOCK)))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["spans"])).otherwise(F.array().cast(_SPAN))
+    def grown(acc: Column, block: Column) -> Column:
+        width = F.aggregate(block, F.lit(0).cast("long"), lambda n, p: n + F.length(p["gap"]) + F.length(p["value"]))
+        return F.concat(acc, F.array(F.element_at(acc, -1) + width))
+
+    def spans(block: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), none.alias("spans"))
+
+        def step(acc: Column, pair: Column) -> Column:
+            first = acc["at"] + F.length(pair["gap"])
+            end = first + F.length(pair["value"])
+            span = F.array(F.struct(first.alias("start"), end.alias("end"), pair["value"].alias("value")))
+            return F.struct(end.alias("at"), F.concat(acc["spans"], span).alias("spans"))
+
+        return F.aggregate(block, start, step, lambda a: a["spans"])
+
+    def every(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0).cast("long")), grown)
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), spans))
+
+    return _let(_let(pairs, blocked), every)
 
 
 def _luhn(digits: Column) -> Column:
@@ -156,7 +185,7 @@ def _of_kind(kind: str):
 
 
 def find_personal_data(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``spans`` (map from kind to its base spans), ``terms`` (spans of disclosing terms) and ``sanitized``."""
+    """``docs`` with ``spans`` (map from kind to its spans: the base ones and ``secret``), ``terms`` (spans of disclosing terms) and ``sanitized``."""
     scratch = Scratch(docs.sparkSession, "pii")
     names = [c for c in docs.columns if c not in RESULT]
     rows = docs.select(*names)
@@ -173,11 +202,14 @@ def find_personal_data(docs: DataFrame, *, id: str = "doc_id", text: str = "text
         words = rows.select(F.col(id).alias("_sl_id"), F.explode(_terms(F.col(text))).alias("term"))
         held = words.join(small(terms), "term", "left_semi").groupBy("_sl_id").agg(F.array_sort(F.collect_set("term")).alias("_sl_terms"))
         held = scratch.put(held)
+        scratch.keep(held)
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_sl_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
         joined = rows.join(small(held, 100_000), F.col(id).eqNullSafe(F.col("_sl_id")), "left")
         spans = F.when(F.col("_sl_terms").isNotNull(), _matches(F.coalesce(text, F.lit("")), pattern)).otherwise(none)
         found = joined.withColumn("terms", spans).drop("_sl_id", "_sl_terms")
-    found = found.withColumn("spans", F.create_map(*(x for k in KINDS for x in (F.lit(k), kinds[k]))))
+    whole = F.coalesce(text, F.lit(""))
+    secrets = F.when(whole.rlike(_SECRET), _matches(whole, F.lit(_SECRET))).otherwise(none)
+    found = found.withColumn("spans", F.create_map(*(x for k in KINDS for x in (F.lit(k), kinds[k])), F.lit("secret"), secrets))
     return found.withColumn("sanitized", _sanitized(F.col(text))).select(*names, *RESULT)
 
 
@@ -188,17 +220,18 @@ def _replaced(by: str):
 def _sanitized(text: Column) -> Column:
     """The text with its spans generalised to their kind, and its terms removed."""
     marked = F.concat(
-        *(F.transform(F.col("spans")[k], _replaced(f"<{k.upper()}>")) for k in KINDS),
+        *(F.transform(F.col("spans")[k], _replaced(f"<{k.upper()}>")) for k in (*KINDS, "secret")),
         F.transform("terms", _replaced("")),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, s["by"])).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, s["by"]))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(F.array_sort(marked), start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    # pieces are gathered and joined once
+    done = F.aggregate(F.array_sort(marked), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(marked) > 0, done).otherwise(text)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
-from .fingerprints import fingerprint_with_edit
+from .fingerprints import fingerprint_with_edit, near_texts
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .passages import dedup_passages
@@ -45,6 +45,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edit(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def documents_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banding and verification of the fingerprints over all documents: texts within 5 % edits of one another."""
+    return near_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), max_edits=0.05).withColumnRenamed("id", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
@@ -61,7 +66,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat(*(listed(k, F.col("spans")[k]) for k in KINDS))
     counts = [F.size(F.col("spans")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
-    every = F.array_join(F.concat(base, listed("term", F.col("terms"))), ",")
+    secrets = F.col("spans")["secret"]
+    every = F.array_join(F.concat(base, listed("secret", secrets), listed("term", F.col("terms"))), ",")
+    counts += [F.size(secrets).cast("long").alias("n_secret"), (F.size(base) + F.size(secrets)).cast("long").alias("n_values")]
     return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), every.alias("spans"))
 
 
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
+    "documents_near_texts": documents_near_texts,
 }
 
 _WINDOWS = """

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedgeline.llm import fingerprints as fp
+from sedgeline.llm import near_dedup
 from sedgeline.llm.components import components
 from sedgeline.llm.decontaminate import decontaminate
 from sedgeline.llm.mixing import mix, take
@@ -109,6 +110,35 @@ def test_decontaminate(spark, docs):
     assert all(cut[i] == t for i, t in DOCS if exp[i][1] == 0)
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """3,000 near copies, and 400 texts just beyond the threshold from all of them, cost about as many comparisons as there are texts."""
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 3000):
+        w = list(base)
+        w[r.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(3000, 3400):
+        w = list(base)
+        for k in r.sample(range(0, 200, 4), 12):  # 36 shingles of 198 go, 36 come: 0.69 like the base
+            w[k] = f"y{i}-{k}"
+        rows.append((i, " ".join(w)))
+    made = []
+    for name in ("_around_pivots", "_paired"):
+        plain = getattr(near_dedup, name)
+
+        def counted(*a, plain=plain):
+            out = plain(*a)
+            made.append(out.count())
+            return out
+
+        monkeypatch.setattr(near_dedup, name, counted)
+    got = {x["id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, similarity=(85, 100)).collect()}
+    assert {got[i] for i in range(3000)} == {0} and all(got[i] == i for i in range(3000, 3400))
+    assert sum(made) <= 6 * len(rows)
+
+
 def test_decontaminate_in_slices(spark, docs, monkeypatch):
     import sedgeline.llm.decontaminate as d
 
@@ -337,6 +367,15 @@ def test_passages_leave_one_copy(spark, docs):
     assert max(everywhere.values()) > 1 and max(left.values()) == 1
 
 
+def test_secrets(spark):
+    hex40 = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [f'token = "{hex40}" x', f"é{hex40.upper()}, {hex40}", "a" * 50, "1" * 50, hex40[:31], "a1" * 5000, None, "A" * 40_000 + "1", f"a@{hex40}.org"]
+    got = {x["i"]: x for x in find_personal_data(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), id="i").collect()}
+    spans = {i: [(s["start"], s["end"]) for s in x["spans"]["secret"]] for i, x in got.items()}
+    assert spans == {0: [(9, 49)], 1: [(1, 41), (43, 83)], 2: [], 3: [], 4: [], 5: [(0, 10_000)], 6: [], 7: [(0, 40_001)], 8: [(2, 42)]}
+    assert got[0]["sanitized"] == 'token = "<SECRET>" x' and got[6]["sanitized"] is None and got[8]["sanitized"] == "<EMAIL>"
+
+
 def test_personal_data(spark):
     texts = [
         "a@b.c_d@e.f x", "mail é a.b+c@d-e.org.", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255", "4111 1111 1111 1111, 4111-1111-1111-1112", "+1 (555) 010-9999 and +12",
@@ -591,7 +630,7 @@ def test_empty_tables(spark, sf):
     assert keep_one(d).count() == 0
     assert decontaminate(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert fp.fingerprint_with_edit(d).count() == 0
-    assert dedup_lines(d).count() == 0
+    assert dedup_passages(d).count() == 0
     assert find_personal_data(d).count() == 0
     assert mix(d, known, {"a": 1.0}).count() == 0
     assert assign_shards(d).count() == 0
