@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import similarity, simhash
 from ..shipping import ship
-from .cc import labels
+from .cc import kept, labels
 
 LIST = 20_000
 #: Bodies of fewer characters, trimmed, are at most 50 percent like anything (fixed values).
@@ -105,6 +105,8 @@ def links(found: DataFrame, threshold: int = 85) -> DataFrame:
     A link between two hashes counts in the first list that both are in.
     """
     most = _most_differ(threshold)
+    # hashed once: several steps read them
+    found = kept(found)
     classes = found.groupBy(F.col("simhash").alias("h")).agg(F.count("*").alias("w"), F.min("id").alias("least"))
     masks = _keys(most, classes.count())
     own = np.array(masks, np.uint64)
@@ -145,7 +147,7 @@ def clusters(found: DataFrame, threshold: int = 85) -> DataFrame:
 
     The representative is the group's least id; members come by similarity to it, then by id. Short texts are like nothing.
     """
-    rows = found.where(~F.col("short")) if threshold > SHORT_CAP else found
+    rows = kept(found.where(~F.col("short")) if threshold > SHORT_CAP else found)
     classes = rows.groupBy(F.col("simhash").alias("h")).agg(F.count("*").alias("w"), F.min("id").alias("least"))
     own = rows.join(_classes(classes, threshold), rows.simhash == F.col("h")).select("id", "simhash", "short", F.col("class").alias("representative"))
     first = own.where("id = representative").select("representative", F.col("simhash").alias("rh"), F.col("short").alias("rs"))
