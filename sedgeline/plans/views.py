@@ -16,7 +16,10 @@ from .spec import MAX_ROWS, Filter, Group, SpecError
 
 @dataclass
 class View:
-    """``source``: ``all``, ``tag:x``, ``notebook:a,b`` or the beginning of a path. ``rollups``: name -> (function, property) over linked rows."""
+    """``source``: ``all``, ``tag:x``, ``notebook:a,b`` or the beginning of a path. ``rollups``: name -> (function, property) over linked rows.
+
+    Without a ``limit`` a view has all its rows; one that is asked for is at most ``MAX_ROWS``.
+    """
 
     id: str
     source: str = "all"
@@ -25,7 +28,7 @@ class View:
     formulas: dict[str, str] = field(default_factory=dict)
     rollups: dict[str, tuple[str, str]] = field(default_factory=dict)
     columns: tuple[str, ...] = ()
-    limit: int = MAX_ROWS
+    limit: int | None = None
 
 
 def source_rows(docs: DataFrame, source: str) -> DataFrame:
@@ -58,7 +61,9 @@ def run(docs: DataFrame, view: View, links: DataFrame | None = None) -> DataFram
     for f in view.filters:
         rows = rows.where(one(f))
     rows = rows.where(compile_group(view.group, one))
-    return rows.orderBy("path").limit(min(view.limit, MAX_ROWS)).select(*(view.columns or rows.columns))
+    ordered = rows.orderBy("path")
+    page = ordered if view.limit is None else ordered.limit(min(view.limit, MAX_ROWS))
+    return page.select(*(view.columns or rows.columns))
 
 
 #: Levels from the least to the most sensitive (fixed values).

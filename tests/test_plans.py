@@ -94,6 +94,12 @@ def test_view(spark):
         guard(["internal", "restricted"], "internal")
 
 
+def test_view_without_limit_has_all_rows(spark):
+    docs = spark.range(2500).select(F.format_string("a/%05d.md", "id").alias("path"))
+    assert [r["path"] for r in run(docs, View("v", "a/")).collect()] == [f"a/{i:05d}.md" for i in range(2500)]
+    assert run(docs, View("v", "a/", limit=7)).count() == 7 and run(docs, View("v", "a/", limit=2000)).count() == 1000
+
+
 def test_grammar():
     p = S.parse('tag:a -status:paid steuer "annual \\"report\\"" -draft /inv-[0-9]+/ -/void/ modified:last week')
     assert p.filters == [("tag", "a", False), ("status", "paid", True), ("modified", "last week", False)]
