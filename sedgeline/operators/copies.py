@@ -5,6 +5,11 @@ more blocks, enough for lists of about ``LIST`` rows. Equal hashes are one class
 batches of bit operations; clusters need a spanning set of links only, found by a search that looks at each
 member it has not reached yet, so a large cluster costs its size and not its square. A list that stays longer (many
 texts that agree in those bits) is dealt to pairs of pieces of ``LIST`` rows, so no task holds more than two pieces.
+
+Where hashes crowd together so that the lists would compare more than all pairs have to be (a sample of the hashes tells),
+and on small tables, links are counted over all pairs of pieces of the hashes instead. In a pair of pieces the hashes are
+in the order of their distance from one middle, so each is compared only with those whose distance is not too far off; the
+same comparisons give the links that connect what is not connected yet.
 """
 
 from __future__ import annotations
@@ -21,6 +26,12 @@ from ..shipping import ship
 from .cc import kept, labels
 
 LIST = 20_000
+#: Hashes of a piece where all pairs are compared, least and most, and the number of pieces between; hashes of the sample that tells which way is shorter.
+PIECE, PIECES, SAMPLE = (8_192, 32_768), 8, 4_096
+#: How much longer a comparison in a list takes than one of all pairs.
+LIST_COST = 2.0
+#: Pairs of labels up to which they are connected on the driver.
+FEW = 50_000
 #: Bodies of fewer characters, trimmed, are at most 50 percent like anything (fixed values).
 SHORT, SHORT_CAP = 64, 50
 
@@ -108,9 +119,31 @@ def links(found: DataFrame, threshold: int = 85) -> DataFrame:
     # hashed once: several steps read them
     found = kept(found)
     classes = found.groupBy(F.col("simhash").alias("h")).agg(F.count("*").alias("w"), F.min("id").alias("least"))
-    masks = _keys(most, classes.count())
-    own = np.array(masks, np.uint64)
+    n = classes.count()
+    masks = _keys(most, n)
     ship(found.sparkSession)
+    if _crowded(classes, n, masks):
+        per, reached = _all_pairs(classes.select("h", "w"), n, most)
+    else:
+        per, reached = _listed(classes.select("h", "w"), masks, most), _reached(classes, threshold)
+    group = _classes(classes, reached)
+    sums = classes.join(per, "h", "left").join(group, "h").select("h", "class", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    return found.join(sums, found.simhash == sums.h).select("id", "class", "n_links")
+
+
+def _crowded(classes: DataFrame, n: int, masks: list[int]) -> bool:
+    """Whether comparing all pairs of n hashes takes less time than comparing those of the lists; decides on the way only, not on the result."""
+    if n <= PIECES * PIECE[0]:
+        return True
+    rows = classes.where(F.pmod(F.xxhash64("h"), F.lit(-(-n // SAMPLE))) == 0).select("h").toPandas()["h"]
+    h = rows.to_numpy(np.int64).view(np.uint64)
+    met = sum(int((c * (c - 1)).sum()) for c in (np.unique(h & np.uint64(m), return_counts=True)[1] for m in masks))
+    return met * LIST_COST > len(h) * (len(h) - 1) / 2
+
+
+def _listed(classes: DataFrame, masks: list[int], most: int) -> DataFrame:
+    """(h, n): how many rows have another hash of at most ``most`` different bits, found in the lists."""
+    own = np.array(masks, np.uint64)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first, lo, hi = int(group["mask"].iloc[0]), group["lo"].iloc[0], group["hi"].iloc[0]
@@ -128,15 +161,173 @@ def links(found: DataFrame, threshold: int = 85) -> DataFrame:
             n[at : at + 256] += np.bincount(i[~seen], w[j[~seen]], minlength=len(n[at : at + 256])).astype(np.int64)
         return pd.DataFrame({"h": h.view(np.int64), "n": n})[n > 0]
 
-    per = _lists(classes.select("h", "w"), masks).groupBy("mask", "key", "lo", "hi").applyInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    group = _classes(classes, threshold)
-    sums = classes.join(per, "h", "left").join(group, "h").select("h", "class", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    return found.join(sums, found.simhash == sums.h).select("id", "class", "n_links")
+    return _lists(classes, masks).groupBy("mask", "key", "lo", "hi").applyInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _classes(classes: DataFrame, threshold: int) -> DataFrame:
-    """(h, class) of (h, w, least): the least id of all hashes that can be reached."""
-    reached = labels(spanning(classes.select("h", "w"), threshold)).withColumnRenamed("node", "h")
+def _tile(group: pd.DataFrame, most: int) -> pd.DataFrame:
+    """(h, n, to) of a pair of pieces (h, w, label, piece, lo, hi): n rows of the other piece are near h, and h is now labelled ``to``.
+
+    Rows without n say which labels h the near hashes of the two pieces connect with the label ``to``.
+    """
+    lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
+    every = group["h"].to_numpy().view(np.uint64)
+    bits = (every[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)
+    middle = np.uint64(sum(1 << b for b in np.flatnonzero(2 * bits.sum(axis=0) > len(every)).tolist()))
+    del bits
+    far = _distance(every, middle)
+    order = np.argsort(far, kind="stable")
+    every, far = every[order], far[order].astype(np.int64)
+    weight, piece = group["w"].to_numpy()[order].astype(np.int64), group["piece"].to_numpy()[order]
+    names, label = np.unique(group["label"].to_numpy()[order], return_inverse=True)
+    label = label.astype(np.int32)
+    rows, cols = np.flatnonzero(piece == lo), np.flatnonzero(piece == hi)
+    y, mine, theirs = every[cols], label[rows], label[cols]
+    # how many hashes have a label, and where: a label that one hash has is changed there alone
+    held = np.bincount(label, minlength=len(names))
+    first, last = np.searchsorted(far[cols], far[rows] - most, "left"), np.searchsorted(far[cols], far[rows] + most, "right")
+    if lo == hi:
+        first, mine = np.arange(1, len(rows) + 1), theirs
+    heavy = np.flatnonzero(weight[cols] > 1)
+    more = weight[cols][heavy] - 1
+    hx, hy = np.searchsorted(heavy, first), np.searchsorted(heavy, last)
+    nx, ny, batch = np.zeros(len(rows), np.int64), np.zeros(len(cols), np.int64), np.zeros(len(cols), np.uint8)
+    mixed, diff, near = np.empty(len(cols), np.uint64), np.empty(len(cols), np.uint8), np.empty(len(cols), bool)
+    other, of = near, -1
+    for i, (u, w, a, b, p, q) in enumerate(zip(every[rows], weight[rows].tolist(), first.tolist(), last.tolist(), hx.tolist(), hy.tolist(), strict=True)):
+        if i % 255 == 254:
+            ny += batch
+            batch[:] = 0
+        if a >= b:
+            continue
+        m = near[a:b]
+        np.bitwise_xor(y[a:b], u, out=mixed[a:b])
+        np.bitwise_count(mixed[a:b], out=diff[a:b])
+        np.less_equal(diff[a:b], most, out=m)
+        n = np.count_nonzero(m)
+        if not n:
+            continue
+        nx[i] += n + int(more[p:q][near[heavy[p:q]]].sum())
+        batch[a:b] += m.view(np.uint8)
+        if w > 1:
+            ny[a:b] += m * (w - 1)
+        own = mine[i]
+        if own != of:
+            other, of = theirs != own, own
+        m &= other[a:b]
+        if not m.any():
+            continue
+        at, found = np.flatnonzero(m) + a, []
+        while len(at) and len(found) < 8:
+            found.append((theirs[at[0]], at[0]))
+            at = at[theirs[at] != found[-1][0]]
+        if len(at):
+            l, k = np.unique(theirs[at], return_index=True)
+            found += zip(l, at[k], strict=True)
+        merged = [(own, -1), *found]
+        to = max(merged, key=lambda l: held[l[0]])[0]
+        for l, j in merged:
+            if l == to:
+                continue
+            if held[l] > 1:
+                mine[mine == l] = to
+                theirs[theirs == l] = to
+            elif j < 0:
+                mine[i] = to
+            else:
+                theirs[j] = to
+            held[to] += held[l]
+        of = -1
+    ny += batch
+    n = np.zeros(len(every), np.int64)
+    n[rows] += nx
+    n[cols] += ny
+    # the label of a group is the least that it had; one that the lower piece had, if any
+    after = np.zeros(len(every), np.int64)
+    after[rows], after[cols] = mine, theirs
+    least = np.full(len(names), len(names))
+    np.minimum.at(least, after[cols], label[cols])
+    if lo != hi:
+        held = np.full(len(names), len(names))
+        np.minimum.at(held, after[rows], label[rows])
+        least = np.where(held < len(names), held, least)
+    to = names[least[after]]
+    counts = pd.DataFrame({"h": every.view(np.int64), "n": n, "to": to})
+    moved = names[label] != to
+    if lo == hi == 0:
+        return counts
+    if lo == 0:
+        moved[cols] = False
+    pairs = np.unique(np.stack([names[label[moved]], to[moved]], axis=1), axis=0)
+    return pd.concat([counts, pd.DataFrame({"h": pairs[:, 0], "n": pd.array([None] * len(pairs), "Int64"), "to": pairs[:, 1]})])
+
+
+def _all_pairs(classes: DataFrame, n: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """((h, n), (h, label)) of (h, w): as of the lists, over all pairs of pieces of the n hashes; the least hash that can be reached.
+
+    The first piece is compared with itself, then with every other, then these with one another, so that nearly all that is
+    connected is known before and few labels are left to be connected.
+    """
+    pieces = max(min(PIECES, -(-n // PIECE[0])), -(-n // PIECE[1]), 1)
+    dealt = classes.withColumn("piece", F.pmod(F.xxhash64("h"), F.lit(pieces)).cast("int"))
+
+    def compared(rows: DataFrame, first: int, last: int) -> DataFrame:
+        """Of the first piece with itself (0, 0), with all others (0, last), or of the others with themselves and one another (1, last)."""
+        if last == 0:
+            pairs = [(0, 0)]
+        else:
+            pairs = [(lo, hi) for lo in range(first, last + 1 if first else 1) for hi in range(max(lo, 1), last + 1)]
+        tiles = rows.sparkSession.createDataFrame([(p, lo, hi) for lo, hi in pairs for p in {lo, hi}], "piece int, lo int, hi int")
+        return kept(rows.join(F.broadcast(tiles), "piece").groupBy("lo", "hi").applyInPandas(lambda g: _tile(g, most), "h long, n long, to long"))
+
+    def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        pairs = found.where("n is null and h <> to").select(F.col("h").alias("a"), F.col("to").alias("b"))
+        known = _few_labels(pairs).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        return rows.join(known, "label", "left").select("h", "w", "piece", F.coalesce("least", "label").alias("label"))
+
+    rows = dealt.withColumn("label", F.col("h"))
+    counted = compared(rows, 0, 0)
+    for first, last in ((0, pieces - 1), (1, pieces - 1))[: pieces - 1]:
+        if first == 0:
+            own = counted.select("h", F.col("to").alias("label"))
+            rows = rows.drop("label").join(own, "h", "left").withColumn("label", F.coalesce("label", "h"))
+        found = compared(rows, first, last)
+        if first == 0:
+            # of the first piece every hash has its label, of the others the pair with the first piece gives it
+            own = own.unionByName(found.where("n is not null").join(own.select("h"), "h", "left_anti").select("h", F.col("to").alias("label")))
+            rows = rows.drop("label").join(own, "h").select("h", "w", "piece", "label")
+        counted = counted.unionByName(found.where("n is not null"))
+        rows = kept(relabelled(rows, found))
+    if pieces == 1:
+        rows = counted.select("h", F.col("to").alias("label"))
+    return counted.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")), rows.select("h", "label")
+
+
+def _few_labels(pairs: DataFrame) -> DataFrame:
+    """``labels``; of at most ``FEW`` pairs, as a count shows, found at once."""
+    pairs = kept(pairs.distinct())
+    got = pairs.limit(FEW + 1).toPandas()
+    if len(got) > FEW:
+        return labels(pairs)
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in zip(got["a"].tolist(), got["b"].tolist(), strict=True):
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return pairs.sparkSession.createDataFrame([(x, top(x)) for x in list(root)], "node long, label long")
+
+
+def _reached(classes: DataFrame, threshold: int) -> DataFrame:
+    """(h, label): the least hash that can be reached, for those that are linked."""
+    return labels(spanning(classes.select("h", "w"), threshold)).withColumnRenamed("node", "h")
+
+
+def _classes(classes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(h, class) of (h, w, least): the least id of all hashes with one label."""
     own = classes.join(reached, "h", "left").withColumn("label", F.coalesce("label", "h"))
     least = own.groupBy("label").agg(F.min("least").alias("class"))
     return own.join(least, "label").select("h", "class")
@@ -149,7 +340,7 @@ def clusters(found: DataFrame, threshold: int = 85) -> DataFrame:
     """
     rows = kept(found.where(~F.col("short")) if threshold > SHORT_CAP else found)
     classes = rows.groupBy(F.col("simhash").alias("h")).agg(F.count("*").alias("w"), F.min("id").alias("least"))
-    own = rows.join(_classes(classes, threshold), rows.simhash == F.col("h")).select("id", "simhash", "short", F.col("class").alias("representative"))
+    own = rows.join(_classes(classes, _reached(classes, threshold)), rows.simhash == F.col("h")).select("id", "simhash", "short", F.col("class").alias("representative"))
     first = own.where("id = representative").select("representative", F.col("simhash").alias("rh"), F.col("short").alias("rs"))
     members = own.where("id <> representative").join(first, "representative")
     score = similarity(F.col("simhash"), F.col("rh"), F.col("short") | F.col("rs"))

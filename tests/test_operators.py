@@ -102,6 +102,38 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, piece):
     assert [x["id"] for x in C.similar_to(df, prints[0][1], 85).collect()] == sorted(a for a, x, _ in prints if x != prints[0][1] and alike(x, prints[0][1]) >= 85)
 
 
+@pytest.mark.parametrize(("crowded", "few"), [(True, 50_000), (True, 0), (False, 0)])
+def test_links_by_all_pairs_equal_brute_force(spark, monkeypatch, crowded, few):
+    """Crowded hashes in many pieces, their labels joined on the driver or by tables; and the same by lists."""
+    monkeypatch.setattr(C, "PIECE", (64, 128))
+    monkeypatch.setattr(C, "FEW", few)
+    monkeypatch.setattr(C, "_crowded", lambda *_: crowded)
+    r = np.random.default_rng(3)
+    h = np.packbits(r.random((700, 64)) < np.where(r.random(64) < 0.8, 0.12, 0.3), axis=1).view(np.int64)[:, 0]
+    h = np.concatenate([h, h[:90], h[:30], r.integers(-(2**63), 2**63, 40)])
+    d = np.bitwise_count(h.view(np.uint64)[:, None] ^ h.view(np.uint64)[None, :])
+    near = (64 - d.astype(int)) * 100 // 64 >= 85
+    label = np.arange(len(h))
+    while not np.array_equal(label, new := np.where(near, label[None, :], len(h)).min(axis=1)):
+        label = new
+    assert 2 < len(set(label.tolist())) < 700 and near.mean() > 0.01
+    tiles = []
+    monkeypatch.setattr(C, "_few_labels", lambda pairs, f=C._few_labels: tiles.append(1) or f(pairs))
+    got = C.links(spark.createDataFrame(list(enumerate(h.tolist())), "id long, simhash long"), 85).collect()
+    assert sorted((x["id"], x["class"], x["n_links"]) for x in got) == list(zip(range(len(h)), label.tolist(), (near.sum(axis=1) - 1).tolist(), strict=True))
+    assert len(tiles) == 2 * crowded
+
+
+def test_simhashes_of_a_batch():
+    """Texts hashed together, with long words, odd blanks and none at all, against one word after the other."""
+    r = random.Random(9)
+    texts = ["", " \n", "x" * 64, "x" * 65 + " y", "\u00e9" * 40 + " b", "a\u00a0b\x1cc"] + ["".join(r.choice("aé 東\n\t\x00z") for _ in range(r.randrange(90))) for _ in range(200)]
+    for t, got in zip(texts, TX._simhashes(texts).tolist(), strict=True):
+        words = t.lower().split()
+        votes = [sum(TX.fnv1a64(w) >> i & 1 for w in words) for i in range(64)]
+        assert got % 2**64 == sum(1 << i for i in range(64) if 2 * votes[i] > len(words))
+
+
 # Fingerprints, lengths and similarities of public test texts.
 SIMHASHES = {"": 0, "The quick brown fox jumps over the lazy dog": 0xCAB7991C5475EDEE, "  HELLO   hello\tWorld  ": 0xA430D84680AABD0B, "Ärger über große Rechnungen 東京": 0x7F3625BE333129A6, "invoice-2026, invoice-2026! paid?": 0xB00568450D394DA0}
 
