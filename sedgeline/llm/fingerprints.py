@@ -46,6 +46,8 @@ OCTAVES = 40
 _PHASES = 4096
 _CHUNK = 1 << 16
 STRETCH, PER_BAND_OCTAVE = 32, 4
+#: Characters for each edit up to which texts are compared edit by edit.
+PER_EDIT = 2_000
 
 
 @cache
@@ -374,7 +376,8 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     """Edit distance of two texts, or ``limit + 1`` if it is larger.
 
     Edit by edit, the furthest place on every diagonal at once; how far two texts agree from a place on follows from
-    prefix hashes by bisection. Diagonals from which the end cannot be reached any more are dropped.
+    prefix hashes by bisection. Diagonals from which the end cannot be reached any more are dropped. Texts more than one
+    edit in ``PER_EDIT`` characters apart go column by column instead, which costs the same for any number of edits.
     """
     x, y = _codes(a), _codes(b)
     n, m = len(x), len(y)
@@ -404,7 +407,8 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     k = np.zeros(1, np.int64)
     far = slide(k, k)
     end = n - m
-    for d in range(1, limit + 1):
+    few = min(limit, top // PER_EDIT)
+    for d in range(1, few + 1):
         reach = limit - d
         lo, hi = max(-d, end - reach, -m), min(d, end + reach, n)
         new = np.arange(lo, hi + 1)
@@ -419,4 +423,45 @@ def edit_distance(a: str, b: str, limit: int) -> int:
         far, k = np.where(ok, i + step, -2), new
         if lo <= end <= hi and far[end - lo] == n:
             return d
-    return limit + 1
+    return limit + 1 if few == limit else _banded(a, b, limit)
+
+
+def _banded(a: str, b: str, limit: int) -> int:
+    """``edit_distance``, character by character of the shorter text, by bit operations on a band of the longer one.
+
+    A band has 2 * ``limit`` + 2 bits, one for each place that ``limit`` edits can reach; ``vp`` and ``vn`` say where the
+    distance rises or falls from one place to the next.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    most, limit = limit, min(limit, n)
+    if n - m > limit:
+        return most + 1
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        if c not in places:
+            places[c] = bytearray(n // 8 + 1)
+        places[c][i >> 3] |= 1 << (i & 7)
+    at = {c: int.from_bytes(bits, "little") for c, bits in places.items() if c in b}
+    width = 2 * limit + 2
+    mask = (1 << width) - 1
+    vp, vn = mask << (width - limit - 1) & mask, 0
+    first, diagonal, side = limit + 1 - width, 1 << (width - 1), 1 << max(width - 2, 0)
+    d, give = limit, 2 * limit + m - n
+    for i, c in enumerate(b):
+        x = at.get(c, 0)
+        x = (x >> first if first >= 0 else x << -first) & mask
+        first += 1
+        d0 = (((x & vp) + vp ^ vp) | x | vn) & mask
+        hp, hn = (vn | ~(d0 | vp)) & mask, d0 & vp
+        if i < n - limit:
+            d += not d0 & diagonal
+        else:
+            d += bool(hp & side) - bool(hn & side)
+            side >>= 1
+        if d > give:
+            return most + 1
+        d0 >>= 1
+        vp, vn = (hn | ~(d0 | hp)) & mask, d0 & hp
+    return d if d <= limit else most + 1

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import re
 import zlib
 
@@ -209,6 +210,26 @@ def test_near_texts_recall_and_precision(spark):
     assert fp.near_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_edit_distance_of_many_edits_costs_as_few():
+    """The banded way against the table of all prefixes; texts with hundreds of edits in well under a second."""
+    r = random.Random(5)
+    for _ in range(3000):
+        a = "".join(r.choice("abc") for _ in range(r.randint(0, 14)))
+        b = "".join(r.choice("abc") for _ in range(r.randint(0, 14))) if r.random() < 0.4 else "".join(c for c in a if r.random() < 0.9) + r.choice(["", "a"])
+        limit, row = r.randint(0, 16), list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (c != d))
+        assert fp._banded(a, b, limit) == fp.edit_distance(a, b, limit) == min(row[-1], limit + 1)
+    t = "".join(r.choice("abcdefgh ") for _ in range(30_000))
+    # every 25th character is another one, which is in no text otherwise
+    e = "".join("Q" if i % 25 == 0 else c for i, c in enumerate(t))
+    start = time.process_time()
+    assert fp.edit_distance(t, e, 1500) == 1200 and fp.edit_distance(t, e, 1100) == 1101
+    assert time.process_time() - start < 1.0
+
+
 def test_similar_and_edit_distance(spark, docs):
     r = random.Random(1)
     for _ in range(60):
