@@ -14,9 +14,12 @@ steps that the longer walk has in the octave.
 Candidates for near copies share a band: the bits written at ``STRETCH`` successive steps, where both walks are in
 step and no edit falls; ``PER_BAND_OCTAVE`` stretches in every octave of the walk are bands. ``near_texts`` verifies
 candidates by edit distance on the whole texts and gives every document its class. Equal texts are one class, stood for by
-its least id. In a band's list pivots are compared with members of other components, 1, 8, 64, ... of them a
+its least id. A band's list is cut by length into lists that overlap, so that any two texts whose lengths allow
+a link are together in one. There pivots are compared with members of other components, 1, 8, 64, ... of them a
 round, until in each list all members that were never pivot are in one component; so a group of n near copies
-costs about n comparisons, and no pair that shares a band is left out.
+costs about n comparisons, and no pair that shares a band is left out. An edit changes at most 2 * ``GRAM`` counts of runs
+of ``GRAM`` characters by one; a pair whose counts differ by more than its edits can explain is ruled out by them, before
+any text is read. So texts that share no more than a header are many pairs of counts, not of texts.
 
 Defined cases: a null text counts as empty; an empty text has an empty fingerprint, which
 is like another empty one (1.0) and unlike any other (0.0). Equal texts have equal
@@ -27,6 +30,7 @@ follow one another in text order, and the last row is followed by the first.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 
 import numpy as np
@@ -37,7 +41,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .components import components
-from .near_dedup import _merged, _next_pivots, _open_members, _paired
+from .near_dedup import _copied, _dealt, _merged, _next_pivots, _open_members
 from .scratch import Scratch, partitions, small
 from .tokens import _power_tables, mix
 
@@ -46,8 +50,15 @@ OCTAVES = 40
 _PHASES = 4096
 _CHUNK = 1 << 16
 STRETCH, PER_BAND_OCTAVE = 32, 4
+#: Characters of the runs that are counted, counts of a text, and the sums of them that are looked at first.
+GRAM, GRAM_BINS, GRAM_SUMS = 3, 1024, 256
 #: Characters for each edit up to which texts are compared edit by edit.
 PER_EDIT = 2_000
+#: Words of the bands that go side by side, and the least and most of them; pairs and their characters that are gathered for that.
+LANE_WORDS, FEWEST, LANES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32), 12, 512
+#: Limit from which counts of runs of four characters are looked at first.
+MANY_EDITS = 256
+GATHERED, GATHERED_CHARS = 4_000, 8 << 20
 
 
 @cache
@@ -289,20 +300,119 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, "id long, fingerprint string, bands array<long>")
 
 
+def _runs(codes: np.ndarray, length: int, bins: int) -> np.ndarray:
+    """How often runs of so many characters occur, by values of their hash."""
+    n = max(0, len(codes) - length + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(length):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n] + np.uint64(1)
+    return np.bincount((mix(h) % np.uint64(bins)).astype(np.int64), minlength=bins)
+
+
+def _counts(codes: np.ndarray) -> np.ndarray:
+    """Counts of the runs of ``GRAM`` characters; 255 stands for that and more."""
+    return np.minimum(_runs(codes, GRAM, GRAM_BINS), 255).astype(np.uint8)
+
+
+def _looks(texts: DataFrame) -> DataFrame:
+    """(id, n, bands, counts) of every row (id, text) that has a band."""
+
+    def run(batches):
+        for b in batches:
+            codes = [_codes(t) for t in b.column(1).to_pylist()]
+            bands = [Walk().over(c).bands() for c in codes]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(c) for c in codes], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([_counts(c).tobytes() for c in codes], pa.binary())],
+                names=["id", "n", "bands", "counts"],
+            )
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, bands array<long>, counts binary").where(F.size("bands") > 0)
+
+
+def _by_length(n, max_edits: float):
+    """Numbers of the lists by length that a text of n characters is in: its own, and those of the shortest texts that may be linked to it."""
+    width = max(0.2, -4 * math.log(1 - min(max_edits, 0.9)))
+    least = F.greatest(n * (1 - max_edits), F.lit(1.0))
+    return F.sequence(F.floor(F.log(least) / width - 1e-9), F.floor(F.log(n) / width))
+
+
+def _possible(members: DataFrame, pivots: DataFrame, looks: DataFrame, max_edits: float) -> DataFrame:
+    """Distinct (a, b): each pivot with the members of its lists, of other components, that lengths and counts do not rule out."""
+    rows = _dealt(members).select("v", "part", F.lit(1).alias("role"), "rep", "label", "n")
+    rows = rows.unionByName(_copied(pivots).select("v", "part", F.lit(0).alias("role"), "rep", "label", "n"))
+    rows = rows.join(looks.select(F.col("id").alias("rep"), "counts"), "rep").select("v", "part", "role", "rep", "label", "n", "counts")
+
+    def found(pieces: list[tuple]) -> list[np.ndarray]:
+        """The pairs of one list, pivots first, then members by length."""
+        _, _, role, rep, label, n, counts = pieces[0] if len(pieces) == 1 else (np.concatenate(c) for c in zip(*pieces, strict=True))
+        p = int(np.searchsorted(role, 1))
+        if p == 0:
+            return []
+        counts = counts.astype(np.int16)
+        sums = counts.reshape(len(counts), GRAM_SUMS, -1).sum(2, dtype=np.int32)
+        first = p + np.searchsorted(n[p:], n[:p] * (1 - max_edits) - 1)
+        end = np.full(p, len(n)) if max_edits >= 1 else p + np.searchsorted(n[p:], n[:p] / (1 - max_edits) + 1, "right")
+        out = []
+        for i in range(p):
+            at = slice(first[i], end[i])
+            limit = (max_edits * np.maximum(n[at], n[i])).astype(np.int64)
+            left = first[i] + np.flatnonzero((label[at] != label[i]) & (abs(n[at] - n[i]) <= limit))
+            for of in (sums, counts):
+                if len(left):
+                    left = left[np.abs(of[left] - of[i]).sum(1, dtype=np.int64) <= 2 * GRAM * limit[left - first[i]]]
+            if len(left):
+                out.append(np.stack((np.minimum(rep[left], rep[i]), np.maximum(rep[left], rep[i]))))
+        return out
+
+    def compare(batches):
+        pieces: list[tuple] = []
+        for b in batches:
+            if not len(b):
+                continue
+            out = []
+            cols = [b.column(i).to_numpy() for i in range(6)]
+            bytes_ = b.column(6)
+            cols.append(np.frombuffer(bytes_.buffers()[2], np.uint8)[: (bytes_.offset + len(b)) * GRAM_BINS].reshape(-1, GRAM_BINS)[bytes_.offset :])
+            cuts = (np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(b)], strict=True):
+                if pieces and (pieces[-1][0][0], pieces[-1][1][0]) != (cols[0][lo], cols[1][lo]):
+                    out += found(pieces)
+                    pieces = []
+                pieces.append(tuple(c[lo:hi] for c in cols))
+            pieces[-1] = tuple(c.copy() for c in pieces[-1])
+            yield _pairs(out)
+        yield _pairs(found(pieces) if pieces else [])
+
+    dealt = rows.repartition(partitions(members.sparkSession), "v", "part").sortWithinPartitions("v", "part", "role", "n")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, max_edits: float) -> DataFrame:
     """(a, b, edits) of the pairs within ``max_edits`` of the longer text's length; ``texts``: id, text."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("edits", T.LongType())])
 
+    def near(rows: list[tuple]) -> pa.RecordBatch:
+        limits = [int(max_edits * max(len(x), len(y))) for _, _, x, y in rows]
+        found = edit_distances([(x, y) for _, _, x, y in rows], limits)
+        got = [(a, b, d) for (a, b, _, _), d, limit in zip(rows, found, limits, strict=True) if d <= limit]
+        cols = list(zip(*got, strict=True)) if got else [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "edits"])
+
     def verify(batches):
+        rows, chars = [], 0
         for batch in batches:
-            got = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                limit = int(max_edits * max(len(x), len(y)))
-                d = edit_distance(x, y, limit)
-                if d <= limit:
-                    got.append((a, b, d))
-            cols = list(zip(*got, strict=True)) if got else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "edits"])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows.append(row)
+                chars += len(row[2]) + len(row[3])
+                if len(rows) >= GATHERED or chars >= GATHERED_CHARS:
+                    yield near(rows)
+                    rows, chars = [], 0
+        yield near(rows)
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, schema)
@@ -311,14 +421,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, max_edits: float) -> DataFrame
 def _closed(docs: DataFrame, max_edits: float, id: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their class of equal texts, verified links, labels of the linked): id null or rows that repeat an id keep their own texts' classes."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    named = scratch.put(rows.select("id", F.sha2("text", 256).alias("h"), F.length("text").alias("n")))
+    named = scratch.put(rows.select("id", F.sha2("text", 256).alias("h")))
     least = named.where("id is not null").groupBy("h").agg(F.min("id").alias("rep"))
     # of an id's several texts the one of least hash stands for the id
     first = scratch.put(least.groupBy("rep").agg(F.min("h").alias("h")))
     mine = rows.withColumn("h", F.sha2("text", 256)).join(first.select(F.col("rep").alias("id"), "h"), ["id", "h"], "left_semi").select("id", "text")
     texts = mine.groupBy("id").agg(F.min("text").alias("text"))
-    prints = scratch.put(fingerprints(texts, id="id", text="text").join(named.select("id", "h", "n").join(first.select(F.col("rep").alias("id"), "h"), ["id", "h"], "left_semi").distinct(), "id"))
-    member = prints.select(F.explode("bands").alias("v"), F.col("id").alias("rep"), "n")
+    looks = scratch.put(_looks(texts))
+    member = looks.select(F.explode("bands").alias("v"), F.col("id").alias("rep"), "n")
+    member = member.select("v", "rep", "n", F.explode(_by_length(F.col("n"), max_edits)).alias("i")).select((F.shiftleft("v", 10) + F.col("i")).alias("v"), "rep", "n")
     size = scratch.put(member.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     # any two members of a list may be linked, if their lengths allow it
     lists = member.join(size, "v").select("v", "rep", F.lit(0).alias("pop"), "n", F.lit(2**62).alias("most"), "df", *(F.lit(None).cast("double").alias(c) for c in ("f", "s", "c")))
@@ -335,7 +446,7 @@ def _closed(docs: DataFrame, max_edits: float, id: str, text: str, scratch: Scra
             return named, links, labels
         picked = scratch.put(_next_pivots(open_, grow))
         grow = min(8 * grow, 4096)
-        pairs = _paired(open_, picked, 1 - max_edits)
+        pairs = _possible(open_, picked, looks, max_edits)
         for old in seen:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = scratch.put(pairs)
@@ -465,3 +576,88 @@ def _banded(a: str, b: str, limit: int) -> int:
         d0 >>= 1
         vp, vn = (hn | ~(d0 | hp)) & mask, d0 & hp
     return d if d <= limit else most + 1
+
+
+def edit_distances(pairs: list[tuple[str, str]], limits: list[int]) -> list[int]:
+    """``edit_distance`` of every pair; bands of at most ``LANE_WORDS`` words go side by side, column by column of all of them at once.
+
+    Where the limit is high, counts of runs of four characters may show that there are more edits.
+    """
+    out = [limit + 1 for limit in limits]
+    lanes: dict[int, list[tuple]] = {}
+    for i, ((a, b), limit) in enumerate(zip(pairs, limits, strict=True)):
+        if len(a) < len(b):
+            a, b = b, a
+        if len(a) - len(b) > limit or limit >= MANY_EDITS and np.abs(_runs(_codes(a), 4, 1 << 16) - _runs(_codes(b), 4, 1 << 16)).sum() > 8 * limit:
+            continue
+        words = next((w for w in LANE_WORDS if 32 * w > limit), 0)
+        lanes.setdefault(words if len(a) >= 32 * words else 0, []).append((len(b), i, a, b))
+    for words, group in lanes.items():
+        group.sort()
+        for lo in range(0, len(group), LANES):
+            part = group[lo : lo + LANES]
+            most = [limits[i] for _, i, _, _ in part]
+            if words and len(part) >= FEWEST:
+                found = _side_by_side(part, words, most)
+            else:
+                found = [edit_distance(a, b, limit) for (_, _, a, b), limit in zip(part, most, strict=True)]
+            for (_, i, _, _), d in zip(part, found, strict=True):
+                out[i] = d
+    return out
+
+
+def _side_by_side(group: list[tuple], words: int, limits: list[int]) -> list[int]:
+    """``_banded`` for (length of the shorter text, _, longer, shorter text) of every pair, with bands of ``words`` words; first axis: words."""
+    half, width = 32 * words, 64 * words
+    texts = [(_codes(a), _codes(b)) for _, _, a, b in group]
+    n, m = (np.array([len(t[i]) for t in texts]) for i in (0, 1))
+    k, lane = np.array(limits), np.arange(len(group))
+    top = max(int(c.max()) for t in texts for c in t)
+    kind = np.uint8 if top < 255 else np.uint16 if top < 65535 else np.uint32
+    columns = int(m.max())
+    # 0 is no character; the window of column i begins at place i
+    long_, short = np.zeros((len(group), columns + width), kind), np.zeros((columns, len(group)), kind)
+    for r, (a, b) in enumerate(texts):
+        long_[r, half : half + len(a)] = a + 1
+        short[: len(b), r] = b + 1
+    zero, one, last, full = np.uint64(0), np.uint64(1), np.uint64(63), np.uint64(2**64 - 1)
+    number = np.arange(words, dtype=np.uint64)[:, None]
+    place = one << number
+    start = ((1 << width) - 1) >> half << half
+    vp = np.repeat(np.array([start >> 64 * w & (2**64 - 1) for w in range(words)], np.uint64)[:, None], len(group), 1)
+    vn = np.zeros_like(vp)
+    d, give, turn = np.full(len(group), half - 1), k + half - 1 + m - n, n - half + 1
+    found = np.zeros(len(group), np.int64)
+    for i in range(columns):
+        if i % 32 == 0:
+            over = (i >= m) | (d > give)
+            if 8 * int(over.sum()) >= len(over):
+                found[lane[over]] = d[over]
+                on = ~over
+                lane, d, give, turn, m, vp, vn = lane[on], d[on], give[on], turn[on], m[on], vp[:, on], vn[:, on]
+                long_, short = long_[on], short[:, on]
+                if not len(lane):
+                    break
+            soonest = int(turn.min())
+        x = np.packbits(long_[:, i : i + width] == short[i][:, None], axis=1, bitorder="little").view(np.uint64).T.copy()
+        both = x & vp
+        total = both + vp
+        if words > 1:
+            # of a word per bit: those that carry, and those that pass a carry on; a sum of them tells where carries go
+            passed = np.where(total == full, place, zero).sum(0)
+            goes = (np.where(total < both, place, zero).sum(0) << one) + passed ^ passed
+            total += goes >> number & one
+        d0 = (total ^ vp) | x | vn
+        hp, hn = vn | ~(d0 | vp), d0 & vp
+        if i < soonest:
+            d += (~d0[-1] >> last).astype(np.int64)
+        else:
+            at = np.clip(width - 2 - (i - turn), 0, width - 1)
+            w, bit, r = at >> 6, (at & 63).astype(np.uint64), np.arange(len(lane))
+            side = (hp[w, r] >> bit & one).astype(np.int64) - (hn[w, r] >> bit & one).astype(np.int64)
+            d += np.where(i < turn, (~d0[-1] >> last).astype(np.int64), np.where(i < m, side, 0))
+        moved = d0 >> one
+        moved[:-1] |= d0[1:] << last
+        vp, vn = hn | ~(moved | hp), moved & hp
+    found[lane] = d
+    return np.minimum(found, k + 1).tolist()

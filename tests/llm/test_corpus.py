@@ -230,6 +230,44 @@ def test_edit_distance_of_many_edits_costs_as_few():
     assert time.process_time() - start < 1.0
 
 
+def test_edit_distances_side_by_side():
+    """Many pairs at once against one by one: all widths of bands, texts of one length and not, characters of one byte and more."""
+    r = random.Random(6)
+    pairs, limits = [], []
+    for i in range(900):
+        alphabet = r.choice(["ab", "abcdefgh ", "abc\u00ff\u20ac", "ab\U0001f600"])
+        a = "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 31, 32, 33, 64, 200, 500]) if i % 10 else r.randint(1000, 3000)))
+        share = r.choice([0, 0.02, 0.05, 0.1, 0.4])
+        b = "".join(r.choice(["", r.choice(alphabet), c + r.choice(alphabet)]) if r.random() < share else c for c in a)[r.choice([0, 0, len(a) // 25]) :]
+        pairs.append((a, b) if i % 2 else (b, a))
+        limits.append(int(r.choice([0.02, 0.05, 0.1, 0.3, 1]) * max(len(a), len(b))))
+    got = fp.edit_distances(pairs, limits)
+    assert got == [fp._banded(a, b, limit) for (a, b), limit in zip(pairs, limits, strict=True)]
+    assert 200 < sum(d <= limit for d, limit in zip(got, limits, strict=True)) < 800 and fp.edit_distances([], []) == []
+
+
+def test_near_texts_with_one_header_are_not_read_in_pairs(spark, monkeypatch):
+    """Texts that share only a header and a length are ruled out by counts; classes are those of all pairs."""
+    r = random.Random(8)
+    header = prose(60, r)
+    texts = [(header + " " + prose(400, r))[:1400] for _ in range(90)]
+    for i in range(0, 30, 3):
+        k = r.randrange(400, 1300)
+        texts += [texts[i][:k] + "Q" * r.choice([1, 20, 70, 90]) + texts[i][k + 5 :], texts[i][:k] + texts[i][k + r.randint(1, 40) :]]
+    read, verified = [], fp._verified
+    monkeypatch.setattr(fp, "_verified", lambda pairs, *rest: read.append(pairs.count()) or verified(pairs, *rest))
+    got = {x["id"]: x["class_id"] for x in fp.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(read) < 200  # of 5,995
+    label = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            limit = int(0.05 * max(len(texts[a]), len(texts[b])))
+            if label[a] != label[b] and fp._banded(texts[a], texts[b], limit) <= limit:
+                least, other = sorted((label[a], label[b]))
+                label = [least if x == other else x for x in label]
+    assert got == dict(enumerate(label)) and len(set(label)) < len(label) - 10
+
+
 def test_similar_and_edit_distance(spark, docs):
     r = random.Random(1)
     for _ in range(60):
