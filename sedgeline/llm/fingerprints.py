@@ -55,10 +55,10 @@ GRAM, GRAM_BINS, GRAM_SUMS = 3, 1024, 256
 #: Characters for each edit up to which texts are compared edit by edit.
 PER_EDIT = 2_000
 #: Words of the bands that go side by side, and the least and most of them; pairs and their characters that are gathered for that.
-LANE_WORDS, FEWEST, LANES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32), 12, 512
+LANE_WORDS, FEWEST, LANES = (2, 4, 8, 32), 32, 512
 #: Limit from which counts of runs of four characters are looked at first.
 MANY_EDITS = 256
-GATHERED, GATHERED_CHARS = 4_000, 8 << 20
+GATHERED, GATHERED_CHARS = 4_000, 32 << 20
 
 
 @cache
